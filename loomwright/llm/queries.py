@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomwright.llm import neardup
+from loomwright.llm import html_main, lang_id, neardup, prefix_bpe, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +32,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over 4-word shingles at similarity 0.8."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@query("op6_word_backoff_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents; learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    held = F.coalesce(held, F.lit(False))
+    model = lang_id.fit(docs.where(~held), order_by=F.col("doc_id"))
+    out = lang_id.identify(docs.select("doc_id", "text", held.alias("held_out")), model, keep=("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op8_pretoken_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents for a limit of 512 tokens."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), file.read(), public_tokenizers.PATTERN)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op9_prefix_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and what they decode to, as digests."""
+    ranks = prefix_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = prefix_bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return coded.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_max_run_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages, with weights learned from pages that label their article."""
+    pages = table(spark, sf_dir, "pages")
+    text = html_main.extract(pages, html_main.learn(pages))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
