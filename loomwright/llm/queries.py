@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import html_main, lang_id, neardup, prefix_bpe, syncmers, token_counts
+from loomwright.llm import html_main, lang_id, neardup, pii, prefix_bpe, syncmers, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query("op4_weak_supervision_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base finds and what the trained classifier adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.find(docs, pii.train(docs))
+    counts = [pii.count_kind(F.col("pii_base"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(pii.as_text(F.col("pii_base")), 256).alias("base_sha256"), pii.as_text(F.col("pii_spans")).alias("spans"))
