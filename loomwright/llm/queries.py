@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import html_main, lang_id, neardup, pii, prefix_bpe, syncmers, token_counts
+from loomwright.llm import html_main, lang_id, mixing, neardup, pii, prefix_bpe, recipes, syncmers, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,53 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(docs, pii.train(docs))
     counts = [pii.count_kind(F.col("pii_base"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
     return out.select("doc_id", *counts, F.sha2(pii.as_text(F.col("pii_base")), 256).alias("base_sha256"), pii.as_text(F.col("pii_spans")).alias("spans"))
+
+
+def _mix_oracle() -> str:
+    """Raking in SQL: a recursive table of cell weights, fitted by window sums."""
+    def case(column: str, targets: dict[str, float]) -> str:
+        return f"CASE WHEN {column} IN ({', '.join(repr(n) for n in targets if n != '*')}) THEN {column} ELSE '*' END"
+
+    goals = {k: ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in t.items()) for k, t in recipes.TARGETS.items()}
+    sweep = "rows"
+    for key, col in (("source", "s"), ("lang", "l"), ("topic", "t")):
+        sweep = f"""(SELECT k, s, l, t, n, gs, gl, gt, w * g{col} / sum(w) OVER (PARTITION BY k, {col}) AS w FROM {sweep} x)"""
+    sweep = sweep.replace("FROM rows x", "FROM (SELECT k + 1 AS k, s, l, t, n, gs, gl, gt, w FROM fit WHERE k < 60) x")
+    return rf"""
+    WITH RECURSIVE docs AS (
+      SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\x09\x0A\x0D\x20]+')) AS n_tokens FROM documents),
+    named AS (
+      SELECT *, CASE WHEN contains(text, 'License') OR contains(text, 'Copyright') OR contains(text, 'copyright') THEN 'legal'
+        WHEN contains(text, '@') OR contains(text, '+1 (') THEN 'contact' WHEN n_tokens < 150 THEN 'short' WHEN n_tokens >= 1200 THEN 'long' ELSE 'prose' END AS topic FROM docs),
+    keyed AS (SELECT *, {case('source', recipes.TARGETS['source'])} AS s, {case('lang', recipes.TARGETS['lang'])} AS l, {case('topic', recipes.TARGETS['topic'])} AS t FROM named),
+    cells AS (SELECT s, l, t, sum(n_tokens)::DOUBLE AS n FROM keyed GROUP BY ALL HAVING sum(n_tokens) > 0),
+    gs AS (SELECT a, b / sum(b) OVER () AS g FROM (VALUES {goals['source']}) v(a, b) WHERE a IN (SELECT s FROM cells)),
+    gl AS (SELECT a, b / sum(b) OVER () AS g FROM (VALUES {goals['lang']}) v(a, b) WHERE a IN (SELECT l FROM cells)),
+    gt AS (SELECT a, b / sum(b) OVER () AS g FROM (VALUES {goals['topic']}) v(a, b) WHERE a IN (SELECT t FROM cells)),
+    fit AS (
+      SELECT 0 AS k, s, l, t, n, gs.g AS gs, gl.g AS gl, gt.g AS gt, n AS w FROM cells JOIN gs ON s = gs.a JOIN gl ON l = gl.a JOIN gt ON t = gt.a
+      UNION ALL
+      SELECT k, s, l, t, n, gs, gl, gt, w FROM {sweep} y),
+    gains AS (SELECT s, l, t, w / n * sum(n) OVER () / sum(w) OVER () AS gain FROM fit WHERE k = 60)
+    SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, round(coalesce(gain, 0), 6) AS gain, round(coalesce(p, 0), 6) AS probability,
+      ('0x' || substr(md5(doc_id || ':7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < coalesce(p, 0) AS selected
+    FROM (SELECT *, least(1.0::DOUBLE, gain / least(4.0::DOUBLE, (SELECT max(gain) FROM gains))) AS p
+          FROM keyed LEFT JOIN gains ON keyed.s = gains.s AND keyed.l = gains.l AND keyed.t = gains.t AND n_tokens > 0)
+    """
+
+
+@query("op2_raked_mixture", _mix_oracle())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the probability that calibrates the mixture, and what is sampled."""
+    docs = table(spark, sf_dir, "documents")
+    out = mixing.mix(docs, recipes.TARGETS, recipes.topic(F.col("text"), F.col("mix_tokens")), mixing.n_tokens(F.col("text")))
+    return out.select(
+        "doc_id",
+        "source",
+        "lang",
+        F.col("mix_topic").alias("topic"),
+        F.col("mix_tokens").alias("n_tokens"),
+        F.round("mix_gain", 6).alias("gain"),
+        F.round("mix_probability", 6).alias("probability"),
+        F.col("mix_selected").alias("selected"),
+    )
