@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import html_main, lang_id, mixing, neardup, pii, prefix_bpe, recipes, syncmers, token_counts
+from loomwright.llm import chat, hamming, html_main, lang_id, mixing, neardup, pii, prefix_bpe, recipes, syncmers, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,58 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("mix_probability", 6).alias("probability"),
         F.col("mix_selected").alias("selected"),
     )
+
+
+_CHAT_ORACLE = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+sized AS (
+  SELECT *, len(regexp_extract_all(text, '\\|\[SYS\]|\[/SYS\]|\[INST\]|\[/INST\]|\[ANS\]|</s>|\[ROLE\]|\[:\]|\[/ROLE\]')) + length(text)
+    + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 16 + length(role) END AS size FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(size)::BIGINT AS formatted_chars,
+  regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE '?' END, '' ORDER BY turn, role, text), 's?(ua)+') AS valid
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op3_chat_format", _CHAT_ORACLE)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    out = chat.format_conversations(own.unionByName(more)).withColumn("back", chat.read_back(F.col("formatted")))
+    joined = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat.loss_text(F.col("segments"))
+    return out.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(joined, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+_TOP_K_ORACLE = """
+WITH codes AS (SELECT vec_id, list_transform(range(1, 65), lambda i: embedding[i] > 0) AS code FROM embeddings),
+pairs AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS neighbor_id,
+    len(list_filter(range(1, 65), lambda i: q.code[i] <> x.code[i]))::BIGINT AS distance
+  FROM codes q JOIN codes x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op1_multi_index_top_k", _TOP_K_ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every vector whose id 50 divides, among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    codes = vectors.select("vec_id", hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(codes, codes.where("vec_id % 50 = 0"), k=10)
