@@ -37,10 +37,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark send Python at most ``rows`` rows at a time: whole texts can be long.
+
+    Lowers the session's setting where it is higher; results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    # workers live on: what this task held goes back before the next one
+    pa.default_memory_pool().release_unused()
 
 
 def id_bitmap(ids: DataFrame, id_col: str, bits: int = 1 << 21) -> Column:

@@ -10,6 +10,7 @@ pre-token is counted, never the sum.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomwright.llm.shared import slices, written
+from loomwright.llm.shared import slices, small_batches, written
 
 HEAD_SIZE, HEAD_DOCS = 200_000, 4_000
 
@@ -71,12 +72,25 @@ def _frequencies(pattern: str, specials: list[str], shared, longest: int = 64):
 _SCHEMA = "doc_id long, text_hash long, n_bytes long, base long, tail array<string>, freq array<long>"
 
 
-def _pieces(tokenizer_json: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_LOADED: dict[str, Tokenizer] = {}
+
+
+def _load(tokenizer_json: str) -> Tokenizer:
+    """One tokenizer a process, without threads of its own: a task has one core."""
+    if tokenizer_json not in _LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_str(tokenizer_json)
         tok.no_truncation()
         tok.no_padding()
-        for part in slices(batches, 8192):
+        _LOADED.clear()
+        _LOADED[tokenizer_json] = tok
+    return _LOADED[tokenizer_json]
+
+
+def _pieces(tokenizer_json: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = _load(tokenizer_json)
+        for part in slices(batches, 2048):
             got = tok.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x.ids) for x in got], pa.int64())], names=["piece", "n"])
 
@@ -94,6 +108,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, pattern: str, id_col: str
     the table of frequent pre-tokens.
     """
     spark, specials = docs.sparkSession, special_strings(tokenizer_json)
+    small_batches(spark)
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
 
@@ -103,9 +118,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, pattern: str, id_col: str
     seen = sample.mapInArrow(_frequencies(pattern, specials, None), _SCHEMA).select(F.explode(F.arrays_zip("tail", "freq")).alias("x"))
     seen = seen.where(F.length("x.tail") <= 64).groupBy(F.col("x.tail").alias("piece")).agg(F.sum("x.freq").alias("freq"))
     top = [r.piece for r in seen.orderBy(F.desc("freq"), "piece").limit(head_size).collect()]
-    tok = Tokenizer.from_str(tokenizer_json)
-    tok.no_truncation()
-    tok.no_padding()
+    tok = _load(tokenizer_json)
     head = {p: len(e.ids) for k in range(0, len(top), 10_000) for p, e in zip(top[k : k + 10_000], tok.encode_batch_fast(top[k : k + 10_000], add_special_tokens=False), strict=True)}
     shared = spark.sparkContext.broadcast(head)
 
