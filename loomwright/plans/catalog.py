@@ -1,10 +1,8 @@
-"""The registry of queries and of the SQL that checks them."""
+"""The catalogue of all queries of the corpus engine, and of the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomwright.plans import corpus_queries, language_queries, text_queries  # noqa: F401  (they register)
+from loomwright.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
