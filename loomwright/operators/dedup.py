@@ -6,6 +6,8 @@ A pair is reported by the first tier that finds it. All inputs are ``(id, text)`
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,31 +57,54 @@ def shingle_sizes(rows: DataFrame, size: int = T.SHINGLE, form: T.Form = T.plain
     return rows.select("id", F.size(T.shingles(F.col("text"), size, form)).cast("long").alias("n_shingles"))
 
 
+def _signatures(sets: DataFrame, threshold: float) -> DataFrame:
+    """``hash, n, focus, sig``: two sets of that similarity share a signature, whatever they hold.
+
+    Such sets differ in at most ``d = (1 - t) / (1 + t) * (|A| + |B|)`` grams. Their grams are
+    dealt to ``k = d + 1 + m`` buckets by hash, so more than ``m`` buckets are equal in both. A
+    bucket's content is a signature, but weak buckets (of two grams or fewer) are sent only by
+    sets that have more than ``m`` of them: of the equal buckets of a pair, one that is not weak
+    remains if either set has no more than ``m`` weak ones, and else both send all. Sizes fall
+    into classes of ratio ``t``; a set takes part in the pairs that its class, or the one below,
+    is the smaller side of, with the ``k`` of that class.
+    """
+    step = -math.log(threshold)
+    size_class = F.floor(F.log(F.col("n").cast("double") + 1e-9) / step).cast("int")
+    both = sets.withColumn("class", F.explode(F.array(size_class, size_class - 1)))
+    # upper sizes of the class and the next one bound the sizes of a pair
+    top = F.exp((F.col("class") + 1) * step)
+    d = F.floor((1 - threshold) / (1 + threshold) * (top + top / threshold) + 1e-6).cast("int")
+    both = both.withColumn("m", F.ceil(d / 4).cast("int") + 4).withColumn("k", d + 1 + F.col("m"))
+    grams = both.select("hash", "n", "focus", "class", "k", "m", F.explode("grams").alias("g")).withColumn("bucket", F.pmod("g", "k").cast("int"))
+    # a text's rows are in one task already, so neither aggregation moves them
+    filled = grams.groupBy("hash", "n", "focus", "class", "k", "m", "bucket").agg(F.count("*").alias("size"), F.bit_xor("g").alias("x"), F.sum(F.col("g").bitwiseAND(F.lit(0x7FFFFFFF))).alias("s"))
+    whole = filled.groupBy("hash", "n", "focus", "class", "k", "m").agg(F.collect_list(F.struct("bucket", "size", "x", "s")).alias("buckets"))
+    strong = F.filter("buckets", lambda b: b["size"] > 2)
+    empty = F.array_except(F.sequence(F.lit(0), F.col("k") - 1), F.transform("buckets", lambda b: b["bucket"]))
+    sent = F.when(F.col("k") - F.size(strong) > F.col("m"), F.concat(F.transform("buckets", lambda b: F.xxhash64("class", b["bucket"], b["size"], b["x"], b["s"])), F.transform(empty, lambda e: F.xxhash64("class", e))))
+    sent = sent.otherwise(F.transform(strong, lambda b: F.xxhash64("class", b["bucket"], b["size"], b["x"], b["s"])))
+    return whole.select("hash", "n", "focus", F.explode(sent).alias("sig"))
+
+
 def near_exact_pairs(rows: DataFrame, threshold: float = NEAR_EXACT, size: int = T.SHINGLE, form: T.Form = T.plain, drop_exact: bool = True) -> DataFrame:
     """``left_id, right_id, similarity``: exact Jaccard at or over ``threshold``, less exact pairs.
 
-    Equal texts fold into one first. Each remaining text sends only its rarest shingles to the
-    join: two sets of that similarity must share one of the first ``n - ceil(t * n) + 1`` in a
-    common order. Candidates that sizes allow are then compared as whole sets.
+    Equal texts fold into one first, so copies meet once. Candidates share a signature (see
+    :func:`_signatures`; none is missed) and sizes that allow the similarity; they are then
+    compared as whole sets of strings. A text without shingles is in no pair.
     """
     rows = with_focus(rows)
-    keyed = rows.select("id", "focus", T.normalize_for_hash(F.col("text"), form).alias("norm")).withColumn("hash", T.content_hash(F.col("norm")))
-    texts = keyed.groupBy("hash").agg(F.first("norm").alias("norm"), F.max("focus").alias("focus"))
-    sets = texts.select("hash", "focus", T.shingles(F.col("norm"), size).alias("grams")).where(F.size("grams") > 0).withColumn("n", F.size("grams"))
-    grams = sets.select("hash", "focus", "n", F.explode("grams").alias("gram")).withColumn("gram", F.xxhash64("gram"))
-    rarity = grams.groupBy("gram").agg(F.count("*").alias("texts"))
-    ranked = grams.join(rarity.where("texts > 1"), "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
-    order = Window.partitionBy("hash").orderBy("texts", "gram")
-    percent = round(threshold * 1_000_000)
-    prefix = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.expr(f"(cast({percent} as bigint) * n + 999999) div 1000000") + 1)
-    # a gram of one text meets nothing
-    prefix = prefix.where("texts > 1").select("hash", "focus", "n", "gram")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.hash") < F.col("b.hash")) & T.could_reach(F.col("a.n"), F.col("b.n"), threshold) & (F.col("a.focus") | F.col("b.focus")))
+    keyed = rows.select("id", "focus", T.normalize_for_hash(F.col("text"), form).alias("norm")).withColumn("hash", F.unhex(T.content_hash(F.col("norm"))))
+    texts = keyed.where("norm <> ''").groupBy("hash").agg(F.first("norm").alias("norm"), F.max("focus").alias("focus"))
+    # hashes of grams pick the candidates only
+    sets = texts.select("hash", "focus", T.once(F.transform(T.shingles(F.col("norm"), size), lambda g: F.xxhash64(g))).alias("grams")).withColumn("n", F.size("grams"))
+    sig = _signatures(sets, threshold)
+    a, b = sig.alias("a"), sig.alias("b")
+    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.hash") < F.col("b.hash")) & T.could_reach(F.col("a.n"), F.col("b.n"), threshold) & (F.col("a.focus") | F.col("b.focus")))
     met = met.select(F.col("a.hash").alias("ha"), F.col("b.hash").alias("hb")).distinct()
-    whole = sets.select("hash", "grams")
-    met = met.join(whole.select(F.col("hash").alias("ha"), F.col("grams").alias("ga")), "ha").join(whole.select(F.col("hash").alias("hb"), F.col("grams").alias("gb")), "hb")
-    links = met.withColumn("similarity", T.jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") >= threshold).select("ha", "hb", "similarity")
+    met = met.join(texts.select(F.col("hash").alias("ha"), F.col("norm").alias("na")), "ha").join(texts.select(F.col("hash").alias("hb"), F.col("norm").alias("nb")), "hb")
+    similarity = T.let(T.shingles(F.col("na"), size), lambda a: T.let(T.shingles(F.col("nb"), size), lambda b: T.jaccard(a, b)))
+    links = met.select("ha", "hb", T.once(similarity).alias("similarity")).where(F.col("similarity") >= threshold)
     # texts equal as sets but not as strings are near-exact too; equal strings only if asked for
     members = keyed.select("hash", "id", "focus")
     left = members.select(F.col("hash").alias("ha"), F.col("id").alias("ia"), F.col("focus").alias("fa"))
