@@ -29,6 +29,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Image files with ``media_type`` and ``error``; Spark's reader has no row for an empty file."""
     return check_images(spark.read.format("binaryFile").load(path))
 
 
