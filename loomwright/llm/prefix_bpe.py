@@ -17,14 +17,14 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.shared import slices
+from loomwright.llm.pretokens import splitter
+from loomwright.llm.shared import slices, small_batches
 
-#: Encoded pre-tokens that a worker keeps; beyond that it starts afresh.
-CACHE = 250_000
+#: Encoded pre-tokens that a worker keeps in its younger half; the older half is as large.
+CACHE = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -143,17 +143,24 @@ class PrefixBpe:
 
 
 class _Pieces(dict):
-    """Pre-token to its packed ids, encoded when first asked for."""
+    """Pre-token to its packed ids, encoded when first asked for.
+
+    When it is full it becomes the older half: what is asked for again comes back from there,
+    the rest goes when the next half is full. So frequent pre-tokens stay, and memory is bounded.
+    """
 
     def __init__(self, bpe: PrefixBpe) -> None:
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        found = _packed(self.bpe.encode_piece(piece.encode()))
+        found = self.older.get(piece)
+        if found is None:
+            found = _packed(self.bpe.encode_piece(piece.encode()))
         if len(piece) < 64:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
             self[piece] = found
         return found
 
@@ -199,6 +206,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_c
     if clash:
         raise ValueError(f"columns are named like results: {sorted(clash)}")
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)
     kept = docs.select(*keep, F.col(text_col).alias("__text"))
     width = len(keep)
@@ -206,7 +214,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, pieces = _ready(shared.value)
-        split = regex.compile(pattern).findall
+        split = splitter(pattern)
         for part in slices(batches):
             ids = [b"".join(map(pieces.__getitem__, split(t))) if t else b"" for t in part.column(width).to_pylist()]
             back = [bpe.decode(x) for x in ids]
