@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from loomwright.llm.pretokens import splitter
 from loomwright.llm.shared import slices, small_batches, written
 
 HEAD_SIZE, HEAD_DOCS = 200_000, 4_000
@@ -29,7 +30,7 @@ class _Splitter:
     """Pre-tokens of a text and the number of special tokens in it."""
 
     def __init__(self, pattern: str, specials: list[str]) -> None:
-        self.pieces = regex.compile(pattern).findall
+        self.pieces = splitter(pattern)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
 
     def __call__(self, text: str) -> tuple[list[str], int]:
