@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.shared import slices, written
+from loomwright.llm.shared import slices, small_batches, written
 
 #: Training documents, kept words and kept n-grams at most; they bound the broadcast model.
-TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 10_000, 120_000, 120_000
+TRAIN_DOCS, MAX_WORDS, MAX_GRAMS = 10_000, 100_000, 100_000
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -42,21 +42,22 @@ def grams_of(word: str, order: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequency by language of words and of n-grams of each order."""
+    """Log frequency by language of words and of n-grams of each order; a row of ``logs`` for each."""
 
     langs: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
+    words: dict[str, int]
+    grams: dict[str, int]
+    logs: np.ndarray
 
-    def word_scores(self, word: str) -> tuple[float, ...]:
+    def word_scores(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.logs[known]
         for order in ORDERS:
             seen = [g for g in map(self.grams.get, (f"{order}{x}" for x in grams_of(word, order))) if g is not None]
             if seen:
-                return tuple(sum(c) / len(seen) for c in zip(*seen, strict=True))
-        return (0.0,) * len(self.langs)
+                return self.logs[seen].mean(axis=0)
+        return np.zeros(len(self.langs))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,23 +85,43 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order_b
     parameters bound what reaches the driver and is broadcast. No usable rows give a model
     without languages.
     """
+    small_batches(docs.sparkSession)
     lang, text = F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang, text, F.pmod(F.xxhash64(order_by if order_by is not None else F.col(text_col)), F.lit(1_000_000)).alias("at"))
     share = min(1.0, max_docs / max(1, rows.count()))
     units = rows.where(F.col("at") < int(math.ceil(share * 1_000_000))).select("lang", "text").mapInArrow(_counts, "lang string, unit string, n long")
     units = written(units.groupBy("unit", "lang").agg(F.sum("n").alias("n")), "units")
-    by_unit = units.groupBy("unit").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    kind = F.substring("unit", 1, 1) == "w"
+    kind = F.substring("unit", 1, 1)
     # all sums over languages, before anything is left out
-    sums = {(r.kind, r.lang): r.n for r in units.groupBy(F.substring("unit", 1, 1).alias("kind"), "lang").agg(F.sum("n").alias("n")).collect()}
+    sums = {(r.kind, r.lang): r.n for r in units.groupBy(kind.alias("kind"), "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in sums})
-    kept = [r for part, most in ((by_unit.where(kind), max_words), (by_unit.where(~kind), max_grams)) for r in part.where("total > 1").orderBy(F.desc("total"), "unit").limit(most).collect()]
-    sizes = Counter(r.unit[0] for r in kept)
-    logs = {}
-    for r in kept:
-        k = r.unit[0]
-        logs[r.unit] = tuple(math.log((r.by.get(x, 0) + 0.5) / (sums.get((k, x), 0) + 0.5 * (sizes[k] + 1))) for x in langs)
-    return Model(langs, {u[1:]: v for u, v in logs.items() if u[0] == "w"}, {u: v for u, v in logs.items() if u[0] != "w"})
+    by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs)]
+    by_unit = units.groupBy("unit").agg(F.sum("n").alias("total"), *by_lang).where("total > 1")
+    # the least count that keeps no more than the bound, from a histogram of counts
+    top = 5000
+    counted = by_unit.groupBy((kind == "w").alias("word"), F.least("total", F.lit(top)).alias("total")).count().collect()
+    least = {}
+    for word, most in ((True, max_words), (False, max_grams)):
+        held, least[word] = 0, 2
+        for r in sorted((r for r in counted if r.word == word), key=lambda r: -r.total):
+            held += r["count"]
+            if held > most:
+                least[word] = min(top, r.total + 1)
+                break
+    kept = by_unit.where(F.col("total") >= F.when(kind == "w", least[True]).otherwise(least[False])).drop("total").toArrow()
+    names = kept.column("unit").to_pylist()
+    counts = np.array([kept.column(f"n{k}").to_numpy() for k in range(len(langs))], dtype=np.float64).reshape(len(langs), len(names)).T
+    sizes = Counter(n[0] for n in names)
+    below = np.array([[sums.get((n, x), 0) + 0.5 * (sizes[n] + 1) for x in langs] for n in sizes]).reshape(len(sizes), len(langs))
+    place = {n: k for k, n in enumerate(sizes)}
+    logs = np.log((counts + 0.5) / below[[place[n[0]] for n in names]]).astype(np.float32) if names else np.zeros((0, len(langs)), np.float32)
+    words, grams = {}, {}
+    for k, n in enumerate(names):
+        if n[0] == "w":
+            words[n[1:]] = k
+        else:
+            grams[n] = k
+    return Model(langs, words, grams, logs)
 
 
 class _Rows(dict):
