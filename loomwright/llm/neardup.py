@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.components import connected_components
 from loomwright.llm.neardup_kernel import Sketcher, most_differing_bits, overlap, set_key, shingle_set
-from loomwright.llm.shared import id_bitmap, may_hold, slices, written
+from loomwright.llm.shared import id_bitmap, may_hold, slices, small_batches, written
 
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS, SAMPLES, BITS = 32, 4, 256, 1024
@@ -84,7 +84,7 @@ def _settle(width: int, percent: int, cut: int):
         order = np.argsort(ids, kind="stable")
         texts = table["text"]
         bands = np.array(table["bands"].to_pylist(), dtype=np.int64)
-        sketch = np.array(table["sketch"].to_pylist(), dtype=np.int64)
+        sketch = np.array(table["sketch"].to_pylist(), dtype=np.int64).view(np.uint64)  # counting bits of signed numbers counts those of their size
         band = table["band"][0].as_py()
         root = {int(c): int(c) for c in comps}
 
@@ -138,6 +138,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component of its copies (null without any) and is kept only if it has none. Other columns
     of ``docs`` are neither read nor returned; no rows give no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = most_differing_bits(percent / 100, SAMPLES)
     keys = ["n", "k1", "k2"]
@@ -190,7 +191,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one document of each group: the one whose id names the component.
 
     Only rows that a fixed bitmap of the dropped ids may hold are shuffled, for the exact
-    anti-join; all others pass where they are read. Repeated rows of one id become one row.
+    anti-join; all others pass where they are read. Repeated rows of one id become one row; rows
+    with a null id stay, as no id tells them apart.
     """
     verdict = written(near_duplicates(docs, id_col, text_col, width, percent), "verdicts")
     twice = verdict.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
