@@ -86,18 +86,18 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], topic: Column, to
     give no rows.
     """
     own = ["mix_tokens", "mix_topic", "mix_gain", "mix_probability", "mix_selected"]
-    clash = {*own, "__s", "__l", "__t", "__top"} & set(docs.columns)
+    clash = {*own, "__s", "__l", "__t", "__top", "__gain"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns are named like results: {sorted(clash)}")
     rows = docs.withColumn("mix_tokens", tokens)
     rows = rows.withColumn("mix_topic", topic)
     fit = calibrate(rows, F.col(source_col), F.col(lang_col), F.col("mix_topic"), F.col("mix_tokens"), targets)
     top = fit.agg(F.least(F.max("gain"), F.lit(max_gain)).alias("__top"))
-    named = fit.crossJoin(F.broadcast(top)).select(F.col("s").alias("__s"), F.col("l").alias("__l"), F.col("t").alias("__t"), "gain", "__top")
+    named = fit.crossJoin(F.broadcast(top)).select(F.col("s").alias("__s"), F.col("l").alias("__l"), F.col("t").alias("__t"), F.col("gain").alias("__gain"), "__top")
     rows = rows.withColumns({"__s": _category(F.col(source_col), targets["source"]), "__l": _category(F.col(lang_col), targets["lang"]), "__t": _category(F.col("mix_topic"), targets["topic"])})
     # the cells are bounded by the targets, so they are broadcast
     rows = rows.join(F.broadcast(named), ["__s", "__l", "__t"], "left")
-    filled = F.when(F.col("mix_tokens") > 0, F.coalesce("gain", F.lit(0.0))).otherwise(F.lit(0.0))
+    filled = F.when(F.col("mix_tokens") > 0, F.coalesce("__gain", F.lit(0.0))).otherwise(F.lit(0.0))
     rows = rows.withColumn("mix_gain", filled).withColumn("mix_probability", F.when(filled > 0, F.least(F.lit(1.0), filled / F.col("__top"))).otherwise(F.lit(0.0)))
     rows = rows.withColumn("mix_selected", chance(F.col(id_col), seed) < F.col("mix_probability"))
     return rows.select(*docs.columns, *own)
