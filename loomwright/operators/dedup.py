@@ -58,32 +58,36 @@ def shingle_sizes(rows: DataFrame, size: int = T.SHINGLE, form: T.Form = T.plain
 
 
 def _signatures(sets: DataFrame, threshold: float) -> DataFrame:
-    """``hash, n, focus, sig``: two sets of that similarity share a signature, whatever they hold.
+    """``hash, n, focus, sig, own, need``: two sets of that similarity share ``need`` signatures, whatever they hold.
 
     Such sets differ in at most ``d = (1 - t) / (1 + t) * (|A| + |B|)`` grams. Their grams are
     dealt to ``k = d + 1 + m`` buckets by hash, so more than ``m`` buckets are equal in both. A
-    bucket's content is a signature, but weak buckets (of two grams or fewer) are sent only by
-    sets that have more than ``m`` of them: of the equal buckets of a pair, one that is not weak
-    remains if either set has no more than ``m`` weak ones, and else both send all. Sizes fall
-    into classes of ratio ``t``; a set takes part in the pairs that its class, or the one below,
-    is the smaller side of, with the ``k`` of that class.
+    bucket's content is a signature. Weak buckets (of two grams or fewer) are sent only by sets
+    that have more than ``m`` of them; of a set with ``w <= m`` weak ones, at least
+    ``m + 1 - w`` of the equal buckets are not weak, and both sides send those.
+
+    Sizes fall into classes of ratio ``t``. A pair belongs to the class of its smaller side,
+    with that class's ``k``: a set takes part in its own class (``own``) and the one below.
     """
     step = -math.log(threshold)
     size_class = F.floor(F.log(F.col("n").cast("double") + 1e-9) / step).cast("int")
-    both = sets.withColumn("class", F.explode(F.array(size_class, size_class - 1)))
+    both = sets.withColumn("own_class", size_class).withColumn("class", F.explode(F.array(F.col("own_class"), F.col("own_class") - 1))).withColumn("own", F.col("class") == F.col("own_class"))
     # upper sizes of the class and the next one bound the sizes of a pair
     top = F.exp((F.col("class") + 1) * step)
     d = F.floor((1 - threshold) / (1 + threshold) * (top + top / threshold) + 1e-6).cast("int")
     both = both.withColumn("m", F.ceil(d / 4).cast("int") + 4).withColumn("k", d + 1 + F.col("m"))
-    grams = both.select("hash", "n", "focus", "class", "k", "m", F.explode("grams").alias("g")).withColumn("bucket", F.pmod("g", "k").cast("int"))
+    grams = both.select("hash", "n", "focus", "class", "own", "k", "m", F.explode("grams").alias("g")).withColumn("bucket", F.pmod("g", "k").cast("int"))
     # a text's rows are in one task already, so neither aggregation moves them
-    filled = grams.groupBy("hash", "n", "focus", "class", "k", "m", "bucket").agg(F.count("*").alias("size"), F.bit_xor("g").alias("x"), F.sum(F.col("g").bitwiseAND(F.lit(0x7FFFFFFF))).alias("s"))
-    whole = filled.groupBy("hash", "n", "focus", "class", "k", "m").agg(F.collect_list(F.struct("bucket", "size", "x", "s")).alias("buckets"))
+    keys = ["hash", "n", "focus", "class", "own", "k", "m"]
+    filled = grams.groupBy(*keys, "bucket").agg(F.count("*").alias("size"), F.bit_xor("g").alias("x"), F.sum(F.col("g").bitwiseAND(F.lit(0x7FFFFFFF))).alias("s"))
+    whole = filled.groupBy(*keys).agg(F.collect_list(F.struct("bucket", "size", "x", "s")).alias("buckets"))
     strong = F.filter("buckets", lambda b: b["size"] > 2)
+    whole = whole.withColumn("weak", F.col("k") - F.size(strong))
     empty = F.array_except(F.sequence(F.lit(0), F.col("k") - 1), F.transform("buckets", lambda b: b["bucket"]))
-    sent = F.when(F.col("k") - F.size(strong) > F.col("m"), F.concat(F.transform("buckets", lambda b: F.xxhash64("class", b["bucket"], b["size"], b["x"], b["s"])), F.transform(empty, lambda e: F.xxhash64("class", e))))
+    sent = F.when(F.col("weak") > F.col("m"), F.concat(F.transform("buckets", lambda b: F.xxhash64("class", b["bucket"], b["size"], b["x"], b["s"])), F.transform(empty, lambda e: F.xxhash64("class", e))))
     sent = sent.otherwise(F.transform(strong, lambda b: F.xxhash64("class", b["bucket"], b["size"], b["x"], b["s"])))
-    return whole.select("hash", "n", "focus", F.explode(sent).alias("sig"))
+    need = F.greatest(F.lit(1), F.col("m") + 1 - F.col("weak"))
+    return whole.select("hash", "n", "focus", "own", need.alias("need"), F.explode(sent).alias("sig"))
 
 
 def near_exact_pairs(rows: DataFrame, threshold: float = NEAR_EXACT, size: int = T.SHINGLE, form: T.Form = T.plain, drop_exact: bool = True) -> DataFrame:
@@ -100,8 +104,8 @@ def near_exact_pairs(rows: DataFrame, threshold: float = NEAR_EXACT, size: int =
     sets = texts.select("hash", "focus", T.once(F.transform(T.shingles(F.col("norm"), size), lambda g: F.xxhash64(g))).alias("grams")).withColumn("n", F.size("grams"))
     sig = _signatures(sets, threshold)
     a, b = sig.alias("a"), sig.alias("b")
-    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.hash") < F.col("b.hash")) & T.could_reach(F.col("a.n"), F.col("b.n"), threshold) & (F.col("a.focus") | F.col("b.focus")))
-    met = met.select(F.col("a.hash").alias("ha"), F.col("b.hash").alias("hb")).distinct()
+    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.hash") < F.col("b.hash")) & T.could_reach(F.col("a.n"), F.col("b.n"), threshold) & (F.col("a.focus") | F.col("b.focus")) & (F.col("a.own") | F.col("b.own")))
+    met = met.groupBy(F.col("a.hash").alias("ha"), F.col("b.hash").alias("hb")).agg(F.count("*").alias("shared"), F.max(F.greatest("a.need", "b.need")).alias("need")).where("shared >= need").select("ha", "hb")
     met = met.join(texts.select(F.col("hash").alias("ha"), F.col("norm").alias("na")), "ha").join(texts.select(F.col("hash").alias("hb"), F.col("norm").alias("nb")), "hb")
     similarity = T.let(T.shingles(F.col("na"), size), lambda a: T.let(T.shingles(F.col("nb"), size), lambda b: T.jaccard(a, b)))
     links = met.select("ha", "hb", T.once(similarity).alias("similarity")).where(F.col("similarity") >= threshold)
