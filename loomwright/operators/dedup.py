@@ -62,7 +62,7 @@ def _signatures(sets: DataFrame, threshold: float) -> DataFrame:
 
     Such sets differ in at most ``d = (1 - t) / (1 + t) * (|A| + |B|)`` grams. Their grams are
     dealt to ``k = d + 1 + m`` buckets by hash, so more than ``m`` buckets are equal in both. A
-    bucket's content is a signature. Weak buckets (of two grams or fewer) are sent only by sets
+    bucket's content is a signature. Weak buckets (of one gram or none) are sent only by sets
     that have more than ``m`` of them; of a set with ``w <= m`` weak ones, at least
     ``m + 1 - w`` of the equal buckets are not weak, and both sides send those.
 
@@ -81,7 +81,7 @@ def _signatures(sets: DataFrame, threshold: float) -> DataFrame:
     keys = ["hash", "n", "focus", "class", "own", "k", "m"]
     filled = grams.groupBy(*keys, "bucket").agg(F.count("*").alias("size"), F.bit_xor("g").alias("x"), F.sum(F.col("g").bitwiseAND(F.lit(0x7FFFFFFF))).alias("s"))
     whole = filled.groupBy(*keys).agg(F.collect_list(F.struct("bucket", "size", "x", "s")).alias("buckets"))
-    strong = F.filter("buckets", lambda b: b["size"] > 2)
+    strong = F.filter("buckets", lambda b: b["size"] > 1)
     whole = whole.withColumn("weak", F.col("k") - F.size(strong))
     empty = F.array_except(F.sequence(F.lit(0), F.col("k") - 1), F.transform("buckets", lambda b: b["bucket"]))
     sent = F.when(F.col("weak") > F.col("m"), F.concat(F.transform("buckets", lambda b: F.xxhash64("class", b["bucket"], b["size"], b["x"], b["s"])), F.transform(empty, lambda e: F.xxhash64("class", e))))
