@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.functions.workers import reach_workers
 from loomwright.schemas import LEVELS, NODE, NODE_TYPES, STATUSES, TRANSPARENCIES
 
 try:
@@ -57,6 +58,7 @@ def dump_node(node: dict) -> str:
 
 def read_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """All ``*.md`` of a folder as nodes, by id; a bad file fails the read with its name."""
+    reach_workers(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +77,8 @@ def read_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 def node_texts(nodes: DataFrame) -> DataFrame:
     """``id, text``: the file text of each node."""
+    reach_workers(nodes.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parsed = [json.loads(x) for x in batch.column(1).to_pylist()]
