@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.shared import written
+from loomwright.llm.shared import small_batches, written
 
 BITS, SEGMENTS = 64, 4
 ROW_BLOCK, QUERY_BLOCK = 1 << 16, 1 << 9
@@ -145,6 +145,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", c
     counts with each of them, its nearest first. Fewer than k rows give fewer answers; no rows
     or queries give none; other columns are not read.
     """
+    small_batches(rows.sparkSession)
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(code_col).cast("long").alias("code")).dropna().distinct()
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(code_col).cast("long").alias("query_code")).dropna().distinct()
     low = Window.partitionBy("code").orderBy("id")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.functions.workers import reach_workers
+
 #: Rows that one Python call holds at a time; a batch from Spark is cut into such slices.
 SLICE_ROWS = 256
 
@@ -40,8 +42,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Spark send Python at most ``rows`` rows at a time: whole texts can be long.
 
-    Lowers the session's setting where it is higher; results do not depend on it.
+    Lowers the session's setting where it is higher; results do not depend on it. Also lets
+    workers import this package.
     """
+    reach_workers(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
