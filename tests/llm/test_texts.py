@@ -142,14 +142,6 @@ def test_mixing_odd_rows(spark):
         mixing.calibrate(docs, F.col("source"), F.col("lang"), F.lit("x"), F.lit(1), {"source": {"a": -1.0}, "lang": {}, "topic": {}})
 
 
-def plain_anchors(words, k=5, s=2):
-    """Chosen places by the definition, over any order of inner substrings."""
-    inner = {}
-    for i in range(len(words) - s + 1):
-        inner.setdefault(tuple(words[i : i + s]), None)
-    return inner
-
-
 def test_fingerprints(spark):
     words = " ".join(f"w{(k * k) % 97}" for k in range(400))
     moved = "ein anderer anfang " + words
