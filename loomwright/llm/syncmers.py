@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from loomwright.llm.shared import id_bitmap, may_hold, written
 
 K, S = 5, 2
-#: Ids to a bucket, as a power of two, when documents are put in order.
-BUCKET = 10
+#: Ids to a bucket, and buckets to a block, as powers of two, when documents are put in order.
+BUCKET, BLOCK = 8, 14
 
 
 def let(value: Column, body) -> Column:
@@ -75,10 +75,10 @@ def as_text(print_: Column) -> Column:
 def _following(buckets: DataFrame) -> DataFrame:
     """``bucket, onto``: for each bucket the next higher one, for the highest the lowest.
 
-    Works in two levels, so that no task gets more than 1024 buckets, but for the groups' own
-    extremes: one row for 1024 * 1024 ids.
+    Works in two levels: a task orders 16,384 buckets at most, and one task the blocks' own
+    extremes, which are one row for four million ids.
     """
-    buckets = buckets.select("bucket", F.shiftright("bucket", BUCKET).alias("block"))
+    buckets = buckets.select("bucket", F.shiftright("bucket", BLOCK).alias("block"))
     inside = buckets.withColumn("onto", F.lead("bucket").over(Window.partitionBy("block").orderBy("bucket")))
     ends = buckets.groupBy("block").agg(F.min("bucket").alias("low"))
     order = Window.orderBy("block")
@@ -92,7 +92,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, extra=lambda text: {}
 
     Returns ``doc_id, text`` and the columns of ``extra`` (computed from the text, once), and
     the same of the next document with the prefix ``next_``. Ids are put in order within
-    buckets of 1024 ids; the first document of each bucket is also sent to the next higher one,
+    buckets of 256 ids; the first document of each bucket is also sent to the next higher one,
     so one shuffle of the texts suffices and no task holds them all. Rows of one id follow each
     other by text; null ids come last, null texts count as empty.
     """
