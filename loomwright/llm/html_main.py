@@ -3,9 +3,9 @@
 A page is a sequence of words and tags. Words score positive, tags negative; the run of
 tokens with the greatest sum, found in one linear scan, is the content region. The weights
 come from labelled pages: pages whose markup says where their article is tell how often each
-tag, and a word inside and outside a link, stands within it. Menus, forms, adverts, comments
-and the like are left out of the region by the names of their elements; they and scripts
-never count as words.
+tag stands within it, and that words outside it do not count. Menus, forms, adverts, comments
+and the like are known by the names of their elements; with all that they hold, and scripts,
+they are no part of the sequence.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.shared import slices
+from loomwright.llm.shared import slices, small_batches
 
 #: Labelled pages at most from which weights are learned.
 TRAIN_PAGES = 2_000
@@ -41,21 +41,25 @@ DROPPED_NAMES = frozenset(
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay pagination pager widget widgets skip".split()
 )
 DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search form menu menubar dialog alert alertdialog".split())
-ARTICLE_NAMES = frozenset("article post entry story content main body".split())
+ARTICLE_NAMES = frozenset("article post entry story".split())
+TITLE_NAMES = ARTICLE_NAMES | frozenset("page title content".split())
+NOT_ITSELF = frozenset("has with without no not open closed".split())
+ONE_COMMENT = frozenset("comment reply".split())
 
 
 @dataclass
 class Weights:
-    """Score of a word, of a word in a link, and of each tag; unknown tags take ``other``."""
+    """Score of a word, of one in a link, of one outside the article that a page marks, and of each tag."""
 
     word: float = 1.0
     link_word: float = 0.2
-    other: float = -1.0
+    outside_word: float = -1.0
+    other: float = -0.25
     tags: dict[str, float] = field(default_factory=dict)
 
 
-def _hint(tag: str) -> tuple[set[str], set[str], bool, bool]:
-    """Names in class and id, names in role and itemprop, and whether the element is hidden, or the article."""
+def _hint(tag: str) -> tuple[set[str], set[str], bool]:
+    """Names in class and id, names in role and itemprop, and whether the element is hidden."""
     names: set[str] = set()
     roles: set[str] = set()
     hidden = False
@@ -69,20 +73,58 @@ def _hint(tag: str) -> tuple[set[str], set[str], bool, bool]:
             hidden |= bool(re.search(r"display\s*:\s*none", value))
         elif key == "hidden" or value == "true":
             hidden = True
-    return names, roles, hidden, bool(roles & {"main", "articlebody"})
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """``(kind, value, in_link, in_article)``: kind is "text" (not decoded), "tag" or "block".
-
-    "block" stands for a border between blocks, before its tag. Dropped elements give their
-    tags and no text. Markup that isn't closed or nested well is read leniently: an end tag
-    closes what was opened since its start tag, one without a start tag closes nothing, and
-    the start of an article ends any dropped element that was left open.
+    return names, roles, hidden
+
+
+def _mark(name: str, names: set[str], roles: set[str]) -> int:
+    """2 for an element that is an article, 1 for one that holds the page's main part, else 0."""
+    if name == "article" or "articlebody" in roles:
+        return 0 if names & ONE_COMMENT else 2
+    return int(name == "main" or "main" in roles)
+
+
+def _is_dropped(name: str, names: set[str], roles: set[str], hidden: bool, within: bool) -> bool:
+    """Whether an element holds no main text; ``within``: it stands in an article or the like."""
+    if name in DROPPED or hidden or roles & DROPPED_ROLES:
+        return True
+    if name == "header":
+        return not within
+    if name in ("html", "body", "main"):
+        return False
+    if name == "article":
+        return bool(names & ONE_COMMENT)
+    if names & DROPPED_NAMES and not names & NOT_ITSELF:
+        return True
+    return "header" in names and not within and not names & TITLE_NAMES
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
+    """``(kind, value, in_link, mark)``: kind is "text" (not decoded), "tag" or "block".
+
+    "block" stands for a border between blocks. ``mark`` is that of the innermost marked
+    element around a token (see :func:`_mark`). Dropped elements give a border only. Markup
+    that isn't closed or nested well is read leniently: an end tag closes what was opened
+    since its start tag, one without a start tag closes nothing, and the start of an article
+    ends any dropped element that was left open.
     """
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, int, bool]] = []
     is_open: Counter = Counter()
-    dropped = links = marked = 0
+    dropped = links = held = 0
+    marks = [0]
+
+    def close(name: str) -> None:
+        nonlocal dropped, links, held
+        while True:
+            top, was_dropped, mark, holds = stack.pop()
+            is_open[top] -= 1
+            dropped -= was_dropped
+            links -= top == "a"
+            held -= holds
+            if mark:
+                marks.pop()
+            if top == name:
+                return
+
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.match(page, at)
@@ -90,69 +132,59 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         piece = m[0]
         if piece[0] != "<" or piece == "<":
             if not dropped:
-                yield "text", piece, links > 0, marked > 0
+                yield "text", piece, links > 0, marks[-1]
             continue
         if piece[1] in "!?":
             continue
         name = _NAME.match(piece)[1].lower()
-        closing = piece[1] == "/"
         if name not in INLINE:
-            yield "block", name, False, marked > 0
-        if closing:
+            yield "block", name, False, marks[-1]
+        if piece[1] == "/":
+            was = dropped
             if is_open[name]:
-                while True:
-                    top, was_dropped, was_marked = stack.pop()
-                    is_open[top] -= 1
-                    dropped -= was_dropped
-                    marked -= was_marked
-                    links -= top == "a"
-                    if top == name:
-                        break
-            yield "tag", "/" + name, False, marked > 0
+                close(name)
+            if not was:
+                yield "tag", "/" + name, False, marks[-1]
             continue
-        names, roles, hidden, is_main = _hint(piece) if " " in piece or "\n" in piece else (set(), set(), False, False)
-        article = name in ("article", "main") or is_main
-        if article and dropped and name in ("article", "main"):
-            stack = [(n, False, k) for n, _, k in stack]
+        if name == "p" and is_open["p"]:
+            close("p")
+        names, roles, hidden = _hint(piece) if " " in piece or "\n" in piece else (set(), set(), False)
+        mark = _mark(name, names, roles)
+        if mark and dropped and name in ("article", "main"):
+            stack = [(n, False, k, h) for n, _, k, h in stack]
             dropped = 0
-        yield "tag", name, False, marked > 0
+        bad = _is_dropped(name, names, roles, hidden, marks[-1] > 0 or held > 0)
+        if not dropped and not bad:
+            yield "tag", name, False, marks[-1]
         if name in VOID or piece.endswith("/>"):
             continue
         if name in _RAW_END:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else size
             continue
-        if name == "p" and is_open["p"]:
-            while True:
-                top, was_dropped, was_marked = stack.pop()
-                is_open[top] -= 1
-                dropped -= was_dropped
-                marked -= was_marked
-                links -= top == "a"
-                if top == "p":
-                    break
-        page_head = name == "header" and not marked
-        bad = name in DROPPED or page_head or hidden or bool(roles & DROPPED_ROLES) or bool(names & DROPPED_NAMES) and not article and name not in ("html", "body") and not names & ARTICLE_NAMES
-        if bad and names & ARTICLE_NAMES and name not in DROPPED:
-            bad = hidden
-        if names & {"comments", "comment", "commentlist", "disqus", "respond", "replies"} and not article:
-            bad = True
-        stack.append((name, bad, article))
+        holds = bool(names & ARTICLE_NAMES)
+        stack.append((name, bad, mark, holds))
         is_open[name] += 1
         dropped += bad
-        marked += article
         links += name == "a"
+        held += holds
+        if mark:
+            marks.append(max(mark, marks[-1]))
 
 
 def page_counts(page: str) -> Counter | None:
-    """Tokens inside and outside the labelled article; ``None`` if the page labels none."""
+    """Tokens inside and outside the marked article; ``None`` if the page marks none."""
+    every = [(kind, value, link, mark) for kind, value, link, mark in tokens(page) if kind != "block"]
+    top = max((mark for _, _, _, mark in every), default=0)
+    if not top:
+        return None
     seen: Counter = Counter()
-    for kind, value, link, inside in tokens(page):
+    for kind, value, link, mark in every:
         if kind == "text":
-            seen["link_word" if link else "word", inside] += len(value.split())
-        elif kind == "tag":
-            seen[value, inside] += 1
-    return seen if any(inside and n for (_, inside), n in seen.items()) else None
+            seen["link_word" if link else "word", mark == top] += len(value.split())
+        else:
+            seen[value, mark == top] += 1
+    return seen
 
 
 def _count_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +203,9 @@ def weigh(counts: dict[tuple[str, bool], int]) -> Weights:
         return (counts.get((token, True), 0) + 1) / (counts.get((token, True), 0) + counts.get((token, False), 0) + 2)
 
     tags = {t: -0.2 - 3.8 * (1 - share(t)) for t, _ in counts if t not in ("word", "link_word")}
-    return Weights(max(0.2, share("word")), 0.2 * share("link_word"), -1.0, tags)
+    within, outside = counts.get(("word", True), 0) + 1, counts.get(("word", False), 0) + 1
+    link = (counts.get(("link_word", True), 0) + 1) / (counts.get(("link_word", True), 0) + counts.get(("link_word", False), 0) + 2)
+    return Weights(1.0, max(0.1, link), -max(0.5, min(1.0, within / outside)), -0.25, tags)
 
 
 def learn(pages: DataFrame, html_col: str = "html", max_pages: int = TRAIN_PAGES) -> Weights:
@@ -180,6 +214,7 @@ def learn(pages: DataFrame, html_col: str = "html", max_pages: int = TRAIN_PAGES
     About ``max_pages`` pages at most, by the hash of the page, are read whole. Only counts by
     tag name come to the driver. Without labelled pages the defaults hold.
     """
+    small_batches(pages.sparkSession)
     html = F.col(html_col)
     rows = pages.where(html.isNotNull()).select(html.alias("html"))
     share = min(1.0, max_pages / max(1, rows.count()))
@@ -195,8 +230,10 @@ def main_text(page: str | None, weights: Weights) -> str:
     """The main text of one page; empty if it has none."""
     if not page:
         return ""
+    every = list(tokens(page))
+    marked = max((mark for kind, _, _, mark in every if kind == "text"), default=0)
     best, best_at, total, begin, items = 0.0, (0, 0), 0.0, 0, []
-    for kind, value, link, _ in tokens(page):
+    for kind, value, link, mark in every:
         if kind == "block":
             items.append(" ")
             continue
@@ -205,7 +242,7 @@ def main_text(page: str | None, weights: Weights) -> str:
             items.append("")
         else:
             n = len(value.split())
-            total += n * (weights.link_word if link else weights.word)
+            total += n * (weights.outside_word if mark < marked else weights.link_word if link else weights.word)
             items.append(value)
         if total <= 0.0:
             total, begin = 0.0, len(items)
@@ -224,6 +261,7 @@ def extract(pages: DataFrame, weights: Weights, html_col: str = "html", keep: tu
     """
     if text_out in keep:
         raise ValueError(f"a column is named like the result: {text_out}")
+    small_batches(pages.sparkSession)
     shared, width = pages.sparkSession.sparkContext.broadcast(weights), len(keep)
     kept = pages.select(*keep, F.col(html_col).alias("__html"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:width]), f"`{text_out}` string"])
