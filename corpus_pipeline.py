@@ -16,15 +16,16 @@ from loomwright.llm import lang_id, mixing, neardup, pii, prefix_bpe, recipes
 from loomwright.llm.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Least score of a language that is accepted.
-LEAST_SCORE = 0.5
+#: Least score of a language that is accepted, and least share of a text's longest n-grams that
+#: training saw in it: the score only compares the learned languages, so it alone accepts any text.
+LEAST_SCORE, LEAST_KNOWN = 0.5, 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sets ``lang`` to the predicted language; documents without one (null or letterless text, or a score under 0.5) go."""
+    """Sets ``lang`` to the predicted language; documents without one (null or letterless text, a score under 0.5, or a text of which training knows less than 0.4) go."""
     model = lang_id.fit(docs, order_by=F.col("doc_id"))
-    told = lang_id.identify(docs, model, keep=("doc_id", "text", "source", "n_chars"))
-    sure = (F.col("lang_pred") != lang_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    told = lang_id.identify(docs, model, keep=("doc_id", "text", "source", "n_chars"), known_out="known")
+    sure = (F.col("lang_pred") != lang_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE) & (F.col("known") >= LEAST_KNOWN)
     return told.where(sure).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

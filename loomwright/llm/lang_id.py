@@ -48,6 +48,8 @@ class Model:
     words: dict[str, int]
     grams: dict[str, int]
     logs: np.ndarray
+    #: For each row, the languages that training saw the unit in: a bit in a lane of 32 for each.
+    seen: list[int]
 
     def word_scores(self, word: str) -> np.ndarray:
         known = self.words.get(word)
@@ -59,6 +61,13 @@ class Model:
                 return self.logs[seen].mean(axis=0)
         return np.zeros(len(self.langs))
 
+    def word_evidence(self, word: str) -> tuple[int, ...]:
+        """For each language, how many of the word's longest n-grams training saw in it; then how many there are."""
+        order = min(ORDERS[0], len(word) + 2)
+        grams = grams_of(word, order)
+        total = sum(self.seen[g] for g in map(self.grams.get, [f"{order}{x}" for x in grams]) if g is not None)
+        return *((total >> 32 * k) & 0xFFFFFFFF for k in range(len(self.langs))), len(grams)
+
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
@@ -121,60 +130,85 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order_b
             words[n[1:]] = k
         else:
             grams[n] = k
-    return Model(langs, words, grams, logs)
+    # few values are different, so the list holds few objects
+    lanes = {x: sum(1 << 32 * k for k, n in enumerate(x) if n) for x in set(map(tuple, (counts > 0).tolist()))}
+    return Model(langs, words, grams, logs, [lanes[x] for x in map(tuple, (counts > 0).tolist())])
 
 
 class _Rows(dict):
-    """Word to its row of a growing score matrix; scored when first met."""
+    """Word to its row of a growing matrix; computed when first met.
+
+    Columns are the scores by language and, if ``evidence`` is asked for, the word's evidence.
+    """
 
-    def __init__(self, model: Model) -> None:
+    def __init__(self, model: Model, evidence: bool = False) -> None:
         super().__init__()
-        self.model = model
-        self.scores = np.zeros((4096, len(model.langs)))
+        self.model, self.n, self.evidence = model, len(model.langs), evidence
+        self.scores = np.zeros((4096, self.n + (self.n + 1) * evidence), np.float32)
 
     def __missing__(self, word: str) -> int:
         row = len(self)
         if row == len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[row] = self.model.word_scores(word)
+        self.scores[row, : self.n] = self.model.word_scores(word)
+        if self.evidence:
+            # shorter words are alike in many languages
+            self.scores[row, self.n :] = self.model.word_evidence(word) if len(word) + 2 >= ORDERS[0] else 0
         self[word] = row
         return row
 
 
-def predict_text(rows: _Rows, text: str | None) -> tuple[str, float]:
-    """Language and score: the share of the best language when the mean score of up to 20 words speaks."""
+def predict_text(rows: _Rows, text: str | None) -> tuple[str, float, float]:
+    """Language, score and known share.
+
+    The score is the share of the best language when the mean score of up to 20 words speaks. It
+    weighs the learned languages against each other only. The known share is that of the
+    text's longest n-grams which training saw in the language: it is low for languages that
+    were not learned and for random letters. Words too short for the longest n-grams count
+    (whole) only where a text has no others. It is 0 if ``rows`` are without evidence.
+    """
     words = words_of(text)
     if not words or not rows.model.langs:
-        return UNDETERMINED, 0.0
+        return UNDETERMINED, 0.0, 0.0
     if len(rows) > _CACHE:
         rows.clear()
     at = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
-    mean = rows.scores[at].mean(axis=0)
+    means = rows.scores[at].mean(axis=0, dtype=np.float64)
+    mean = means[: rows.n]
     best = int(np.argmax(mean))
     odds = np.exp((mean - mean[best]) * min(len(words), 20))
-    return rows.model.langs[best], float(1.0 / odds.sum())
+    known = 0.0
+    if rows.evidence:
+        found = means[rows.n :] if means[-1] > 0 else np.sum([rows.model.word_evidence(w) for w in words], axis=0)
+        known = float(found[best] / found[-1])
+    return rows.model.langs[best], float(1.0 / odds.sum()), known
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), lang_out: str = "lang_pred", score_out: str = "score", known_out: str | None = None) -> DataFrame:
     """Columns ``keep`` of every row with the predicted language and a score from 0 to 1.
 
+    The score compares the learned languages only, so it is high for other languages too; with
+    ``known_out`` there is a column of this name with the known share of the text (see :func:`predict_text`).
+
     Only the text is looked at. A null text and a text without letters give ``und`` and 0; so
     does a model without languages. Equal scores take the first language in order; repeated
     rows give repeated rows; no rows give no rows. A ``keep`` column named like a result is an
     error.
     """
-    clash = {lang_out, score_out} & set(keep)
+    results = [lang_out, score_out, *([known_out] if known_out else [])]
+    clash = set(results) & set(keep)
     if clash:
         raise ValueError(f"columns are named like results: {sorted(clash)}")
     small_batches(docs.sparkSession)
     shared, width = docs.sparkSession.sparkContext.broadcast(model), len(keep)
     kept = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:width]), f"`{lang_out}` string", f"`{score_out}` double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:width]), f"`{lang_out}` string", *(f"`{c}` double" for c in results[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _Rows(shared.value)
+        rows = _Rows(shared.value, known_out is not None)
         for part in slices(batches):
             got = [predict_text(rows, t) for t in part.column(width).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*keep, lang_out, score_out])
+            told = [pa.array([x[k] for x in got], pa.string() if k == 0 else pa.float64()) for k in range(len(results))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:width], *told], names=[*keep, *results])
 
     return kept.mapInArrow(run, schema)

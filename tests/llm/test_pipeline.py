@@ -1,5 +1,8 @@
 """The pipeline's stages against plain versions of what each decides."""
 
+import base64
+import random
+
 import numpy as np
 import public_tokenizers
 import tiktoken
@@ -53,3 +56,22 @@ def test_odd_documents(spark, sf_dir):
     for name, stage in cp.STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     assert docs.count() <= 3
+
+
+def test_foreign_and_random_texts_go(spark, sf_dir):
+    rng = random.Random(5)
+    odd = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri.",
+        "Todos os seres humanos nascem livres e iguais em dignidade e em direitos.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 10))) for _ in range(200)),
+        " ".join(f"{rng.getrandbits(128):032x}" for _ in range(50)),
+        base64.b64encode(rng.randbytes(2000)).decode(),
+    ]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*cp.COLUMNS)
+    # each is labelled with no language, so that none is learned
+    more = spark.createDataFrame([(10**9 + k, t, None, "src0", len(t)) for k, t in enumerate(odd)], docs.schema)
+    told = {r.doc_id for r in cp.identify_language(spark, docs.unionByName(more), sf_dir).select("doc_id").collect()}
+    assert told == {r.doc_id for r in docs.select("doc_id").collect()}
