@@ -29,8 +29,8 @@ def let(value: Column, body) -> Column:
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """Anchors of a text, ``array<struct<at: int, hash: int>>``: symbol number and k-mer hash, in order.
 
-    A text of fewer than ``k`` symbols is one k-mer of all of them; a text without symbols (or
-    null) has no anchors.
+    A text of fewer than ``k`` symbols is one k-mer of all of them, and so is a longer one none
+    of whose k-mers is chosen; a text without symbols (or null) has no anchors.
     """
     if not 0 < s < k:
         raise ValueError("the inner substrings must be shorter than the k-mers")
@@ -52,7 +52,9 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
             return F.array_compact(F.transform(F.sequence(F.lit(0), n - k), at))
 
         whole = F.array(F.struct(F.lit(0).alias("at"), short(F.xxhash64(h, n)).alias("hash")))
-        return F.when(n >= k, let(inner, choose)).when(n > 0, whole).otherwise(F.slice(whole, 1, 0))
+        # with few k-mers it may be that none is chosen
+        some = let(let(inner, choose), lambda c: F.when(F.size(c) > 0, c).otherwise(whole))
+        return F.when(n >= k, some).when(n > 0, whole).otherwise(F.slice(whole, 1, 0))
 
     return let(F.transform(symbols, lambda w: F.xxhash64(w)), over)
 

@@ -155,6 +155,17 @@ def test_fingerprints(spark):
     assert max(b - a for a, b in zip(row.at, row.at[1:], strict=False)) <= 4
 
 
+@pytest.mark.parametrize(("k", "s"), [(5, 2), (9, 2)])
+def test_no_text_with_symbols_is_without_anchor(spark, k, s):
+    rows = [(n, " ".join(f"t{j}x{n}y{w}" for w in range(n))) for n in range(1, 13) for j in range(60)] + [(0, ""), (0, " \n"), (0, None)]
+    df = spark.createDataFrame(rows, "n int, text string").select("n", "text", syncmers.fingerprint(F.col("text"), k, s).alias("f"))
+    got = df.collect()
+    assert all((len(r.f) > 0) == (r.n > 0) for r in got)
+    # texts that differ in every symbol are not alike
+    held = [tuple(r.f) for r in got if r.n in (5, 6)]
+    assert len(set(held)) == len(held)
+
+
 def test_edits_and_next(spark):
     rows = [(k * 1500, " ".join(f"d{k}w{j}" for j in range(60))) for k in range(7)] + [(3, None), (5, ""), (7, "ab"), (None, "lost one here"), (7, "ab"), (8, "x" * 50_000)]
     docs = spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, text string, fingerprint string")
