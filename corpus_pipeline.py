@@ -43,7 +43,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose expected tokens have the target shares of source, language and topic."""
-    mixed = mixing.mix(docs.select(*COLUMNS), recipes.TARGETS, recipes.topic(F.col("text"), F.col("mix_tokens")), mixing.n_tokens(F.col("text")))
+    mixed = mixing.mix(docs.select(*COLUMNS), recipes.TARGETS, recipes.topic(F.col("text"), F.col("mix_tokens"), masked=True), mixing.n_tokens(F.col("text")))
     return mixed.where("mix_selected").select(*COLUMNS)
 
 

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.shared import written
 
-#: Rounds of fitting, and the largest gain that probabilities are scaled to. A cell whose gain
-#: is larger keeps all its documents, rather than making all others rare.
-ROUNDS, MAX_GAIN = 60, 4.0
+#: Rounds of fitting.
+ROUNDS = 60
 WORD = r"[^\x09\x0A\x0D\x20]+"
 OTHER = "*"
 
@@ -77,7 +76,7 @@ def chance(id_: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]], topic: Column, tokens: Column, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", seed: int = 7, max_gain: float = MAX_GAIN) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]], topic: Column, tokens: Column, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", seed: int = 7) -> DataFrame:
     """``docs`` with ``mix_tokens``, ``mix_topic``, ``mix_gain``, ``mix_probability`` and ``mix_selected``.
 
     Every document of the input has a row. A document without tokens (null or blank text) is
@@ -92,12 +91,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], topic: Column, to
     rows = docs.withColumn("mix_tokens", tokens)
     rows = rows.withColumn("mix_topic", topic)
     fit = calibrate(rows, F.col(source_col), F.col(lang_col), F.col("mix_topic"), F.col("mix_tokens"), targets)
-    top = fit.agg(F.least(F.max("gain"), F.lit(max_gain)).alias("__top"))
+    top = fit.agg(F.max("gain").alias("__top"))
     named = fit.crossJoin(F.broadcast(top)).select(F.col("s").alias("__s"), F.col("l").alias("__l"), F.col("t").alias("__t"), F.col("gain").alias("__gain"), "__top")
     rows = rows.withColumns({"__s": _category(F.col(source_col), targets["source"]), "__l": _category(F.col(lang_col), targets["lang"]), "__t": _category(F.col("mix_topic"), targets["topic"])})
     # the cells are bounded by the targets, so they are broadcast
     rows = rows.join(F.broadcast(named), ["__s", "__l", "__t"], "left")
     filled = F.when(F.col("mix_tokens") > 0, F.coalesce("__gain", F.lit(0.0))).otherwise(F.lit(0.0))
-    rows = rows.withColumn("mix_gain", filled).withColumn("mix_probability", F.when(filled > 0, F.least(F.lit(1.0), filled / F.col("__top"))).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("mix_gain", filled).withColumn("mix_probability", F.when(filled > 0, filled / F.col("__top")).otherwise(F.lit(0.0)))
     rows = rows.withColumn("mix_selected", chance(F.col(id_col), seed) < F.col("mix_probability"))
     return rows.select(*docs.columns, *own)

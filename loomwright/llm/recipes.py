@@ -13,8 +13,13 @@ TARGETS: dict[str, dict[str, float]] = {
 }
 
 
-def topic(text: Column, tokens: Column) -> Column:
-    """Topic of a document, by what it holds and how long it is."""
+def topic(text: Column, tokens: Column, masked: bool = False) -> Column:
+    """Topic of a document, by what it holds and how long it is.
+
+    In a ``masked`` text the marks of addresses and phone numbers stand for what they replaced.
+    """
     legal = F.contains(text, F.lit("License")) | F.contains(text, F.lit("Copyright")) | F.contains(text, F.lit("copyright"))
     contact = F.contains(text, F.lit("@")) | F.contains(text, F.lit("+1 ("))
+    if masked:
+        contact = contact | F.contains(text, F.lit("[EMAIL]")) | F.contains(text, F.lit("[PHONE]"))
     return F.when(legal, "legal").when(contact, "contact").when(tokens < 150, "short").when(tokens >= 1200, "long").otherwise("prose")

@@ -131,6 +131,21 @@ def test_raking_reaches_marginals(spark):
     assert 0.2 < got.mix_selected.mean() / got.mix_probability.mean() < 1.8
 
 
+def test_rare_cells_keep_the_targets(spark):
+    targets = {"source": {"a": 1.0}, "lang": {"en": 1.0}, "topic": {"x": 0.5, "y": 0.5}}
+    # the gain of y is 10, of x 10 / 19
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("en").alias("lang"), F.when(F.col("id") % 20 == 0, "y").otherwise("x").alias("topic"))
+    got = mixing.mix(docs, targets, F.col("topic"), F.lit(3).cast("long")).groupBy("topic").agg(F.sum("mix_probability").alias("p"), F.sum(F.col("mix_selected").cast("int")).alias("n")).toPandas().set_index("topic")
+    assert got.p["x"] == pytest.approx(got.p["y"], rel=1e-6) and got.n["y"] == 1000 and 850 < got.n["x"] < 1150
+
+
+def test_masked_contacts_stay_contacts(spark):
+    texts = ["write to [EMAIL] now", "call [PHONE] now", "write to a@b.org", "[CARD] only"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    told = docs.select(recipes.topic(F.col("text"), F.lit(5), masked=True)).collect()
+    assert [r[0] for r in told] == ["contact", "contact", "contact", "short"]
+
+
 def test_mixing_odd_rows(spark):
     schema = "doc_id long, text string, source string, lang string"
     rows = [(1, "a b", "src0", "en"), (None, "c", None, None), (2, None, "src1", "de"), (3, "  ", "src1", "de"), (1, "a b", "src0", "en")]
