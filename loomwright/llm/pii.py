@@ -36,7 +36,8 @@ WIDE = (
     r"|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
     r"|[A-Za-z0-9._-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,63}+){1,4}+"
     r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-    r"|(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{20,200}+(?![A-Za-z0-9_/+=-]))"
+    # keys of any length; what dots join to them is part of them (header.payload.signature)
+    r"|(?=[A-Za-z_/+=-]*+(?:\.[A-Za-z_/+=-]++)*+\.?[0-9])(?:SG\.)?+[A-Za-z0-9_/+=-]{20,}+(?:\.[A-Za-z0-9_/+=-]++)*+)"
 )
 
 # Trigger words before a span by kind, contexts against, and the gazetteers.

@@ -1,6 +1,7 @@
 """Chat, personal data, mixing, fingerprints and pages, against plain versions and odd inputs."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -78,6 +79,18 @@ def test_added_spans_and_masks(spark):
         pii.find(docs.withColumn("pii_spans", F.lit(1)), pii.train(docs))
 
 
+def test_long_and_dotted_keys(spark, sf_dir):
+    rng = random.Random(3)
+    part = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    keys = [part(201), part(20_000), f"eyJ{part(40)}.{part(90)}.{part(43)}", f"eyJ{part(40)}.e30.{part(300)}", f"SG.{part(22)}.{part(43)}", "a1" * 10 + ".b2" * 20_000]
+    docs = spark.createDataFrame([(10**9 + k, f'wort token = "{x}" und so. Ende') for k, x in enumerate(keys)], "doc_id long, text string")
+    spans = docs.select("doc_id", "text", pii.candidates(F.col("text"), pii.base_spans(F.col("text"))).alias("c")).collect()
+    assert {r.doc_id: [r.text[x.start : x.end] for x in r.c] for r in spans} == {10**9 + k: [x] for k, x in enumerate(keys)}
+    model = pii.train(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(docs.where(F.col("doc_id") < 10**9 + 5)))
+    out = {r.doc_id: r.masked for r in pii.find(docs, model).select("doc_id", pii.mask(F.col("text"), F.col("pii_spans")).alias("masked")).collect()}
+    assert all(out[10**9 + k] == 'wort token = "[SECRET]" und so. Ende' for k in range(5))
+
+
 def test_reliabilities_prefer_agreeing_labelers(spark):
     rows = [([1, 1, 1, 1, 0],)] * 80 + [([-1, -1, 0, -1, -1],)] * 60 + [([1, -1, 1, 1, 0],)] * 5 + [([-1, 1, 0, -1, -1],)] * 5
     model = pii.reliabilities(spark.createDataFrame(rows, "votes array<int>")).first().model
