@@ -8,9 +8,13 @@
 3. In each band bucket every member is paired with the bucket's least member only. The pairs
    the sketches leave are confirmed on the full sets and joined into components.
 4. In buckets that still hold several components, the pairs of different components are
-   compared in blocks inside a task: each pair in the first band it shares only, sketches
-   first, then full sets, skipping what has been joined meanwhile. A task returns the links
-   that join something, never the pairs. So no pair that shares a band is left undecided.
+   compared in blocks inside a task: each pair in the first band it shares only. First the
+   sketches alone tell which members may link at all; only these texts are fetched, and their
+   full sets compared, skipping what has been joined meanwhile. A task returns the links that
+   join something, never the pairs. So no pair that shares a band is left undecided.
+
+Keys that hold a large part of the rows (a band of boilerplate, a hub, a set with very many
+copies) are dealt to several parts before they are shuffled.
 
 Two texts at similarity 0.8 share none of 32 bands of 4 samples with chance 5e-8; a true pair
 falls to the sketch test with chance 1e-9.
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.components import connected_components
 from loomwright.llm.neardup_kernel import Sketcher, most_differing_bits, overlap, set_key, shingle_set
-from loomwright.llm.shared import id_bitmap, may_hold, slices, small_batches, written
+from loomwright.llm.shared import IdFilter, slices, small_batches, spread_join, written
 
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS, SAMPLES, BITS = 32, 4, 256, 1024
@@ -59,7 +63,7 @@ def _confirm(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[str, np.ndarray] = ("", np.empty(0, np.uint64))
-        for part in slices(batches, 64):
+        for part in slices(batches, 64, 4 << 20):
             out = []
             for a, b, ta, tb in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 if ta != held[0]:
@@ -74,18 +78,62 @@ def _confirm(width: int, percent: int):
     return run
 
 
+_MEMBER = "key long, band int, rep long, component long, block int, bi int, bj int, bands array<long>, sketch array<long>"
+
+
+class _Bucket:
+    """One bucket, or two blocks of one: which members may link across components, by their sketches."""
+
+    def __init__(self, table: pa.Table, cut: int) -> None:
+        self.ids, self.comps = table["rep"].to_numpy(), table["component"].to_numpy()
+        self.blocks, self.across = table["block"].to_numpy(), table["bi"][0].as_py() != table["bj"][0].as_py()
+        # counting bits of signed numbers counts those of their size
+        self.bands, self.sketch = (_matrix(table[x]) for x in ("bands", "sketch"))
+        self.sketch = self.sketch.view(np.uint64)
+        self.band, self.cut = table["band"][0].as_py(), cut
+
+    def near(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with those after it, by id, that it may link with; the likest first."""
+        order = np.argsort(self.ids, kind="stable")
+        for x, i in enumerate(order[:-1]):
+            rest = order[x + 1 :]
+            rest = rest[(self.comps[rest] != self.comps[i]) & (self.ids[rest] != self.ids[i])]
+            if self.across:
+                rest = rest[self.blocks[rest] != self.blocks[i]]
+            # a pair belongs to the first band that it shares
+            rest = rest[~(self.bands[rest, : self.band] == self.bands[i, : self.band]).any(axis=1)]
+            if not len(rest):
+                continue
+            bits = np.bitwise_count(self.sketch[rest] ^ self.sketch[i]).sum(axis=1)
+            few = bits <= self.cut
+            if few.any():
+                yield int(i), rest[few][np.argsort(bits[few], kind="stable")]
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy()
+    return flat.reshape(len(column), -1)
+
+
+def _meet(cut: int):
+    """Members of a bucket whose sketch allows a link with a member of another component."""
+    def run(table: pa.Table) -> pa.Table:
+        bucket, keep = _Bucket(table, cut), np.zeros(table.num_rows, bool)
+        for i, near in bucket.near():
+            keep[i] = True
+            keep[near] = True
+        return table.select([x.split()[0] for x in _MEMBER.split(", ")]).filter(pa.array(keep))
+
+    return run
+
+
 def _settle(width: int, percent: int, cut: int):
-    """Links between components of one bucket (or of two blocks of one)."""
+    """Links between components of one bucket (or of two blocks of one): those that join something."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comps = table["rep"].to_numpy(), table["component"].to_numpy()
-        blocks, bi, bj = table["block"].to_numpy(), table["bi"][0].as_py(), table["bj"][0].as_py()
-        order = np.argsort(ids, kind="stable")
-        texts = table["text"]
-        bands = np.array(table["bands"].to_pylist(), dtype=np.int64)
-        sketch = np.array(table["sketch"].to_pylist(), dtype=np.int64).view(np.uint64)  # counting bits of signed numbers counts those of their size
-        band = table["band"][0].as_py()
+        bucket, texts = _Bucket(table, cut), table["text"]
+        ids, comps = bucket.ids, bucket.comps
         root = {int(c): int(c) for c in comps}
 
         def find(x: int) -> int:
@@ -102,18 +150,8 @@ def _settle(width: int, percent: int, cut: int):
             return sets[i]
 
         found = []
-        for x, i in enumerate(order[:-1]):
-            rest = order[x + 1 :]
-            rest = rest[(comps[rest] != comps[i]) & (ids[rest] != ids[i])]
-            if bi != bj:
-                rest = rest[blocks[rest] != blocks[i]]
-            if not len(rest):
-                continue
-            # a pair belongs to the first band that it shares
-            rest = rest[~(bands[rest, :band] == bands[i, :band]).any(axis=1)]
-            bits = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1)
-            near = rest[bits <= cut]
-            for j in near[np.argsort(bits[bits <= cut], kind="stable")]:
+        for i, near in bucket.near():
+            for j in near:
                 ri, rj = find(int(comps[i])), find(int(comps[j]))
                 if ri == rj:
                     continue
@@ -140,49 +178,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.where("text is not null and doc_id is not null")
     cut = most_differing_bits(percent / 100, SAMPLES)
     keys = ["n", "k1", "k2"]
     sig = docs.mapInArrow(_signatures(width), "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
     sig = written(sig, "signatures")
+    # equal sets have equal bands and sketches; copies are summed before they travel
+    reps = sig.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("size"))
+    reps = written(reps, "representatives")
+    marked = reps.where("rep is not null").select("rep", "bands", "sketch").dropDuplicates(["rep"])
 
-    first = sig.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
-    reps = sig.where("n > 0").join(first.withColumnRenamed("rep", "doc_id"), [*keys, "doc_id"]).dropDuplicates([*keys])
-    reps = written(reps.withColumnRenamed("doc_id", "rep"), "representatives")
-
-    member = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    member = reps.where("rep is not null").select("rep", F.posexplode("bands").alias("band", "key"))
     hubs = member.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    member = written(member.join(hubs, "key"), "members")
-
-    star = member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    sketch = reps.select("rep", "sketch").dropDuplicates(["rep"])
-    star = star.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+    hubs = written(hubs, "hubs")
+    member = written(spread_join(member, hubs, ["key"], hubs, "rep"), "members")
+
+    star = written(member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    fans = star.groupBy("a").agg(F.count("*").alias("size"))
+    sketch = marked.select("rep", "sketch")
+    star = star.join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+    star = spread_join(star, sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), ["a"], fans, "b")
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     star = written(star.where(differ <= cut).select("a", "b"), "candidates")
 
     ends = star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = docs.where(may_hold(id_bitmap(ends, "doc_id"), "doc_id")).where("text is not null")
-    pairs = star.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    links = written(pairs.select("a", "b", "ta", "tb").mapInArrow(_confirm(width, percent), "a long, b long"), "links")
+    some = texts.where(IdFilter(ends, "doc_id").may_hold("doc_id"))
+    fans = star.groupBy("a").agg(F.count("*").alias("size"))
+    pairs = star.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    pairs = spread_join(pairs, some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), ["a"], fans, "b")
+    links = pairs.select("a", "b", "ta", "tb").mapInArrow(_confirm(width, percent), "a long, b long")
     part = written(connected_components(links, "a", "b"), "parts")
 
-    # buckets that still hold several components and more than the pairs with their hub
-    member = member.where("size > 2").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    member = member.join(open_, "key").where("rep <> hub")
+    # buckets that still hold several components and more than the pairs with their hub; a
+    # bucket's members are dealt to its blocks before they are shuffled
     count = F.ceil(F.col("size") / BLOCK).cast("int")
-    member = member.withColumn("block", F.pmod(F.xxhash64("rep"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    member = member.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-    member = written(member.select("key", "band", "rep", "component", "block", "bi", "bj"), "open")
-    ends = member.select(F.col("rep").alias("doc_id")).distinct()
-    full = docs.where(may_hold(id_bitmap(ends, "doc_id"), "doc_id")).where("text is not null").dropDuplicates(["doc_id"])
-    full = full.join(ends, "doc_id").join(reps.select(F.col("rep").alias("doc_id"), "bands", "sketch").dropDuplicates(["doc_id"]), "doc_id").withColumnRenamed("doc_id", "rep")
-    more = member.join(full, "rep").groupBy("key", "bi", "bj").applyInArrow(_settle(width, percent, cut), "a long, b long")
-    links = written(links.unionByName(more), "all_links")
+    member = member.where("size > 2").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    member = member.withColumn("block", F.pmod(F.xxhash64("rep"), count).cast("int"))
+    open_ = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("size").alias("size")).where("lo <> hi")
+    open_ = open_.select("key", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"))
+    member = member.join(open_, ["key", "block"]).where("rep <> hub")
+    member = written(member.select("key", "band", "rep", "component", "block", "size"), "open")
+    # first the sketches alone, so that only texts that may link something travel
+    wide = member.join(marked, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    wide = wide.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other", "size")
+    near = written(wide.groupBy("key", "bi", "bj").applyInArrow(_meet(cut), _MEMBER), "near")
+    ends = near.select(F.col("rep").alias("doc_id")).distinct()
+    full = texts.where(IdFilter(ends, "doc_id").may_hold("doc_id")).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    more = near.join(full, "rep").groupBy("key", "bi", "bj").applyInArrow(_settle(width, percent, cut), "a long, b long")
+    links = part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
 
     comp = connected_components(links, "a", "b")
-    named = reps.select(*keys, "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    named = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select(*keys, F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("doc_id", *keys).join(named, keys, "left")
+    out = spread_join(sig.select("doc_id", *keys), named, keys, reps.select(*keys, "size"), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -198,7 +246,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     twice = verdict.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone = verdict.where("not kept").select("doc_id")
     ids = written(gone.select("doc_id", F.lit(True).alias("gone")).unionByName(twice.select("doc_id", F.lit(False).alias("gone"))).groupBy("doc_id").agg(F.max("gone").alias("gone")), "dropped")
-    hold = may_hold(id_bitmap(ids, "doc_id"), id_col)
+    hold = IdFilter(ids, "doc_id").may_hold(id_col)
     rest = docs.where(F.coalesce(~hold, F.lit(True)))
     mark = F.col(id_col).alias("__id")
     touched = docs.where(hold).withColumn("__id", mark).join(ids.select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone")), "__id", "left")

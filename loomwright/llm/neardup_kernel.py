@@ -55,9 +55,14 @@ def word_hashes(data: bytes) -> np.ndarray:
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    up, down = _POWERS.upto(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + _U(1)) * up[: len(raw)], out=total[1:])
+    return span_hashes(raw.astype(np.uint64), starts, ends)
+
+
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of an array of symbols (below 2**64 - 1)."""
+    up, down = _POWERS.upto(len(symbols) + 1)
+    total = np.zeros(len(symbols) + 1, dtype=np.uint64)
+    np.cumsum((symbols + _U(1)) * up[: len(symbols)], out=total[1:])
     value = (total[ends] - total[starts]) * down[starts]
     return mix(value + (ends - starts).astype(np.uint64) * _MULT)
 

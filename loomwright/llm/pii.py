@@ -17,8 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.functions.text import let
 from loomwright.llm.shared import written
-from loomwright.llm.syncmers import let
 
 KINDS = ("email", "ip", "card", "phone", "id", "account", "secret")
 LABELERS = 5

@@ -1,10 +1,11 @@
 """Document fingerprints from closed syncmers, in DataFrame expressions only.
 
-The symbols of a text are its runs without white space, runs longer than 16 code points being
-cut every 16. A k-mer is ``k`` symbols in a row; its inner substrings are the ``s``-mers in
-it. It is chosen, as an anchor, if the least of their hashes stands at its first or last
-place. Whether a k-mer is chosen depends on its own symbols alone, so an edit moves no anchor
-outside the k-mers that it touches.
+A k-mer is ``k`` code points in a row; its inner substrings are the ``s``-mers in it. It is
+chosen, as an anchor, if the least of their hashes stands at its first or last place. Whether
+a k-mer is chosen depends on its own characters alone, so an edit moves no anchor outside the
+k-mers that it touches, and consecutive anchors are never more than ``k - s`` apart. Anchors
+keep their places: fingerprints are alike as far as they share anchors, and neighbouring
+anchors at the same distance.
 """
 
 from __future__ import annotations
@@ -14,64 +15,73 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.shared import id_bitmap, may_hold, written
+from loomwright.functions.text import let
+from loomwright.llm.shared import IdFilter, written
 
-K, S = 5, 2
+K, S = 24, 6
 #: Ids to a bucket, and buckets to a block, as powers of two, when documents are put in order.
 BUCKET, BLOCK = 8, 14
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once (Catalyst may else repeat it for each element)."""
-    return F.transform(F.array(value), body)[0]
-
-
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """Anchors of a text, ``array<struct<at: int, hash: int>>``: symbol number and k-mer hash, in order.
+    """Anchors of a text, ``array<struct<at: int, hash: bigint>>``: place in code points and k-mer hash, in order.
 
-    A text of fewer than ``k`` symbols is one k-mer of all of them, and so is a longer one none
-    of whose k-mers is chosen; a text without symbols (or null) has no anchors.
+    A text of fewer than ``k`` code points is one k-mer of all of them; a text without any
+    (or null) has no anchors. ``s`` must divide ``k``, as a k-mer is hashed by the ``s``-mers
+    that make it up.
     """
-    if not 0 < s < k:
-        raise ValueError("the inner substrings must be shorter than the k-mers")
-    symbols = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,16}"), F.lit(0))
-
-    def short(value: Column) -> Column:
-        return value.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    if not 0 < s < k or k % s:
+        raise ValueError("the inner substrings must be shorter than the k-mers and make them up")
+    last = k - s
+    text = F.coalesce(text, F.lit(""))
 
-    def over(h: Column) -> Column:
-        n = F.size(h)
-        inner = F.transform(F.sequence(F.lit(0), n - s), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(s))))
+    def over(g: Column) -> Column:
+        def least(x: Column, rest: list[Column]) -> Column:
+            # most s-mers fail within a few comparisons; outside the text they compare with null and fail too
+            return reduce(lambda a, b: a & b, [x <= y for y in rest])
 
-        def choose(g: Column) -> Column:
-            def at(i: Column) -> Column:
-                low = reduce(lambda a, b: F.least(a, b), [F.get(g, i + j) for j in range(k - s + 1)])
-                chosen = (F.get(g, i) == low) | (F.get(g, i + (k - s)) == low)
-                return F.when(chosen, F.struct(i.alias("at"), short(F.xxhash64(*(F.get(h, i + j) for j in range(k)))).alias("hash")))
+        def at(x: Column, i: Column) -> Column:
+            first = least(x, [F.get(g, i + j) for j in range(1, last + 1)])
+            final = least(F.get(g, i + last), [F.get(g, i + j) for j in reversed(range(last))])
+            return F.when(first | final, i)
 
-            return F.array_compact(F.transform(F.sequence(F.lit(0), n - k), at))
+        def named(i: Column) -> Column:
+            return F.struct(i.alias("at"), F.xxhash64(*(F.get(g, i + j) for j in range(0, k, s))).alias("hash"))
 
-        whole = F.array(F.struct(F.lit(0).alias("at"), short(F.xxhash64(h, n)).alias("hash")))
-        # with few k-mers it may be that none is chosen
-        some = let(let(inner, choose), lambda c: F.when(F.size(c) > 0, c).otherwise(whole))
-        return F.when(n >= k, some).when(n > 0, whole).otherwise(F.slice(whole, 1, 0))
+        return F.transform(F.array_compact(F.transform(g, at)), named)
 
-    return let(F.transform(symbols, lambda w: F.xxhash64(w)), over)
+    inner = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{s}}})).")), lambda x: F.xxhash64(x))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(text, F.lit(k)).alias("hash")))
+    return F.when(F.length(text) >= k, let(inner, over)).when(text != "", whole).otherwise(F.slice(whole, 1, 0))
 
 
 def fingerprint(text: Column, k: int = K, s: int = S) -> Column:
-    """Distinct anchor hashes of a text in order of first place, ``array<int>``."""
-    return F.array_distinct(F.transform(anchors(text, k, s), lambda x: x["hash"]))
+    """The anchors of a text: see :func:`anchors`."""
+    return anchors(text, k, s)
+
+
+def features(print_: Column) -> Column:
+    """What two fingerprints are compared by, as distinct hashes: anchors, and neighbours with their distance."""
+    def link(x: Column, i: Column) -> Column:
+        after = F.get(print_, i + 1)
+        return F.when(after.isNotNull(), F.xxhash64(x["hash"], after["at"] - x["at"], after["hash"]))
+
+    return F.array_distinct(F.concat(F.transform(print_, lambda x: x["hash"]), F.array_compact(F.transform(print_, link))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared part of two fingerprints, 0 to 1; two empty ones are alike."""
-    union = F.size(a) + F.size(b) - F.size(F.array_intersect(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Shared part of the :func:`features` of two fingerprints, 0 to 1; two empty ones are alike."""
+    def ratio(x: Column) -> Column:
+        union = x["a"] + x["b"] - x["both"]
+        return F.when(union == 0, F.lit(1.0)).otherwise(x["both"] / union)
+
+    sizes = lambda a, b: F.struct(F.size(a).alias("a"), F.size(b).alias("b"), F.size(F.array_intersect(a, b)).alias("both"))
+    return let(a, lambda x: let(b, lambda y: let(sizes(x, y), ratio)))
 
 
 def as_text(print_: Column) -> Column:
-    return F.array_join(F.transform(print_, lambda x: F.lower(F.hex(x))), " ")
+    """Place and hash of each anchor in hexadecimal digits, ``at:hash``, by spaces."""
+    return F.array_join(F.transform(print_, lambda x: F.lower(F.concat(F.hex(x["at"]), F.lit(":"), F.hex(x["hash"])))), " ")
 
 
 def _following(buckets: DataFrame) -> DataFrame:
@@ -96,15 +106,17 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, extra=lambda text: {}
     the same of the next document with the prefix ``next_``. Ids are put in order within
     buckets of 256 ids; the first document of each bucket is also sent to the next higher one,
     so one shuffle of the texts suffices and no task holds them all. Rows of one id follow each
-    other by text; null ids come last, null texts count as empty.
+    other by text; null ids come last, null texts count as empty. Rows of one id share a task.
     """
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), order.alias("okey"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.shiftright(order, BUCKET).alias("bucket"))
     tops = base.groupBy("bucket").agg(F.max("okey").alias("okey"))
     tops = written(tops.join(_following(tops.select("bucket")), "bucket").select("okey", "onto"), "tops")
-    held = base.where(may_hold(id_bitmap(tops, "okey"), "okey")).join(tops, "okey")
+    held = base.where(IdFilter(tops, "okey").may_hold("okey")).join(tops, "okey")
     copies = held.groupBy("okey", "onto").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id"))
     rows = base.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "okey", "text", F.col("onto").alias("bucket"), F.lit(True).alias("copy")))
+    # only texts are shuffled; what follows from them is made behind the shuffle, where the window needs no other
+    rows = rows.repartition("bucket")
     own = extra(F.col("text"))
     rows = rows.select("doc_id", "okey", "text", "bucket", "copy", *(c.alias(n) for n, c in own.items()))
     inside = Window.partitionBy("bucket").orderBy("copy", F.desc("okey"), "text")
@@ -117,21 +129,33 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text has the last third of the code points replaced by as many of the next
     document's first (see :func:`with_next`). Returns ``doc_id, n_chars, edited, fingerprint,
-    edited_fingerprint`` (arrays), ``near_edited`` and ``near_next``. A null text counts as
-    empty; a lone document is its own next one; repeated rows each get a row; no rows give no
-    rows; other columns are not read.
+    edited_fingerprint`` (arrays of anchors), ``near_edited`` and ``near_next``. A null text
+    counts as empty; a lone document is its own next one; repeated rows each get a row; no rows
+    give no rows; other columns are not read.
     """
     rows = with_next(docs, id_col, text_col, lambda text: {"fingerprint": fingerprint(text, k, s)})
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)))
-    rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited"), k, s))
-    return rows.select(
-        "doc_id",
-        n.cast("long").alias("n_chars"),
-        "edited",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-    )
+    rows = rows.withColumn("edited_fingerprint", _of_edited(F.col("edited"), n - cut, F.col("fingerprint"), F.col("next_fingerprint"), k, s))
+    near = let(features(F.col("fingerprint")), lambda f: F.struct(likeness(f, features(F.col("edited_fingerprint"))).alias("edited"), likeness(f, features(F.col("next_fingerprint"))).alias("next")))
+    rows = rows.withColumn("near", near)
+    return rows.select("doc_id", n.cast("long").alias("n_chars"), "edited", "fingerprint", "edited_fingerprint", F.col("near.edited").alias("near_edited"), F.col("near.next").alias("near_next"))
+
+
+def _of_edited(edited: Column, at: Column, head: Column, tail: Column, k: int, s: int) -> Column:
+    """Anchors of a text made of the first ``at`` code points of one and the first of another.
+
+    As anchors are free of context, those inside either part are known from its fingerprint;
+    only the k-mers across the border are read again.
+    """
+    def joined(x: Column) -> Column:
+        # lengths are known here: within the filters they would be counted for each anchor
+        at, border, size = x["at"], x["border"], x["size"]
+        moved = lambda y, by: F.struct((y["at"] + by).alias("at"), y["hash"].alias("hash"))
+        across = F.filter(F.transform(anchors(x["text"], k, s), lambda y: moved(y, border)), lambda y: (y["at"] < at) & (y["at"] + k > at))
+        return F.concat(F.filter(head, lambda y: y["at"] + k <= at), across, F.transform(F.filter(tail, lambda y: y["at"] + k <= size - at), lambda y: moved(y, at)))
+
+    border = F.greatest(at - (k - 1), F.lit(0))
+    known = F.struct(at.alias("at"), border.alias("border"), F.length(edited).alias("size"), F.substring(edited, border + 1, F.lit(2 * k - 2)).alias("text"))
+    return F.when(F.length(edited) >= 2 * k, let(known, joined)).otherwise(anchors(edited, k, s))
