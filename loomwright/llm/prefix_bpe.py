@@ -5,14 +5,14 @@ prefix's encoding, kept for every prefix, therefore describes all of them. A tok
 ends at ``i`` is that last token exactly if the two tokens (the last one of the prefix before
 ``t``, and ``t``) stay apart when BPE runs over their joined bytes. So one left-to-right pass
 finds the encoding, appending bytes goes on where the pass ended, and an edit keeps all
-entries before it.
+entries before it, and those behind it from where new entries coincide with the old ones.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import sys
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.pretokens import splitter
-from loomwright.llm.shared import slices, small_batches
+from loomwright.llm.shared import held, slices, small_batches
 
 #: Encoded pre-tokens that a worker keeps in its younger half; the older half is as large.
-CACHE = 300_000
+CACHE = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,7 +39,8 @@ class PrefixBpe:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         if any(bytes([x]) not in ranks for x in range(256)) or max(ranks[bytes([x])] for x in range(256)) > 255:
             raise ValueError("the 256 single bytes must have the lowest ids")
-        self.ranks = dict(ranks)
+        self.ranks = ranks
+        self.longest = max(map(len, ranks))
         self.token = {i: t for t, i in ranks.items()}
         #: every ending of a token: its id if it is one that BPE reaches itself, else -1
         self.ending: dict[bytes, int] = {}
@@ -55,7 +56,7 @@ class PrefixBpe:
                 self.ending.setdefault(t[k:], -1)
             if reached:
                 self.ending[t] = i
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
 
     def _merge(self, data: bytes, below: int) -> list[bytes]:
         """Plain BPE with the merges of ids under ``below``."""
@@ -79,7 +80,7 @@ class PrefixBpe:
         the one taken back last. Of two equal merges the left one comes first: it is the
         inner one of ``left``, but the one across the border as against ``right``.
         """
-        pair = (left, right)
+        pair = left << 32 | right
         known = self._apart.get(pair)
         if known is not None:
             return known
@@ -100,10 +101,10 @@ class PrefixBpe:
         self._apart[pair] = result
         return result
 
-    def extend(self, data: bytes, last: list[int]) -> list[int]:
-        """Fill ``last`` up to ``len(data)`` in place: ``last[i]`` ends the encoding of ``data[: i + 1]``."""
+    def extend(self, data: bytes, last: list[int], stop: int | None = None) -> list[int]:
+        """Fill ``last`` up to ``len(data)`` (or ``stop``) in place: ``last[i]`` ends the encoding of ``data[: i + 1]``."""
         ending = self.ending
-        for i in range(len(last), len(data)):
+        for i in range(len(last), len(data) if stop is None else stop):
             end = i + 1
             for start in range(i, -1, -1):
                 t = ending.get(data[start:end])
@@ -127,9 +128,20 @@ class PrefixBpe:
         return out[::-1]
 
     def edit(self, data: bytes, last: list[int], at: int, stop: int, new: bytes) -> tuple[bytes, list[int]]:
-        """Replace ``data[at:stop]`` by ``new``; entries before ``at`` are kept."""
+        """Replace ``data[at:stop]`` by ``new``; entries before ``at`` are kept.
+
+        An entry depends on the bytes and entries of one token's length before it. So once that
+        many entries behind the edit have come out as they were, all others would too.
+        """
+        rest = last[stop:]
         data = data[:at] + new + data[stop:]
-        return data, self.extend(data, last[:at])
+        done, end, same = last[:at], at + len(new), 0
+        for k, old in enumerate(rest):
+            self.extend(data, done, end + k + 1)
+            same = same + 1 if done[-1] == old else 0
+            if same >= self.longest:
+                return data, done + rest[k + 1 :]
+        return data, self.extend(data, done)
 
     def encode_piece(self, data: bytes) -> list[int]:
         """Ids of one pre-token; a pre-token that is a token itself is that token."""
@@ -180,17 +192,13 @@ def _words(ids: bytes) -> array:
     return words
 
 
-_READY: dict[str, tuple[PrefixBpe, _Pieces]] = {}
-
-
-def _ready(ranks: dict[bytes, int]) -> tuple[PrefixBpe, _Pieces]:
-    """One encoder a worker process; reused by its later tasks."""
-    key = hashlib.sha256(b"".join(ranks)).hexdigest()
-    if key not in _READY:
+def _ready(ranks: dict[bytes, int], key: int) -> tuple[PrefixBpe, _Pieces]:
+    """One encoder a worker process, kept for the next tasks of the same vocabulary."""
+    def make() -> tuple[PrefixBpe, _Pieces]:
         bpe = PrefixBpe(ranks)
-        _READY.clear()
-        _READY[key] = (bpe, _Pieces(bpe))
-    return _READY[key]
+        return bpe, _Pieces(bpe)
+
+    return held("prefix_bpe", key, make)
 
 
 def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -208,14 +216,15 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_c
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)
+    key = zlib.crc32(b"".join(ranks))
     kept = docs.select(*keep, F.col(text_col).alias("__text"))
     width = len(keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:width]), f"`{ids_col}` binary", f"`{decoded_col}` binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, pieces = _ready(shared.value)
+        bpe, pieces = _ready(shared.value, key)
         split = splitter(pattern)
-        for part in slices(batches):
+        for part in slices(batches, holder="prefix_bpe"):
             ids = [b"".join(map(pieces.__getitem__, split(t))) if t else b"" for t in part.column(width).to_pylist()]
             back = [bpe.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=[*keep, ids_col, decoded_col])

@@ -11,6 +11,7 @@ pre-token is counted, never the sum.
 from __future__ import annotations
 
 import os
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomwright.llm.pretokens import splitter
-from loomwright.llm.shared import slices, small_batches, written
+from loomwright.llm.shared import held, slices, small_batches, written
 
 HEAD_SIZE, HEAD_DOCS = 200_000, 4_000
 
@@ -73,25 +74,22 @@ def _frequencies(pattern: str, specials: list[str], shared, longest: int = 64):
 _SCHEMA = "doc_id long, text_hash long, n_bytes long, base long, tail array<string>, freq array<long>"
 
 
-_LOADED: dict[str, Tokenizer] = {}
-
-
 def _load(tokenizer_json: str) -> Tokenizer:
     """One tokenizer a process, without threads of its own: a task has one core."""
-    if tokenizer_json not in _LOADED:
+    def make() -> Tokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_str(tokenizer_json)
         tok.no_truncation()
         tok.no_padding()
-        _LOADED.clear()
-        _LOADED[tokenizer_json] = tok
-    return _LOADED[tokenizer_json]
+        return tok
+
+    return held("token_counts", zlib.crc32(tokenizer_json.encode()), make)
 
 
 def _pieces(tokenizer_json: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _load(tokenizer_json)
-        for part in slices(batches, 2048):
+        for part in slices(batches, 2048, holder="token_counts"):
             got = tok.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x.ids) for x in got], pa.int64())], names=["piece", "n"])
 

@@ -123,12 +123,12 @@ def hamming_rows(codes, asked, k):
     return out
 
 
-@pytest.mark.parametrize("blocks", [(1 << 16, 512), (40, 3)])
-def test_top_k_is_exact(spark, blocks):
+@pytest.mark.parametrize("block", [1 << 16, 40])
+def test_top_k_is_exact(spark, block):
     rng = random.Random(2)
     codes = [(k, rng.getrandbits(64) - 2**63) for k in range(150)] + [(200 + k, 5) for k in range(60)] + [(300 + k, 5 ^ (1 << k)) for k in range(20)]
     df = spark.createDataFrame([(i, c, "x") for i, c in [*codes, codes[0], (None, 4), (999, None)]], "vec_id long, code long, rank string")
-    got = hamming.top_k(df, df.where("vec_id % 10 = 0"), 7, row_block=blocks[0], query_block=blocks[1])
+    got = hamming.top_k(df, df.where("vec_id % 10 = 0"), 7, row_block=block)
     want = hamming_rows(codes, [(i, c) for i, c in codes if i % 10 == 0], 7)
     assert {(r.query_id, r["rank"]): (r.neighbor_id, r.distance) for r in got.collect()} == want
 
@@ -139,6 +139,8 @@ def test_top_k_of_little(spark):
     assert hamming.top_k(df.limit(0), df, 5).count() == 0 and hamming.top_k(df, df.limit(0), 5).count() == 0
     vectors = spark.createDataFrame([([0.5, -1.0, float("nan"), None, 2.0],), (None,), ([],)], "v array<float>")
     assert [r[0] for r in vectors.select(hamming.sign_code(F.col("v"))).collect()] == [17, None, 0]
+    with pytest.raises(Exception, match="more elements: 65"):
+        spark.createDataFrame([([1.0] * 65,)], "v array<float>").select(hamming.sign_code(F.col("v"))).collect()
 
 
 @pytest.mark.parametrize("name", ["op1_multi_index_top_k", "op2_raked_mixture", "op3_chat_format"])

@@ -52,6 +52,24 @@ def test_append_and_edit(bpe):
     assert last == bpe.extend(new, []) and new == data[:100] + b"ing the" + data[120:]
 
 
+def test_edits_stop_where_entries_coincide(bpe):
+    rng = random.Random(9)
+    data = bytes(rng.choice(b"theringansto ") for _ in range(3000))
+    whole = bpe.extend(data, [])
+    for _ in range(30):
+        at = rng.randrange(len(data))
+        stop, put = min(len(data), at + rng.randrange(9)), bytes(rng.choice(b"abe ") for _ in range(rng.randrange(6)))
+        new, last = bpe.edit(data, list(whole), at, stop, put)
+        assert new == data[:at] + put + data[stop:] and last == bpe.extend(new, [])
+    steps = []
+    bpe.extend = lambda data, last, stop=None: (steps.append(1), type(bpe).extend(bpe, data, last, stop))[1]
+    try:
+        bpe.edit(data, list(whole), 5, 6, b"x")
+    finally:
+        del bpe.extend
+    assert len(steps) < 1000
+
+
 def test_cache_halves(bpe, library, monkeypatch):
     from loomwright.llm import prefix_bpe
 
