@@ -6,13 +6,15 @@ before a bound rises: once segments 0..j have been searched to radius r and the
 r - 1, every code nearer than ``segments * r + j + 1`` has been seen. A query is finished when
 its k-th verified distance is below that bound.
 
-Codes are searched in blocks of rows by blocks of queries; each pair of blocks is one task
-that returns k rows a query. Equal codes fold together first (only the k + 1 smallest ids of a
-code can ever be answers), so a code that a third of all rows share costs no more than others.
+Rows fall into blocks. Each block's index is built once, and all queries, which are few beside
+the rows, stream past it in batches; every block gives k rows a query, and these are merged.
+Equal codes fold together first (only the k + 1 smallest ids of a code can ever be answers),
+so a code that a third of all rows share costs no more than others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,17 +22,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.shared import small_batches, written
+from loomwright.llm.shared import BATCH_ROWS, slices, small_batches, written
 
 BITS, SEGMENTS = 64, 4
-ROW_BLOCK, QUERY_BLOCK = 1 << 16, 1 << 9
+#: Rows of a block at most (about, by hash): some 12 MB of codes, ids and index.
+ROW_BLOCK = 1 << 18
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
     """Code of a vector: bit i is set if element i is above 0. Missing, null and NaN elements give 0.
 
-    Null for a null vector; elements past ``bits`` are not used.
+    Null for a null vector. A vector with more than ``bits`` elements fails, as its code would
+    leave the others out.
     """
+    if bits > 64:
+        raise ValueError("a code has 64 bits at most")
+
     def bit(i: int) -> Column:
         x = F.get(vector, F.lit(i))
         return F.when(F.coalesce((x > 0) & ~F.isnan(x), F.lit(False)), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
@@ -38,7 +45,8 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
     code = bit(0)
     for i in range(1, bits):
         code = code.bitwiseOR(bit(i))
-    return F.when(vector.isNotNull(), code)
+    wide = F.raise_error(F.concat(F.lit(f"a code has {bits} bits, the vector has more elements: "), F.size(vector).cast("string")))
+    return F.when(F.size(vector) > bits, wide).when(vector.isNotNull(), code)
 
 
 class SegmentIndex:
@@ -120,24 +128,34 @@ def search(index: SegmentIndex, ids: np.ndarray, queries: np.ndarray, k: int) ->
 _SCHEMA = pa.schema([("query_code", pa.int64()), ("id", pa.int64()), ("distance", pa.int64())])
 
 
-def _blocks(k: int, segments: int):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _SCHEMA.empty_table()
-        codes, ids = left["code"].to_numpy(), left["id"].to_numpy()
-        queries = right["code"].to_numpy()
-        index, out = SegmentIndex(codes, segments), []
-        # a few queries at a time, so that what one step meets stays small
-        step = max(1, min(64, (1 << 24) // max(1, len(codes))))
-        for at in range(0, len(queries), step):
-            who, what, far = search(index, ids, queries[at : at + step], k)
-            out.append((queries[at : at + step][who], what, far))
-        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], schema=_SCHEMA)
+def _stream(k: int, segments: int):
+    """Over batches ordered by block, each block's rows before the queries: the answers to the queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows, index, ids = -1, [], None, None
+        for batch in slices(batches, BATCH_ROWS):
+            at, asks, named, codes = (batch.column(x).to_numpy(zero_copy_only=False) for x in range(4))
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(at)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if at[low] != block:
+                    block, rows, index = at[low], [], None
+                if not asks[low]:
+                    rows.append((named[low:high], codes[low:high]))
+                    continue
+                if not rows:
+                    continue
+                if index is None:
+                    ids, index = np.concatenate([x for x, _ in rows]), SegmentIndex(np.concatenate([x for _, x in rows]), segments)
+                # a few queries at a time, so that what one step meets stays small
+                step = max(1, min(64, (1 << 24) // len(ids)))
+                for x in range(low, high, step):
+                    asked = codes[x : min(x + step, high)]
+                    who, what, far = search(index, ids, asked, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (asked[who], what, far)], schema=_SCHEMA)
 
     return run
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", code_col: str = "code", segments: int = SEGMENTS, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", code_col: str = "code", segments: int = SEGMENTS, row_block: int = ROW_BLOCK) -> DataFrame:
     """``query_id, neighbor_id, distance, rank``: the k nearest other rows of each query row.
 
     Order is by distance, then id; a query does not find its own id. Rows with a null id or
@@ -145,17 +163,21 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", c
     counts with each of them, its nearest first. Fewer than k rows give fewer answers; no rows
     or queries give none; other columns are not read.
     """
-    small_batches(rows.sparkSession)
+    spark = rows.sparkSession
+    small_batches(spark)
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(code_col).cast("long").alias("code")).dropna().distinct()
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(code_col).cast("long").alias("query_code")).dropna().distinct()
     low = Window.partitionBy("code").orderBy("id")
     own = written(own.withColumn("_n", F.row_number().over(low)).where(F.col("_n") <= k + 1).drop("_n"), "codes")
-    codes = written(asked.select(F.col("query_code").alias("code")).distinct(), "query_codes")
-    # block numbers follow from counts, blocks from hashes, so both sides agree on every run
-    n_rows, n_queries = max(1, -(-own.count() // row_block)), max(1, -(-codes.count() // query_block))
-    left = own.withColumn("rb", F.pmod(F.xxhash64("code", "id"), F.lit(n_rows)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    right = codes.withColumn("qb", F.pmod(F.xxhash64("code"), F.lit(n_queries)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
-    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(_blocks(k + 1, segments), "query_code long, id long, distance long")
+    codes = asked.select(F.col("query_code").alias("code")).distinct()
+    # as many blocks as their size asks for; of few rows, as many as there are cores
+    many = own.count()
+    blocks = max(1, -(-many // row_block), min(spark.sparkContext.defaultParallelism, many // 8192))
+    block = F.pmod(F.xxhash64("code", "id"), F.lit(blocks)).cast("int")
+    left = own.select(block.alias("block"), F.lit(False).alias("asks"), "id", "code")
+    right = codes.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), F.lit(0).cast("long").alias("id"), "code")
+    dealt = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+    found = dealt.mapInArrow(_stream(k + 1, segments), "query_code long, id long, distance long")
     best = Window.partitionBy("query_code").orderBy("distance", "id")
     found = written(found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n"), "found")
     answers = asked.join(found, "query_code").where("id <> query_id").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
