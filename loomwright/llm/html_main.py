@@ -1,16 +1,18 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score positive, tags negative; the run of
-tokens with the greatest sum, found in one linear scan, is the content region. The weights
-come from labelled pages: pages whose markup says where their article is tell how often each
-tag stands within it, and that words outside it do not count. Menus, forms, adverts, comments
-and the like are known by the names of their elements; with all that they hold, and scripts,
-they are no part of the sequence.
+A page is a sequence of words and tags. Words score positive, tags negative, and elements that
+training found outside of articles weigh on what they hold; the run of tokens with the
+greatest sum, found in one linear scan, is the content region. The weights come from labelled
+pages, those whose markup says where their article is. The label itself (``<article>``,
+``<main>`` and the like) is no token and is not looked at when a page is read. An element
+whose words weigh negative, as an advert between two paragraphs, is one negative token with
+all it holds, and its words are left out of the text.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,43 +24,90 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.shared import slices, small_batches
 
-#: Labelled pages at most from which weights are learned.
+#: Labelled pages at most from which weights are learned; they bound the features.
 TRAIN_PAGES = 2_000
+#: Words that a prior weighs as much as, and the share within articles that it gives to elements of known names.
+PRIOR_WORDS, PRIOR_SHARE = 50, 0.02
+#: Scores are cut here; a word in an element within a line stays above 0.
+LOWEST, LOWEST_INLINE = -8.0, -0.8
+#: Part of its score that an element of negative words weighs as one token.
+UNIT = 0.25
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^<>\"']|\"[^\"]{0,2000}\"|'[^']{0,2000}')*>|</?[A-Za-z][^<>]*>|[^<]+|<", re.DOTALL)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
-_ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'=<>`]+))?")
+_IN_TAG = re.compile(r"[^\"'>]*")
 _RAW_END = {n: re.compile(rf"</{n}\b[^>]*>", re.IGNORECASE) for n in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript")}
 
-# Elements without content, elements within a line, and elements and names that
-# do not hold main text.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("aside button canvas datalist dialog fieldset footer form frame head iframe input legend menu nav noembed noframes noscript object option script select style svg template textarea title video audio".split())
-DROPPED_NAMES = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert "
-    "sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar toolbar footer comment comments commentlist reply replies respond disqus discussion "
-    "share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay pagination pager widget widgets skip".split()
-)
-DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search form menu menubar dialog alert alertdialog".split())
-ARTICLE_NAMES = frozenset("article post entry story".split())
-TITLE_NAMES = ARTICLE_NAMES | frozenset("page title content".split())
-NOT_ITSELF = frozenset("has with without no not open closed".split())
-ONE_COMMENT = frozenset("comment reply".split())
+# Elements without content, elements within a line, elements that hold no text to
+# read, and names of elements that seldom hold main text, from which learning starts.
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+INLINE = frozenset((
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp",
+    "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+))
+NOT_TEXT = frozenset((
+    "audio", "canvas", "datalist", "frame", "head", "iframe", "noembed", "noframes", "noscript", "object", "option", "script", "select", "style", "svg", "template",
+    "textarea", "title", "video",
+))
+SELDOM_TAGS = ("aside", "button", "dialog", "fieldset", "footer", "form", "header", "input", "legend", "menu", "nav")
+SELDOM_NAMES = (
+    "ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "alert", "aside", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist",
+    "comments", "consent", "cookie", "cookies", "discussion", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation",
+    "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommendations", "recommended", "related", "replies",
+    "reply", "respond", "share", "sharing", "sidebar", "sidebars", "signup", "skip", "social", "sponsor", "sponsored", "sponsors", "subscribe", "subscription", "toolbar",
+    "topbar", "widget", "widgets",
+)
+SELDOM_ROLES = ("alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search")
+ARTICLE_NAMES = frozenset(("article", "entry", "post", "story"))
+TITLE_NAMES = ARTICLE_NAMES | {"content", "page", "title"}
+NOT_ITSELF = frozenset(("closed", "has", "no", "not", "open", "with", "without"))
+PROSE = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p"))
+ONE_COMMENT = frozenset(("comment", "reply"))
+PRIOR = {f"<{n}>": PRIOR_SHARE for n in SELDOM_TAGS} | {f".{n}": PRIOR_SHARE for n in SELDOM_NAMES} | {f"@{n}": PRIOR_SHARE for n in SELDOM_ROLES}
+
+
+@dataclass
+class Element:
+    """An element of a page: its place in the tree, its features, its label, and the words it holds.
+
+    Features are the tag, then what class, id and role say. The tag of an element that holds
+    paragraphs or headings is told from one of the same name that does not.
+    """
+
+    parent: int
+    name: str
+    features: tuple[str, ...] = ()
+    mark: int = 0
+    within: bool = False
+    gone: bool = False
+    prose: bool = False
+    words: int = 0
+    labelled: int = 0
 
 
 @dataclass
 class Weights:
-    """Score of a word, of one in a link, of one outside the article that a page marks, and of each tag."""
+    """Score of a word, of an unknown tag, of each tag, and what elements of a feature add to their words."""
 
     word: float = 1.0
-    link_word: float = 0.2
-    outside_word: float = -1.0
     other: float = -0.25
     tags: dict[str, float] = field(default_factory=dict)
+    elements: dict[str, float] = field(default_factory=lambda: {f: _weight(0, 0, p) for f, p in PRIOR.items()})
 
+    def of(self, e: Element) -> float:
+        """What an element adds: by its classes, ids and roles where training knows one, else by its tag."""
+        tag, *named = e.features or ("",)
+        known = [self.elements[f] for f in named if f in self.elements]
+        low = min(known) if known else self.elements.get(tag, 0.0)
+        return max(low, LOWEST_INLINE) if e.name in INLINE else low
 
-def _hint(tag: str) -> tuple[set[str], set[str], bool]:
+
+def _weight(inside: float, outside: float, share: float) -> float:
+    p = (inside + PRIOR_WORDS * share) / (inside + outside + PRIOR_WORDS)
+    return max(LOWEST, min(0.0, math.log(p / (1 - p)))) if p < 1 else 0.0
+
+
+def _hints(tag: str) -> tuple[set[str], set[str], bool]:
     """Names in class and id, names in role and itemprop, and whether the element is hidden."""
     names: set[str] = set()
     roles: set[str] = set()
@@ -71,119 +120,161 @@ def _hint(tag: str) -> tuple[set[str], set[str], bool]:
             roles.add(value)
         elif key == "style":
             hidden |= bool(re.search(r"display\s*:\s*none", value))
-        elif key == "hidden" or value == "true":
+        elif key == "hidden" or (key == "aria-hidden" and value == "true"):
             hidden = True
     return names, roles, hidden
 
 
-def _mark(name: str, names: set[str], roles: set[str]) -> int:
-    """2 for an element that is an article, 1 for one that holds the page's main part, else 0."""
-    if name == "article" or "articlebody" in roles:
-        return 0 if names & ONE_COMMENT else 2
-    return int(name == "main" or "main" in roles)
-
-
-def _is_dropped(name: str, names: set[str], roles: set[str], hidden: bool, within: bool) -> bool:
-    """Whether an element holds no main text; ``within``: it stands in an article or the like."""
-    if name in DROPPED or hidden or roles & DROPPED_ROLES:
-        return True
-    if name == "header":
-        return not within
-    if name in ("html", "body", "main"):
-        return False
-    if name == "article":
-        return bool(names & ONE_COMMENT)
-    if names & DROPPED_NAMES and not names & NOT_ITSELF:
-        return True
-    return "header" in names and not within and not names & TITLE_NAMES
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
-    """``(kind, value, in_link, mark)``: kind is "text" (not decoded), "tag" or "block".
-
-    "block" stands for a border between blocks. ``mark`` is that of the innermost marked
-    element around a token (see :func:`_mark`). Dropped elements give a border only. Markup
-    that isn't closed or nested well is read leniently: an end tag closes what was opened
-    since its start tag, one without a start tag closes nothing, and the start of an article
-    ends any dropped element that was left open.
+def _tag_end(page: str, at: int, none_after: dict[str, int]) -> int:
+    """Where the tag that starts at ``at`` ends: behind the first ``>`` outside quotes, whatever stands within them.
+
+    A quote that is never closed does not count; nor do quotes if no ``>`` follows outside of them.
+    """
+    x = at
+    while True:
+        x = _IN_TAG.match(page, x).end()
+        if x >= len(page):
+            break
+        if page[x] == ">":
+            return x + 1
+        quote = page[x]
+        close = -1 if x >= none_after.get(quote, len(page)) else page.find(quote, x + 1)
+        if close < 0:
+            none_after[quote] = min(none_after.get(quote, len(page)), x)
+        x = max(x, close) + 1
+    close = page.find(">", at)
+    return close + 1 if close >= 0 else len(page)
+
+
+def parse(page: str) -> tuple[list[tuple[str, str, int]], list[Element]]:
+    """``(items, elements)``: items are ``(kind, value, element)``, kind "text" (not decoded), "tag" or "block".
+
+    "block" stands for a border between blocks. Elements that hold no text to read, or are
+    hidden, are skipped with all they hold. Markup that isn't closed or nested well is read
+    leniently: an end tag closes what was opened since its start tag, one without a start tag
+    closes nothing, and the start of an article ends elements left open that seldom hold one.
     """
-    stack: list[tuple[str, bool, int, bool]] = []
-    is_open: Counter = Counter()
-    dropped = links = held = 0
-    marks = [0]
+    items: list[tuple[str, str, int]] = []
+    elements = [Element(-1, "")]
+    stack, is_open, gone = [0], Counter(), 0
+    none_after: dict[str, int] = {}
+    at, size = 0, len(page)
 
-    def close(name: str) -> None:
-        nonlocal dropped, links, held
+    def close(name: str) -> int:
+        nonlocal gone
         while True:
-            top, was_dropped, mark, holds = stack.pop()
-            is_open[top] -= 1
-            dropped -= was_dropped
-            links -= top == "a"
-            held -= holds
-            if mark:
-                marks.pop()
-            if top == name:
-                return
+            k = stack.pop()
+            top = elements[k]
+            is_open[top.name] -= 1
+            gone -= top.gone
+            if top.name == name:
+                return k
 
-    at, size = 0, len(page)
     while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        piece = m[0]
-        if piece[0] != "<" or piece == "<":
-            if not dropped:
-                yield "text", piece, links > 0, marks[-1]
+        start = page.find("<", at)
+        if start != at:
+            if not gone:
+                items.append(("text", page[at : start if start >= 0 else size], stack[-1]))
+            if start < 0:
+                break
+            at = start
+        after = page[at + 1 : at + 2]
+        if after == "!" or after == "?":
+            mark, end = ("<!--", "-->") if page.startswith("<!--", at) else ("<![CDATA[", "]]>") if page.startswith("<![CDATA[", at) else ("", ">")
+            stop = page.find(end, at + len(mark))
+            at = stop + len(end) if stop >= 0 else size
             continue
-        if piece[1] in "!?":
+        m = _NAME.match(page, at)
+        if not m:
+            if not gone:
+                items.append(("text", "<", stack[-1]))
+            at += 1
             continue
-        name = _NAME.match(piece)[1].lower()
+        stop = _tag_end(page, at, none_after)
+        piece, at, name = page[at:stop], stop, m[1].lower()
         if name not in INLINE:
-            yield "block", name, False, marks[-1]
-        if piece[1] == "/":
-            was = dropped
-            if is_open[name]:
-                close(name)
-            if not was:
-                yield "tag", "/" + name, False, marks[-1]
+            items.append(("block", "", stack[-1]))
+        if after == "/":
+            was = gone
+            closed = close(name) if is_open[name] else stack[-1]
+            if not was and name not in ("article", "main"):
+                items.append(("tag", "/" + name, closed))
             continue
         if name == "p" and is_open["p"]:
             close("p")
-        names, roles, hidden = _hint(piece) if " " in piece or "\n" in piece else (set(), set(), False)
-        mark = _mark(name, names, roles)
-        if mark and dropped and name in ("article", "main"):
-            stack = [(n, False, k, h) for n, _, k, h in stack]
-            dropped = 0
-        bad = _is_dropped(name, names, roles, hidden, marks[-1] > 0 or held > 0)
-        if not dropped and not bad:
-            yield "tag", name, False, marks[-1]
-        if name in VOID or piece.endswith("/>"):
+        names, roles, hidden = _hints(piece[len(m[0]) : -1]) if len(piece) > len(m[0]) + 1 else (set(), set(), False)
+        mark = 0 if names & ONE_COMMENT else 2 if name == "article" or "articlebody" in roles else int(name == "main" or "main" in roles)
+        if mark and name in ("article", "main"):
+            # what still holds an article was not closed
+            while gone or (len(stack) > 1 and any(f in PRIOR for f in elements[stack[-1]].features) and elements[stack[-1]].name not in ("html", "body")):
+                close(elements[stack[-1]].name)
+        parent = elements[stack[-1]]
+        within = parent.within or mark > 0 or bool(names & ARTICLE_NAMES)
+        element = Element(stack[-1], name, _features(name, names, roles, within), mark, within, name in NOT_TEXT or hidden)
+        lone = name in VOID or piece.endswith("/>")
+        if not gone and not element.gone and name not in ("article", "main"):
+            items.append(("tag", name, stack[-1] if lone or name in _RAW_END else len(elements)))
+        if name in PROSE and not gone:
+            for k in reversed(stack):
+                if elements[k].prose:
+                    break
+                elements[k].prose = True
+        if lone:
             continue
         if name in _RAW_END:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else size
             continue
-        holds = bool(names & ARTICLE_NAMES)
-        stack.append((name, bad, mark, holds))
+        stack.append(len(elements))
+        elements.append(element)
         is_open[name] += 1
-        dropped += bad
-        links += name == "a"
-        held += holds
-        if mark:
-            marks.append(max(mark, marks[-1]))
+        gone += element.gone
+    for e in elements:
+        if e.prose and e.features and e.features[0] not in PRIOR:
+            e.features = (e.features[0].replace(">", " p>"), *e.features[1:])
+    return items, elements
+
+
+def _features(name: str, names: set[str], roles: set[str], within: bool) -> tuple[str, ...]:
+    """The tag, then what class, id and role say; nothing of elements that frame a page."""
+    if name in ("html", "body", "main") or (name == "article" and not names & ONE_COMMENT):
+        return ()
+    own = () if names & NOT_ITSELF else names - {"header"} if within or names & TITLE_NAMES else names
+    tag = "" if name == "header" and within else f"<{name}>"
+    return tag, *(f".{x}" for x in sorted(own)), *(f"@{x}" for x in sorted(roles))
 
 
 def page_counts(page: str) -> Counter | None:
-    """Tokens inside and outside the marked article; ``None`` if the page marks none."""
-    every = [(kind, value, link, mark) for kind, value, link, mark in tokens(page) if kind != "block"]
-    top = max((mark for _, _, _, mark in every), default=0)
+    """Words and tags inside and outside of a labelled article by feature; ``None`` if the page labels none.
+
+    Of nested elements outside the article the outermost that holds no word of it answers for
+    the words. Elements within the article whose name starts out as seldom main text don't count.
+    """
+    items, elements = parse(page)
+    top = max((e.mark for e in elements), default=0)
     if not top:
         return None
+    inside = [False] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        inside[k] = e.mark == top or inside[e.parent]
     seen: Counter = Counter()
-    for kind, value, link, mark in every:
+    for kind, value, k in items:
         if kind == "text":
-            seen["link_word" if link else "word", mark == top] += len(value.split())
-        else:
-            seen[value, mark == top] += 1
+            n = len(value.split())
+            elements[k].words += n
+            elements[k].labelled += n * inside[k]
+        elif kind == "tag":
+            seen["tag " + value, inside[k]] += 1
+    for e in reversed(elements[1:]):
+        elements[e.parent].words += e.words
+        elements[e.parent].labelled += e.labelled
+    seldom = [False] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        seldom[k] = seldom[e.parent] or any(f in PRIOR for f in e.features)
+        if inside[k] and not seldom[k]:
+            seen.update({(f, True): e.words for f in e.features if e.words})
+        elif not inside[k] and not e.labelled and e.words and (elements[e.parent].labelled or e.parent == 0):
+            seen.update({(f, False): e.words for f in e.features})
     return seen
 
 
@@ -198,21 +289,22 @@ def _count_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def weigh(counts: dict[tuple[str, bool], int]) -> Weights:
-    """Weights from counts inside and outside: rare-inside tags cost more, words stay positive."""
-    def share(token: str) -> float:
-        return (counts.get((token, True), 0) + 1) / (counts.get((token, True), 0) + counts.get((token, False), 0) + 2)
+    """Weights from counts inside and outside: what stands outside of articles costs, what stands inside is free."""
+    def both(token: str) -> tuple[int, int]:
+        return counts.get((token, True), 0), counts.get((token, False), 0)
 
-    tags = {t: -0.2 - 3.8 * (1 - share(t)) for t, _ in counts if t not in ("word", "link_word")}
-    within, outside = counts.get(("word", True), 0) + 1, counts.get(("word", False), 0) + 1
-    link = (counts.get(("link_word", True), 0) + 1) / (counts.get(("link_word", True), 0) + counts.get(("link_word", False), 0) + 2)
-    return Weights(1.0, max(0.1, link), -max(0.5, min(1.0, within / outside)), -0.25, tags)
+    names = {t for t, _ in counts}
+    tags = {t[4:]: -0.2 - 3.8 * (1 - (both(t)[0] + 1) / (sum(both(t)) + 2)) for t in names if t.startswith("tag ")}
+    known = {t for t in names if t and not t.startswith("tag ")} | set(PRIOR)
+    return Weights(tags=tags, elements={f: _weight(*both(f), PRIOR.get(f, 0.5)) for f in known})
 
 
 def learn(pages: DataFrame, html_col: str = "html", max_pages: int = TRAIN_PAGES) -> Weights:
     """Weights from labelled pages (those with ``<article>``, ``<main>`` or such a role).
 
     About ``max_pages`` pages at most, by the hash of the page, are read whole. Only counts by
-    tag name come to the driver. Without labelled pages the defaults hold.
+    feature come to the driver, as many as these pages have. Without labelled pages the names
+    that learning starts from decide.
     """
     small_batches(pages.sparkSession)
     html = F.col(html_col)
@@ -220,36 +312,46 @@ def learn(pages: DataFrame, html_col: str = "html", max_pages: int = TRAIN_PAGES
     share = min(1.0, max_pages / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     counts = rows.mapInArrow(_count_pages, "token string, inside boolean, n long").groupBy("token", "inside").agg(F.sum("n").alias("n"))
-    # names that HTML knows are few; made-up ones are not needed
-    counts = counts.where("n >= 3 and length(token) <= 20").orderBy(F.desc("n"), "token", "inside").limit(1000)
-    found = {(r.token, r.inside): r.n for r in counts.collect()}
-    return weigh(found) if any(inside for _, inside in found) else Weights()
+    return weigh({(r.token, r.inside): r.n for r in counts.collect()})
 
 
 def main_text(page: str | None, weights: Weights) -> str:
     """The main text of one page; empty if it has none."""
     if not page:
         return ""
-    every = list(tokens(page))
-    marked = max((mark for kind, _, _, mark in every if kind == "text"), default=0)
-    best, best_at, total, begin, items = 0.0, (0, 0), 0.0, 0, []
-    for kind, value, link, mark in every:
-        if kind == "block":
-            items.append(" ")
-            continue
-        if kind == "tag":
+    items, elements = parse(page)
+    sizes = [len(value.split()) if kind == "text" else 0 for kind, value, _ in items]
+    for n, (_, _, k) in zip(sizes, items, strict=True):
+        elements[k].words += n
+    for e in reversed(elements[1:]):
+        elements[e.parent].words += e.words
+    # an element that holds most of a page's words frames it, whatever its name, if it is no menu
+    half = elements[0].words / 2
+    frames = [e.words > half and (e.prose or not any(f in PRIOR for f in e.features)) for e in elements]
+    score, unit = [weights.word] * len(elements), [0] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        score[k] = max(LOWEST, score[e.parent] + (0.0 if frames[k] else weights.of(e)))
+        unit[k] = unit[e.parent] or (k if score[k] <= 0.0 else 0)
+    best, best_at, total, begin, last = 0.0, (0, 0), 0.0, 0, 0
+    for x, (kind, value, k) in enumerate(items):
+        if unit[k]:
+            if unit[k] == last:
+                continue
+            last = unit[k]
+            total += score[last] * UNIT
+        elif kind == "text":
+            total += sizes[x] * score[k]
+        elif kind == "tag":
             total += weights.tags.get(value, weights.other)
-            items.append("")
         else:
-            n = len(value.split())
-            total += n * (weights.outside_word if mark < marked else weights.link_word if link else weights.word)
-            items.append(value)
+            continue
         if total <= 0.0:
-            total, begin = 0.0, len(items)
+            total, begin = 0.0, x + 1
         elif total > best:
-            best, best_at = total, (begin, len(items))
+            best, best_at = total, (begin, x + 1)
+    kept = [" " if kind == "block" else value if kind == "text" and not unit[k] else "" for kind, value, k in items[slice(*best_at)]]
     # a reference is decoded after blocks are told apart, so what it stands for is never markup
-    return " ".join(entities.unescape("".join(items[slice(*best_at)])).split())
+    return " ".join(entities.unescape("".join(kept)).split())
 
 
 def extract(pages: DataFrame, weights: Weights, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), text_out: str = "text") -> DataFrame:

@@ -228,6 +228,56 @@ def test_odd_pages(page):
     assert text == {"plain words only": "plain words only"}.get(page, text) and "never" not in text and "menu" not in text
 
 
+def test_attributes_of_any_length():
+    weights = html_main.Weights()
+    for n in (3, 3000, 300_000):
+        for quote in "\"'":
+            page = f"<nav>menu</nav><article><p>Some words <img alt={quote}{'x>' * n}{quote}> and more of them</p></article>"
+            assert html_main.main_text(page, weights) == "Some words and more of them"
+    # a quote that stands open ends with its tag
+    assert html_main.main_text("<p class='x>one two</p><p>three</p>", weights) == "one two three"
+
+
+def article_of(page):
+    import html
+
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)\b[^>]*>", " ", inner))).split())
+
+
+def f1_of(got, want):
+    from collections import Counter
+
+    got, want = Counter(got.split()), Counter(want.split())
+    return 2 * sum((got & want).values()) / max(1, sum(got.values()) + sum(want.values()))
+
+
+def test_learned_weights_find_unmarked_articles():
+    """Held-out pages without marks, classes, ids and roles; what is learned decides."""
+    from collections import Counter
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    pages = [r["html"] for r in pq.read_table(Path("/root/testdata/sf0.01/pages.parquet")).to_pylist()]
+    seen = Counter()
+    for page in pages[::2]:
+        seen.update(html_main.page_counts(page))
+    score = {}
+    for name, weights in (("learned", html_main.weigh(dict(seen))), ("start", html_main.Weights()), ("none", html_main.Weights(elements={}))):
+        bare = [(re.sub(r'\s(?:class|id|role)="[^"]*"', "", re.sub("(</?)article>", rf"\1{tag}", p)), article_of(p)) for p in pages[1::2] for tag in ("div>", "x>")]
+        score[name] = sum(f1_of(html_main.main_text(p, weights), want) for p, want in bare) / len(bare)
+    assert score["learned"] >= 0.99 and score["start"] < 0.985 and score["none"] < 0.96
+
+
+def test_extraction_keeps_rows(spark):
+    rows = [(1, "<p>hello there</p>", "own"), (1, "<p>hello there</p>", "own"), (None, None, "own")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string").withColumn("url", F.lit("u"))
+    assert sorted(r.text for r in html_main.extract(pages, html_main.learn(pages)).collect()) == ["", "hello there", "hello there"]
+    with pytest.raises(ValueError, match="like the result"):
+        html_main.extract(pages, html_main.Weights(), keep=("page_id", "text"))
+
+
 def test_pages_of_the_tables(spark, sf_dir):
     import html
 
