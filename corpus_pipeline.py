@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import lang_id, mixing, neardup, pii, prefix_bpe, recipes
-from loomwright.llm.shared import written
+from loomwright.llm.shared import scratch, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least score of a language that is accepted, and least share of a text's longest n-grams that
@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; all documents stay, ``n_chars`` follows."""
-    found = pii.find(docs.select(*COLUMNS), pii.train(docs))
+    found = pii.find(docs.select(*COLUMNS))
     found = found.withColumn("text", pii.mask(F.col("text"), F.col("pii_spans")))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -69,10 +69,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result is written and read again."""
+    """Apply all stages to ``documents``; each result is written and read again, and what the stage left goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,13 +1,14 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
 Base finders (regular expressions with a check) always count. Beside them a wide pattern
-proposes candidates: numbers, keys and disguised addresses. Five labelers vote on each
-candidate and base find (+1 personal, -1 not, 0 silent): strict shape, randomness of the
-characters, trigger words before it, gazetteers of prefixes, countries and domains, and
-contexts that speak against it. Expectation-maximisation over the vote patterns (a table of
-bounded size: kinds times 3**5) estimates how reliable each labeler is; its posteriors are the
-soft labels of the final span classifier, a naive Bayes model over bucketed features of the
-span. Candidates that it accepts are added; base finds stay.
+proposes candidates, most of which are none: numbers in groups, long words and keys, disguised
+addresses. Five labelers vote on each candidate (+1 personal, -1 not, 0 silent): strict shape,
+randomness of the characters, trigger words before it, gazetteers of prefixes, countries and
+domains, and contexts that speak against it. Expectation-maximisation over the vote patterns
+(a table of bounded size: 3**5) estimates how reliable each labeler is; its posteriors are the
+soft labels of the final span classifier, a naive Bayes model. The classifier does not see the
+votes: it looks at the span's kind and shape, at the words before it and the marks between.
+Candidates that it accepts are added; base finds stay.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from loomwright.llm.shared import written
 KINDS = ("email", "ip", "card", "phone", "id", "account", "secret")
 LABELERS = 5
 THRESHOLD, ROUNDS = 0.9, 25
+#: Votes that a labeler's first reliability counts as, and spans that a feature's first odds count as.
+VOTES, SPANS = 20.0, 20.0
+#: Words before a span that the classifier looks at.
+BEFORE = 3
 
 # A match starts where its first run of characters starts, or where the last match ended:
 # starting later in the run can't match where that start doesn't. So scans stay linear.
@@ -32,28 +37,42 @@ CARD = r"[0-9](?:[ -]?[0-9]){11,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WIDE = (
     r"(?<![A-Za-z0-9+@._-])(?:"
-    r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-    r"|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
-    r"|[A-Za-z0-9._-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,63}+){1,4}+"
+    # numbers in groups: identity numbers, phone numbers, but book numbers and dates too
+    r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+    r"|[0-9]{1,5}(?:[.-][0-9]{1,7}){2,6}+(?![0-9])"
+    r"|[A-Za-z0-9._-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]++)++"
     r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-    # keys of any length; what dots join to them is part of them (header.payload.signature)
-    r"|(?=[A-Za-z_/+=-]*+(?:\.[A-Za-z_/+=-]++)*+\.?[0-9])(?:SG\.)?+[A-Za-z0-9_/+=-]{20,}+(?:\.[A-Za-z0-9_/+=-]++)*+)"
+    # long words and keys of any length; what dots join to them is part of them (header.payload.signature)
+    r"|(?:SG\.)?+[A-Za-z0-9_/+=-]{20,}+(?:\.[A-Za-z0-9_/+=-]++)*+)"
 )
 
-# Trigger words before a span by kind, contexts against, and the gazetteers.
+# Trigger words before a span by kind, words that speak against, and the gazetteers.
 TRIGGERS = {
-    "email": "mail|contact|write|adresse|correo",
-    "ip": "ip|host|server|address|login",
-    "card": "card|visa|master|amex|credit|karte|carte|tarjeta",
-    "phone": "phone|tel|call|mobile|fax|cell|telefon|handy",
-    "id": "ssn|social|passport|license no|tax id|national id|steuer",
-    "account": "iban|account|bank|konto|compte|cuenta",
-    "secret": "key|token|secret|password|passwd|api|auth|bearer|credential",
+    "email": ("mail", "email", "contact", "write", "adresse", "correo"),
+    "ip": ("ip", "host", "server", "address", "login"),
+    "card": ("card", "visa", "mastercard", "amex", "credit", "karte", "carte", "tarjeta"),
+    "phone": ("phone", "tel", "telephone", "call", "mobile", "fax", "cell", "telefon", "handy"),
+    "id": ("ssn", "social", "security", "passport", "licence", "identity", "steuer"),
+    "account": ("iban", "account", "bank", "konto", "compte", "cuenta"),
+    "secret": ("key", "apikey", "token", "secret", "password", "passwd", "pwd", "api", "auth", "bearer", "credential", "credentials"),
 }
-AGAINST = r"(?:version|isbn|issn|doi|page|commit|revision|build|sha256|sha1|md5|checksum|https?:|www\.|/)\W*$"
-SECRET_PREFIXES = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|sk-|sk_|pk_|rk_|xox[abp]-|eyJ|key-|SG)"
-ACCOUNT_COUNTRIES = "AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT RO SE SI SK".split()
-DOMAIN_ENDS = "com org net edu gov io de fr es uk it nl eu info".split()
+AGAINST = (
+    "version", "isbn", "issn", "doi", "page", "pages", "commit", "revision", "rev", "build", "sha", "md5", "hash", "checksum", "digest", "file", "filename", "http", "https",
+    "www", "url", "date", "order", "invoice", "chapter", "section", "release",
+)
+SECRET_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "sk_", "pk_", "rk_", "xoxa", "xoxb", "xoxp", "eyJ", "key-", "SG.")
+ACCOUNT_COUNTRIES = ("AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "GR", "HU", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "RO", "SE", "SI", "SK")
+DOMAIN_ENDS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "it", "nl", "eu", "info")
+# Chance of the votes -1, 0, +1 on true and on false spans, for each labeler (shape,
+# randomness, trigger, gazetteer, against), from which estimation starts.
+FIRST_YES = ((0.05, 0.25, 0.7), (0.1, 0.2, 0.7), (0.01, 0.39, 0.6), (0.05, 0.65, 0.3), (0.02, 0.97, 0.01))
+FIRST_NO = ((0.6, 0.35, 0.05), (0.7, 0.2, 0.1), (0.01, 0.94, 0.05), (0.1, 0.89, 0.01), (0.3, 0.69, 0.01))
+# Log odds that features of the classifier start with: words before a span, and shapes.
+FIRST_ODDS = (
+    {f"word:{k}:{w}": 3.5 for k, words in TRIGGERS.items() for w in words}
+    | {f"word:{k}:{w}": -5.0 for k in KINDS for w in AGAINST}
+    | {"shape:id:3-2-4": 1.5, "shape:phone:(3) 3-4": 3.0, "shape:email": 3.0, "shape:account:country": 3.0, "shape:secret:prefix": 6.0}
+)
 
 
 def prefix_sums(sizes: Column) -> Column:
@@ -131,8 +150,8 @@ def base_spans(text: Column) -> Column:
 
 def _wide_kind(hit: Column) -> Column:
     rules = [
-        ("id", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
         ("phone", r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"),
+        ("id", r"^[0-9]{1,5}(?:[.-][0-9]{1,7}){2,6}$"),
         ("email", r"[\[(]at[\])]"),
         ("account", r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$"),
     ]
@@ -143,41 +162,67 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
 
 
-def votes(span: Column, is_base: bool) -> Column:
+def _words(names: tuple[str, ...], behind: str = r"\b[^A-Za-z]*(?:[A-Za-z]+[^A-Za-z]+){0,2}$") -> str:
+    """One of some words, whole, among the last three before a span."""
+    return rf"\b(?:{'|'.join(names)}){behind}"
+
+
+PREFIXED = f"^(?:{'|'.join(x.replace('.', '[.]') for x in SECRET_PREFIXES)})"
+
+
+def votes(span: Column) -> Column:
     """The five labelers' votes on a span, ``array<int>`` of -1, 0 and 1."""
     kind, hit, left = span["kind"], span["hit"], F.lower(span["left"])
     is_ = {k: kind == i for i, k in enumerate(KINDS)}
-    hexes = hit.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{38}|[0-9a-f]{40}|[0-9a-f]{64})$")
-    shape = F.lit(1) if is_base else _vote(
-        (is_["secret"] & (hexes | hit.rlike(SECRET_PREFIXES))) | (is_["id"] & ~hit.rlike(r"^(?:000|666|9)|-00-|-0000$")) | (is_["phone"] & hit.startswith("(")) | is_["email"],
-        is_["id"] | (is_["secret"] & hit.rlike(r"^[0-9_/+=-]+$|[-_=/+]{4}")),
-    )
+    hexes = hit.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{38}|[0-9a-f]{40}|[0-9a-f]{64})$") & hit.rlike("[0-9]")
+    number = hit.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
+    words = ~hit.rlike("[0-9]") | hit.rlike(r"^(?:[A-Za-z]+|[0-9]+|v[0-9]+)(?:[-_/.](?:[A-Za-z]+|[0-9]+|v[0-9]+))+$")
+    shape = _vote((is_["secret"] & ~words & (hexes | hit.rlike(PREFIXED))) | (is_["id"] & number) | (is_["phone"] & hit.startswith("(")) | is_["email"], (is_["id"] & ~number) | (is_["secret"] & words))
     letters, digits = F.length(F.regexp_replace(hit, "[^A-Za-z]", "")), F.length(_digits(hit))
     turns = F.size(F.regexp_extract_all(hit, F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]"), F.lit(0)))
     kinds_of_chars = F.size(F.array_distinct(F.split(hit, "")))
     random = _vote(F.when(is_["secret"], (turns >= 4) & (digits >= 4) & (letters >= 4) & (kinds_of_chars >= 10)).when(is_["email"], letters >= 3).otherwise(kinds_of_chars >= 4), F.lit(True))
-    trigger = reduce(lambda rest, k: F.when(is_[k], left.rlike(rf"(?:{TRIGGERS[k]})")).otherwise(rest), KINDS, F.lit(False))
+    trigger = reduce(lambda rest, k: F.when(is_[k], left.rlike(_words(TRIGGERS[k]))).otherwise(rest), KINDS, F.lit(False))
     context = _vote(trigger, F.lit(False))
     gazetteer = _vote(
-        (is_["secret"] & hit.rlike(SECRET_PREFIXES)) | (is_["account"] & F.substring(hit, 1, 2).isin(ACCOUNT_COUNTRIES)) | (is_["email"] & F.lower(hit).rlike(rf"(?:{'|'.join(DOMAIN_ENDS)})$")),
+        (is_["secret"] & hit.rlike(PREFIXED)) | (is_["account"] & F.substring(hit, 1, 2).isin(list(ACCOUNT_COUNTRIES))) | (is_["email"] & F.lower(hit).rlike(rf"(?:{'|'.join(DOMAIN_ENDS)})$")),
         is_["account"],
     )
-    against = _vote(F.lit(False), left.rlike(AGAINST) | span["right"].rlike("[A-Za-z0-9_]"))
+    against = _vote(F.lit(False), left.rlike(_words(AGAINST)) | left.rlike(r"/$") | span["right"].rlike("[A-Za-z0-9_]"))
     return F.array(shape, random, context, gazetteer, against)
 
 
-def features(span: Column) -> Column:
-    """Bucketed features of a span for the classifier, as names."""
-    kind, hit = span["kind"].cast("string"), span["hit"]
+def _shape(span: Column) -> Column:
+    """What a span looks like: groups of digits, or characters, length and how they mix."""
+    kind, hit = span["kind"], span["hit"]
+    is_ = {k: kind == i for i, k in enumerate(KINDS)}
     marks = F.concat(*(F.when(hit.rlike(p), F.lit(c)).otherwise(F.lit("-")) for p, c in (("[A-Z]", "U"), ("[a-z]", "l"), ("[0-9]", "d"), ("[^A-Za-z0-9]", "s"))))
-    pattern = F.array_join(votes(span, False), "")
-    around = F.concat(F.when(span["left"].rlike(r"[\s(\[{<\"':=]$") | (F.length(span["left"]) == 0), F.lit("open")).otherwise(F.lit("tight")), F.when(span["right"].rlike(r"[A-Za-z0-9]"), F.lit("tight")).otherwise(F.lit("open")))
-    return F.array(
-        F.concat_ws(":", F.lit("kind"), kind),
-        F.concat_ws(":", F.lit("size"), kind, F.least(F.floor(F.length(hit) / 4), F.lit(20)).cast("string")),
-        F.concat_ws(":", F.lit("marks"), kind, marks),
-        F.concat_ws(":", F.lit("around"), around),
-        F.concat_ws(":", F.lit("cues"), kind, pattern),
+    turns = F.size(F.regexp_extract_all(hit, F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]"), F.lit(0)))
+    mixed = F.least(F.floor(turns * 10 / F.length(hit)), F.lit(5)).cast("string")
+    size = F.floor(F.log2(F.length(hit).cast("double")) * 2).cast("string")
+    parts = F.split(hit, "[.-]")
+    groups = F.when(F.size(parts) > 4, F.size(parts).cast("string")).otherwise(F.array_join(F.transform(parts, lambda g: F.length(g).cast("string")), "-"))
+    phone = F.when(hit.startswith("("), F.lit("(3) 3-4")).otherwise(F.lit("3-3-4"))
+    account = F.when(F.substring(hit, 1, 2).isin(list(ACCOUNT_COUNTRIES)), F.lit("country")).otherwise(F.lit("other"))
+    secret = F.when(hit.rlike(PREFIXED), F.lit("prefix")).otherwise(F.concat_ws(":", marks, size, mixed))
+    return F.when(is_["id"], F.concat(F.lit("shape:id:"), groups)).when(is_["phone"], F.concat(F.lit("shape:phone:"), phone)).when(is_["account"], F.concat(F.lit("shape:account:"), account)).when(is_["email"], F.lit("shape:email")).otherwise(F.concat(F.lit("shape:secret:"), secret))
+
+
+def features(span: Column) -> Column:
+    """Features of a span for the classifier, as names: kind, shape, marks around it, known words before it.
+
+    None of them is a vote. Each has a bounded number of values, so the model is of bounded size.
+    """
+    kind = F.get(F.array(*map(F.lit, KINDS)), span["kind"])
+    known = F.array(*map(F.lit, sorted({*AGAINST, *(w for words in TRIGGERS.values() for w in words)})))
+    # a cut word at the window's start is no word
+    words = F.regexp_extract_all(F.lower(span["left"]), F.lit(r"(?<![\p{L}\p{N}])\p{L}+(?!\p{L})"), F.lit(0))
+    before = F.array_intersect(F.slice(F.reverse(words), 1, BEFORE), known)
+    gap = F.regexp_replace(F.regexp_replace(F.regexp_extract(span["left"], r"[^\p{L}\p{N}]*$", 0), r"\s+", " "), r"[^ -~]", "x")
+    behind = F.when(span["right"] == "", "end").when(span["right"].rlike(r"[\p{L}\p{N}]"), "word").when(span["right"].rlike(r"\s"), "space").when(span["right"].rlike("[!-~]"), span["right"]).otherwise("other")
+    return F.concat(
+        F.array(F.concat(F.lit("kind:"), kind), _shape(span), F.concat_ws(":", F.lit("gap"), kind, F.right(gap, F.lit(2))), F.concat_ws(":", F.lit("behind"), kind, behind)),
+        F.transform(before, lambda w: F.concat_ws(":", F.lit("word"), kind, w)),
     )
 
 
@@ -187,12 +232,14 @@ def candidates(text: Column, base: Column) -> Column:
     return F.filter(wide, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
 
+def _table(rows: tuple[tuple[float, ...], ...]) -> str:
+    return f"array({', '.join('array(' + ', '.join(f'{x}D' for x in r) + ')' for r in rows)})"
+
+
 _EM = f"""
 aggregate(
   sequence(1, {{rounds}}),
-  named_struct('prior', 0.5D,
-    'yes', transform(sequence(1, {LABELERS}), j -> array(0.1D, 0.3D, 0.6D)),
-    'no', transform(sequence(1, {LABELERS}), j -> array(0.6D, 0.3D, 0.1D))),
+  named_struct('prior', 0.5D, 'yes', {_table(FIRST_YES)}, 'no', {_table(FIRST_NO)}),
   (model, round) -> transform(array(transform(seen, p -> named_struct('n', p.n, 'votes', p.votes,
       'r', 1D / (1D + exp(
         aggregate(sequence(0, {LABELERS - 1}), ln((1D - model.prior) / model.prior),
@@ -203,39 +250,44 @@ aggregate(
       total -> named_struct(
         'prior', (total.yes + 1D) / (total.all + 2D),
         'yes', transform(sequence(0, {LABELERS - 1}), j -> transform(sequence(-1, 1), v ->
-          (aggregate(soft, 0D, (acc, p) -> acc + if(p.votes[j] = v, p.n * p.r, 0D)) + 0.5D) / (total.yes + 1.5D))),
+          (aggregate(soft, 0D, (acc, p) -> acc + if(p.votes[j] = v, p.n * p.r, 0D)) + {VOTES}D * {_table(FIRST_YES)}[j][v + 1]) / (total.yes + {VOTES}D))),
         'no', transform(sequence(0, {LABELERS - 1}), j -> transform(sequence(-1, 1), v ->
-          (aggregate(soft, 0D, (acc, p) -> acc + if(p.votes[j] = v, p.n * (1D - p.r), 0D)) + 0.5D) / (total.all - total.yes + 1.5D)))))[0])[0])
+          (aggregate(soft, 0D, (acc, p) -> acc + if(p.votes[j] = v, p.n * (1D - p.r), 0D)) + {VOTES}D * {_table(FIRST_NO)}[j][v + 1]) / (total.all - total.yes + {VOTES}D)))))[0])[0])
 """
 
 
 def reliabilities(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row: prior and, for each labeler, the chance of each vote on true and false spans.
 
-    ``spans`` has ``votes``. Only the counts of the vote patterns come together, 243 at most.
+    ``spans`` has ``votes`` and may have ``n``, how often. Only the counts of the vote patterns
+    come together, 243 at most. A labeler that never spoke keeps its first reliability.
     """
-    seen = spans.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
+    seen = spans.groupBy("votes").agg(F.sum(F.col("n") if "n" in spans.columns else F.lit(1)).cast("double").alias("n"))
     return seen.agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("seen")).select(F.expr(_EM.format(rounds=rounds)).alias("model"))
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """One row ``(prior double, odds map<string, double>)``: the span classifier.
+def scan(docs: DataFrame, text_col: str = "text", base_out: str = "pii_base", wide_out: str = "pii_wide") -> DataFrame:
+    """``docs`` with the base finds and the candidates of each whole text; a null text counts as empty."""
+    clash = {base_out, wide_out, "__text"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns are named like results: {sorted(clash)}")
+    rows = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    rows = rows.withColumn(base_out, base_spans(F.col("__text")))
+    return rows.withColumn(wide_out, candidates(F.col("__text"), F.col(base_out))).drop("__text")
 
-    All documents' spans are counted, whole texts are read; the result has a bounded number of
-    features. Without any span the map is empty and the prior 0.5.
+
+def train(scanned: DataFrame, rounds: int = ROUNDS, wide_col: str = "pii_wide") -> DataFrame:
+    """One row ``(odds map<string, double>)``: the span classifier, from the candidates of :func:`scan`.
+
+    All candidates are counted. The odds of a feature are the log ratio of its shares among
+    true and false spans, drawn towards its first odds (0 for most) as if these came from 20
+    spans; those of a kind are its log odds as such. Features have a bounded number of values,
+    which bounds the map.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(text.alias("text"), base_spans(text).alias("base"))
-    both = F.concat(
-        F.transform("base", lambda x: F.struct(votes(x, True).alias("votes"), features(x).alias("features"))),
-        F.transform(candidates(F.col("text"), F.col("base")), lambda x: F.struct(votes(x, False).alias("votes"), features(x).alias("features"))),
-    )
+    spans = scanned.select(F.explode(wide_col).alias("x")).select(votes(F.col("x")).alias("votes"), features(F.col("x")).alias("features"))
     # counted by pattern before anything is joined, so a hot kind of span is summed where it is read
-    counted = rows.select(F.explode(both).alias("x")).groupBy("x.votes", "x.features").agg(F.count("*").alias("n"))
-    counted = written(counted, "patterns")
-    patterns = counted.groupBy("votes").agg(F.sum("n").cast("double").alias("n"))
-    model = patterns.agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("seen")).select(F.expr(_EM.format(rounds=rounds)).alias("model"))
-    model = written(model, "reliabilities")
+    counted = written(spans.groupBy("votes", "features").agg(F.count("*").alias("n")), "patterns")
+    model = written(reliabilities(counted, rounds), "reliabilities")
     odds = reduce(
         lambda acc, j: acc + F.ln(F.expr(f"model.yes[{j}][votes[{j}] + 1] / model.no[{j}][votes[{j}] + 1]")),
         range(LABELERS),
@@ -243,42 +295,54 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Data
     )
     # one row of model: the join is a projection
     soft = counted.crossJoin(F.broadcast(model)).select("features", "n", (F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).alias("r"))
-    sums = soft.agg(F.sum(F.col("n") * F.col("r")).alias("yes"), F.sum(F.col("n") * (1 - F.col("r"))).alias("no"))
+    sums = soft.agg(F.coalesce(F.sum(F.col("n") * F.col("r")), F.lit(0.0)).alias("yes"), F.coalesce(F.sum(F.col("n") * (1 - F.col("r"))), F.lit(0.0)).alias("no"))
     by = soft.select(F.explode("features").alias("feature"), "n", "r").groupBy("feature").agg(F.sum(F.col("n") * F.col("r")).alias("fy"), F.sum(F.col("n") * (1 - F.col("r"))).alias("fn"))
-    # each class is smoothed by two spans that look like all spans, so a small class decides nothing by itself
-    rate = (F.col("fy") + F.col("fn")) / (F.col("yes") + F.col("no")) * 2
-    scored = by.crossJoin(F.broadcast(sums)).select("feature", F.ln((F.col("fy") + rate) / (F.col("yes") + 2) * (F.col("no") + 2) / (F.col("fn") + rate)).alias("odds"))
-    table = scored.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "odds")))).alias("odds"))
-    prior = sums.select(((F.coalesce("yes", F.lit(0.0)) + 1) / (F.coalesce("yes", F.lit(0.0)) + F.coalesce("no", F.lit(0.0)) + 2)).alias("prior"))
-    return written(prior.crossJoin(F.broadcast(table)), "classifier")
-
-
-def find(docs: DataFrame, classifier: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, spans_out: str = "pii_spans", base_out: str = "pii_base") -> DataFrame:
-    """``docs`` with all spans and the base ones: ``array<struct<start: int, kind: int, end: int>>``.
-
-    Spans are by start, then kind (a place in ``KINDS``), in code points, end exclusive. A null
-    text counts as empty and has no spans; other columns pass through; repeated rows and ids do
-    not matter; columns of ``docs`` named like results are an error.
-    """
-    clash = {spans_out, base_out, "__base", "__text", "__prior", "__odds"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns are named like results: {sorted(clash)}")
-    # one row of bounded size: the join is a projection
-    model = classifier.select(F.col("prior").alias("__prior"), F.col("odds").alias("__odds"))
-    rows = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__base", base_spans(F.col("__text")))
-    rows = rows.crossJoin(F.broadcast(model))
-    prior, odds = F.col("__prior"), F.col("__odds")
+    spark = scanned.sparkSession
+    first = spark.createDataFrame([(f, float(x)) for f, x in FIRST_ODDS.items()], "feature string, first double")
+    by = by.join(F.broadcast(first), "feature", "full").select("feature", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("fy", "fn", "first")))
+    ratio = F.ln((F.col("fy") + 0.5) / (F.col("yes") + 1) * (F.col("no") + 1) / (F.col("fn") + 0.5))
+    plain = F.ln((F.col("fy") + 0.5) / (F.col("fn") + 0.5))
+    many = F.col("fy") + F.col("fn")
+    drawn = (many * F.when(F.col("feature").startswith("kind:"), plain).otherwise(ratio) + SPANS * F.col("first")) / (many + SPANS)
+    scored = by.crossJoin(F.broadcast(sums)).select("feature", drawn.alias("odds"))
+    return written(scored.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "odds")))).alias("odds")), "classifier")
+
+
+def decide(scanned: DataFrame, classifier: DataFrame, threshold: float = THRESHOLD, spans_out: str = "pii_spans", base_col: str = "pii_base", wide_col: str = "pii_wide") -> DataFrame:
+    """``scanned`` with all spans, and the base ones, as ``array<struct<start: int, kind: int, end: int>>``, without the candidates."""
+    if spans_out in scanned.columns:
+        raise ValueError(f"columns are named like results: {[spans_out]}")
+    # one row: the join is a projection
+    rows = scanned.crossJoin(F.broadcast(classifier.select(F.col("odds").alias("__odds"))))
+    odds = F.col("__odds")
 
     def accepted(x: Column) -> Column:
-        score = F.aggregate(features(x), F.ln(prior / (1 - prior)), lambda acc, f: acc + F.coalesce(F.try_element_at(odds, f), F.lit(0.0)))
+        score = F.aggregate(features(x), F.lit(0.0), lambda acc, f: acc + F.coalesce(F.try_element_at(odds, f), F.lit(0.0)))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-score)) >= threshold
 
     def bare(spans: Column) -> Column:
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    more = F.filter(candidates(F.col("__text"), F.col("__base")), accepted)
-    rows = rows.withColumn(spans_out, F.array_sort(F.concat(bare(F.col("__base")), bare(more)))).withColumn(base_out, bare(F.col("__base")))
-    return rows.drop("__text", "__base", "__prior", "__odds")
+    more = F.filter(F.col(wide_col), accepted)
+    rows = rows.withColumn(spans_out, F.array_sort(F.concat(bare(F.col(base_col)), bare(more)))).withColumn(base_col, bare(F.col(base_col)))
+    return rows.drop(wide_col, "__odds")
+
+
+def find(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, classifier: DataFrame | None = None, spans_out: str = "pii_spans", base_out: str = "pii_base") -> DataFrame:
+    """``docs`` with all spans and the base ones: ``array<struct<start: int, kind: int, end: int>>``.
+
+    Texts are scanned once; without a ``classifier`` one is trained on all of them. Spans are
+    by start, then kind (a place in ``KINDS``), in code points, end exclusive. A null text
+    counts as empty and has no spans; other columns pass through; repeated rows and ids do not
+    matter; columns of ``docs`` named like results are an error; no rows give no rows.
+    """
+    clash = {spans_out, "__odds", "__wide"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns are named like results: {sorted(clash)}")
+    scanned = written(scan(docs, text_col, base_out, "__wide"), "scanned")
+    if classifier is None:
+        classifier = train(scanned, wide_col="__wide")
+    return decide(scanned, classifier, threshold, spans_out, base_out, "__wide")
 
 
 def as_text(spans: Column) -> Column:

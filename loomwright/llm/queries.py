@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import chat, hamming, html_main, lang_id, mixing, neardup, pii, prefix_bpe, recipes, syncmers, token_counts
+from loomwright.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,8 +89,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_weak_supervision_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents: base finds and what the trained classifier adds."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pii.find(docs, pii.train(docs))
+    scanned = written(pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "scanned")
+    out = pii.decide(scanned, pii.train(scanned))
     counts = [pii.count_kind(F.col("pii_base"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
     return out.select("doc_id", *counts, F.sha2(pii.as_text(F.col("pii_base")), 256).alias("base_sha256"), pii.as_text(F.col("pii_spans")).alias("spans"))
 
