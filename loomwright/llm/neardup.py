@@ -35,7 +35,7 @@ from loomwright.llm.shared import IdFilter, slices, small_batches, spread_join,
 
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS, SAMPLES, BITS = 32, 4, 256, 1024
-BLOCK = 256
+BLOCK = 512
 
 
 def _signatures(width: int):
