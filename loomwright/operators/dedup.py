@@ -15,6 +15,8 @@ from loomwright.functions import text as T
 
 NEAR_EXACT, GRAY_LOW, GRAY_HIGH, NEIGHBOURS = 0.85, 0.87, 0.95, 10
 PAIR = ["left_id", "right_id"]
+#: Grams of a short text.
+SHORT = 40
 
 
 def band(similarity: Column, high: float = GRAY_HIGH) -> Column:
@@ -66,6 +68,10 @@ def _signatures(sets: DataFrame, threshold: float) -> DataFrame:
     that have more than ``m`` of them; of a set with ``w <= m`` weak ones, at least
     ``m + 1 - w`` of the equal buckets are not weak, and both sides send those.
 
+    Short texts have too few grams for that, and empty buckets would be alike in all of them. In
+    classes of up to :data:`SHORT` grams a set of ``n`` sends its ``n - ceil(t n) + 1`` least gram
+    hashes themselves: two sets of that similarity have one of them in common.
+
     Sizes fall into classes of ratio ``t``. A pair belongs to the class of its smaller side,
     with that class's ``k``: a set takes part in its own class (``own``) and the one below.
     """
@@ -76,7 +82,10 @@ def _signatures(sets: DataFrame, threshold: float) -> DataFrame:
     top = F.exp((F.col("class") + 1) * step)
     d = F.floor((1 - threshold) / (1 + threshold) * (top + top / threshold) + 1e-6).cast("int")
     both = both.withColumn("m", F.ceil(d / 4).cast("int") + 4).withColumn("k", d + 1 + F.col("m"))
-    grams = both.select("hash", "n", "focus", "class", "own", "k", "m", F.explode("grams").alias("g")).withColumn("bucket", F.pmod("g", "k").cast("int"))
+    few = top <= SHORT
+    first = F.slice(F.array_sort("grams"), F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
+    short = both.where(few).select("hash", "n", "focus", "own", F.lit(1).alias("need"), F.explode(F.transform(first, lambda g: F.xxhash64("class", F.lit("gram"), g))).alias("sig"))
+    grams = both.where(~few).select("hash", "n", "focus", "class", "own", "k", "m", F.explode("grams").alias("g")).withColumn("bucket", F.pmod("g", "k").cast("int"))
     # a text's rows are in one task already, so neither aggregation moves them
     keys = ["hash", "n", "focus", "class", "own", "k", "m"]
     filled = grams.groupBy(*keys, "bucket").agg(F.count("*").alias("size"), F.bit_xor("g").alias("x"), F.sum(F.col("g").bitwiseAND(F.lit(0x7FFFFFFF))).alias("s"))
@@ -87,7 +96,7 @@ def _signatures(sets: DataFrame, threshold: float) -> DataFrame:
     sent = F.when(F.col("weak") > F.col("m"), F.concat(F.transform("buckets", lambda b: F.xxhash64("class", b["bucket"], b["size"], b["x"], b["s"])), F.transform(empty, lambda e: F.xxhash64("class", e))))
     sent = sent.otherwise(F.transform(strong, lambda b: F.xxhash64("class", b["bucket"], b["size"], b["x"], b["s"])))
     need = F.greatest(F.lit(1), F.col("m") + 1 - F.col("weak"))
-    return whole.select("hash", "n", "focus", "own", need.alias("need"), F.explode(sent).alias("sig"))
+    return whole.select("hash", "n", "focus", "own", need.alias("need"), F.explode(sent).alias("sig")).unionByName(short)
 
 
 def near_exact_pairs(rows: DataFrame, threshold: float = NEAR_EXACT, size: int = T.SHINGLE, form: T.Form = T.plain, drop_exact: bool = True) -> DataFrame:
@@ -180,3 +189,12 @@ def report(rows: DataFrame, vectors: DataFrame | None = None, near: float = NEAR
         marked = vectors.join(with_focus(rows).select("id", "focus"), "id")
         found = found.unionByName(semantic_pairs(marked.where("focus"), marked, found, low, k).withColumn("tier", F.lit("semantic")))
     return found.select(*PAIR, "tier", "similarity", band(F.col("similarity"), high).alias("band"))
+
+
+def report_order(pairs: DataFrame) -> DataFrame:
+    return pairs.orderBy(F.desc("similarity"), *PAIR)
+
+
+def focus_in_corpus(focus: DataFrame, corpus: DataFrame, id_col: str = "id") -> DataFrame:
+    """Ids of the focus that the corpus holds too: worth a warning, as the focus row replaces the other."""
+    return focus.select(id_col).distinct().join(corpus.select(id_col), id_col, "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
@@ -54,9 +54,10 @@ def checked_vectors(vectors: DataFrame, width: int) -> DataFrame:
 
 
 def write_once(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """What may be appended: rows whose key is not there yet, one a key."""
-    first = Window.partitionBy(key).orderBy(*[c for c in new.columns if c != key])
-    return new.join(old.select(key), key, "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    """What may be appended: rows whose key is not there yet, the least row of each key."""
+    rest = [c for c in new.columns if c != key]
+    first = new.join(old.select(key), key, "left_anti").groupBy(key).agg(F.min(F.struct(*rest)).alias("_row"))
+    return first.select(key, "_row.*")
 
 
 def cache_split(asked: DataFrame, cache: DataFrame, key: str, value: str, valid: Column) -> DataFrame:

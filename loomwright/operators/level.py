@@ -57,10 +57,13 @@ def grammar_hits(text: Column, where: str, rules: list[Rule] = GRAMMAR, form: T.
 
 def strongest(title_hits: Column, body_hits: Column) -> Column:
     """``struct<level, place, structures>`` of the hits that set the level: any title hit shadows the body's; null without hits."""
-    scoped = F.when(F.size(title_hits) > 0, title_hits).otherwise(body_hits)
-    top = F.array_max(F.transform(scoped, lambda h: h["level"]))
-    names = F.array_sort(F.array_distinct(F.transform(F.filter(scoped, lambda h: h["level"] == top), lambda h: h["structure"])))
-    return F.when(F.size(scoped) > 0, F.struct(top.alias("level"), F.when(F.size(title_hits) > 0, "title").otherwise("body").alias("place"), names.alias("structures")))
+    def pick(title: Column, scoped: Column) -> Column:
+        top = F.array_max(F.transform(scoped, lambda h: h["level"]))
+        names = F.array_sort(F.array_distinct(F.transform(F.filter(scoped, lambda h: h["level"] == top), lambda h: h["structure"])))
+        return F.when(F.size(scoped) > 0, F.struct(top.alias("level"), F.when(F.size(title) > 0, "title").otherwise("body").alias("place"), names.alias("structures")))
+
+    # each list of hits is made once: its patterns read whole texts
+    return T.let(title_hits, lambda title: T.let(F.when(F.size(title) > 0, title).otherwise(body_hits), lambda scoped: pick(title, scoped)))
 
 
 def word_levels(lists: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Proposals from verdicts, and applying approved ones: merges, links, levels, morphology, creations."""
+"""Fates from verdicts, and applying approved merges, links, levels and morphology; creations are in ``proposals``."""
 
 from __future__ import annotations
 

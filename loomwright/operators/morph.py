@@ -10,11 +10,17 @@ from loomwright.operators.level import level_name, level_order
 
 # The prefix inventories; VARIABLE ones carry both stresses and win over the others.
 SEPARABLE = (
-    "ab an auf aus auseinander bei davon dazu durch ein empor entgegen fest fort gegenüber her herab herauf heraus herein herunter herüber hin hinauf hinaus hinein "
-    "hinter hinunter hinüber los mit nach statt teil um unter voll vor voraus vorbei vorher weg weiter wider wieder zu zurecht zurück zusammen über"
-).split()
-INSEPARABLE = "be emp ent er ge miss ver zer".split()
-VARIABLE = "durch hinter um unter voll wider wieder über".split()
+    "ab", "an", "auf", "aus", "auseinander", "bei", "davon", "dazu", "durch", "ein", "empor", "entgegen", "fest", "fort", "gegenüber", "her", "herab",
+    "herauf", "heraus", "herein", "herunter", "herüber", "hin", "hinauf", "hinaus", "hinein", "hinter", "hinunter", "hinüber", "los", "mit", "nach",
+    "statt", "teil", "um", "unter", "voll", "vor", "voraus", "vorbei", "vorher", "weg", "weiter", "wider", "wieder", "zu", "zurecht", "zurück",
+    "zusammen", "über",
+)
+INSEPARABLE = (
+    "be", "emp", "ent", "er", "ge", "miss", "ver", "zer",
+)
+VARIABLE = (
+    "durch", "hinter", "um", "unter", "voll", "wider", "wieder", "über",
+)
 SHORTEST_STEM = 3
 UNTRUSTED = ("drifted", "opaque")
 FAMILY = "same_family"
@@ -28,7 +34,7 @@ def prefixes(spark) -> DataFrame:
 
 def classify(prefix: Column) -> Column:
     p = T.casefold(prefix)
-    return F.when(p.isin(VARIABLE), "variable").when(p.isin(INSEPARABLE), "inseparable").when(p.isin(SEPARABLE), "separable")
+    return F.when(p.isin(list(VARIABLE)), "variable").when(p.isin(list(INSEPARABLE)), "inseparable").when(p.isin(list(SEPARABLE)), "separable")
 
 
 def prefix_candidates(words: DataFrame, table: DataFrame | None = None, shortest: int = SHORTEST_STEM) -> DataFrame:

@@ -251,17 +251,17 @@ def id_decollision(spark, sf_dir):
     return ingest.node_ids(rows, spark.createDataFrame([("the",), ("and",)], "id string"))
 
 
-@query("SELECT doc_id::VARCHAR AS id, doc_id % 3 = 0 AS refused FROM documents WHERE doc_id % 3 = 0 OR source = 'src1'")
+@query("SELECT doc_id::VARCHAR AS id, doc_id IN (SELECT p_partkey FROM part) AS refused FROM documents")
 def promotion(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    accepted, refused = ingest.promote(nodes.where("seq % 3 = 0 or array_contains(themes, 'src1')"), nodes.where("seq % 3 = 0"))
+    taken = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"))
+    accepted, refused = ingest.promote(_nodes(spark, sf_dir), taken)
     return accepted.select("id", F.lit(False).alias("refused")).unionByName(refused.select("id", F.lit(True).alias("refused")))
 
 
-@query("SELECT DISTINCT lower(tag) AS tag FROM (SELECT unnest([source, lang]) AS tag FROM documents WHERE doc_id % 2 = 0) WHERE lower(tag) NOT IN (SELECT lower(source) FROM documents WHERE doc_id < 5)")
+@query("SELECT DISTINCT lower(tag) AS tag FROM (SELECT unnest([source, lang]) AS tag FROM documents) WHERE lower(tag) NOT IN (SELECT lower(lang) FROM documents)")
 def learned_tags(spark, sf_dir):
-    known = table(spark, sf_dir, "documents").where("doc_id < 5").select(F.lower("source").alias("tag")).distinct()
-    return ingest.learned_tags(_nodes(spark, sf_dir).where("seq % 2 = 0"), known)
+    known = table(spark, sf_dir, "documents").select(F.lower("lang").alias("tag")).distinct()
+    return ingest.learned_tags(_nodes(spark, sf_dir), known)
 
 
 @query("SELECT doc_id AS id FROM documents UNION SELECT p_partkey FROM part")

@@ -16,7 +16,7 @@ WORDS = [("the", "A2"), ("the", "A1"), ("der", "A1"), ("on", "B1"), ("que", "B2"
 _B = r"(^|[^\p{L}\p{N}_])"
 _E = r"([^\p{L}\p{N}_]|$)"
 _RULES = [("artikel", 0, f"{_B}der{_E}"), ("ung", 1, f"{_B}ung"), ("verben", 2, f"{_B}ver"), ("prep", 3, rf"{_B}of[\s-]*(the|a){_E}"), ("schw", 4, f"{_B}sch")]
-_NODES = "nodes AS (SELECT doc_id::VARCHAR AS id, substr(text, 1, 40) AS title, text AS body, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'llm:extraction' END AS basis, ['A1','A2','B1','B2','C1','C2'][1 + (doc_id % 6)::INT] AS cefr, list_filter(string_split(lower(substr(text, 1, 30)), ' '), lambda w: w <> '') AS words FROM documents)"
+_NODES = "nodes AS (SELECT doc_id::VARCHAR AS id, string_split(text, chr(10))[1] AS title, text AS body, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'llm:extraction' END AS basis, ['A1','A2','B1','B2','C1','C2'][1 + (doc_id % 6)::INT] AS cefr, list_filter(string_split(lower(text), ' '), lambda w: w <> '') AS words FROM documents)"
 
 
 def _hits(column: str) -> str:
@@ -31,7 +31,7 @@ decided AS (SELECT *, array_to_string(list_sort(list_transform(list_filter(h, la
 _NAMES = "['A1','A2','B1','B2','C1','C2']"
 _LEX = f"""lists AS (SELECT * FROM (VALUES ('the', 0), ('der', 0), ('on', 2), ('que', 3), ('le', 0), ('en', 4)) v(lemma, lv)),
 asked AS (SELECT id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM nodes),
-lex AS (SELECT id, max_by(lemma, lv * 1000 - pos) AS lemma, max(lv) AS lv FROM asked JOIN lists ON lemma = {FOLD.format('w')} GROUP BY id)"""
+lex AS (SELECT id, max_by(lemma, lv * 100000000 - pos) AS lemma, max(lv) AS lv FROM asked JOIN lists ON lemma = {FOLD.format('w')} GROUP BY id)"""
 
 
 def _nodes(spark, sf_dir):
@@ -39,11 +39,11 @@ def _nodes(spark, sf_dir):
     level_of = F.get(F.array(*map(F.lit, ("A1", "A2", "B1", "B2", "C1", "C2"))), F.col("doc_id") % 6)
     return d.select(
         F.col("doc_id").cast("string").alias("id"),
-        F.substring("text", 1, 40).alias("title_de"),
+        F.substring_index("text", "\n", 1).alias("title_de"),
         F.col("text").alias("body_md"),
         F.when(F.col("doc_id") % 3 != 0, "llm:extraction").alias("cefr_basis"),
         level_of.alias("cefr"),
-        F.filter(F.split(F.lower(F.substring("text", 1, 30)), " "), lambda w: w != "").alias("lemmas"),
+        F.filter(F.split(F.lower("text"), " "), lambda w: w != "").alias("lemmas"),
     )
 
 
@@ -89,12 +89,12 @@ def relevel_proposals(spark, sf_dir):
 
 
 _INVENTORY = ", ".join(f"('{p}', '{k}')" for p, k in sorted({**{p: "separable" for p in morph.SEPARABLE}, **{p: "inseparable" for p in morph.INSEPARABLE}, **{p: "variable" for p in morph.VARIABLE}}.items()))
-_TOKENS = r"tokens AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents WHERE lang = 'de'))"
+_TOKENS = r"tokens AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents))"
 _SPLITS = f"inv AS (SELECT * FROM (VALUES {_INVENTORY}) v(prefix, kind)), splits AS (SELECT word, prefix, substr(replace(word, 'ß', 'ss'), length(prefix) + 1) AS stem, kind FROM tokens JOIN inv ON starts_with(replace(word, 'ß', 'ss'), prefix) AND length(replace(word, 'ß', 'ss')) - length(prefix) >= 3)"
 
 
 def _tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'de'")
+    d = table(spark, sf_dir, "documents")
     return d.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).distinct()
 
 
@@ -103,17 +103,12 @@ def prefix_candidates(spark, sf_dir):
     return morph.prefix_candidates(_tokens(spark, sf_dir))
 
 
-_KNOWN = f"known AS (SELECT {FOLD.format('word')} AS stem, min(word) AS node_id FROM tokens WHERE length(word) BETWEEN 3 AND 7 GROUP BY 1)"
-
-
-def _corpus(spark, sf_dir):
-    """Short tokens are roots of families, in reverse order, so that the first word of equals wins as in SQL's minimum."""
-    return _tokens(spark, sf_dir).where("length(word) between 3 and 7")
+_KNOWN = f"known AS (SELECT {FOLD.format('word')} AS stem, min(word) AS node_id FROM tokens GROUP BY 1)"
 
 
 def _stems(spark, sf_dir):
-    words = _corpus(spark, sf_dir)
-    return words.groupBy(T.fold(F.col("word")).alias("stem")).agg(F.min("word").alias("node_id"))
+    """Every token is a known stem; the first word of equals stands for it."""
+    return _tokens(spark, sf_dir).groupBy(T.fold(F.col("word")).alias("stem")).agg(F.min("word").alias("node_id"))
 
 
 @query(f"""WITH {_TOKENS}, {_SPLITS}, {_KNOWN}, best AS (SELECT word, prefix, stem, kind, node_id FROM splits LEFT JOIN known USING (stem) QUALIFY row_number() OVER (PARTITION BY word ORDER BY node_id IS NULL, length(prefix) DESC) = 1)
@@ -126,7 +121,7 @@ def segmentation(spark, sf_dir):
 
 
 _GRID = f"""{_TOKENS}, {_KNOWN}, pre AS (SELECT * FROM (VALUES ('ab', 'separable'), ('an', 'separable'), ('auf', 'separable'), ('be', 'inseparable'), ('um', 'variable'), ('ver', 'inseparable')) v(prefix, kind)),
-roots AS (SELECT stem AS root, CASE WHEN length(stem) % 3 = 0 THEN 'drifted' END AS transparency FROM known WHERE length(stem) BETWEEN 3 AND 5),
+roots AS (SELECT stem AS root, CASE WHEN length(stem) % 3 = 0 THEN 'drifted' END AS transparency FROM known),
 aims AS (SELECT DISTINCT word FROM tokens WHERE length(word) = 9 UNION SELECT 'um' || root FROM roots WHERE root < 'e'),
 attested AS (SELECT {FOLD.format('word')} AS word, min(word) AS node_id FROM tokens GROUP BY 1),
 cells AS (SELECT prefix, root, prefix || root AS word, kind, transparency FROM pre CROSS JOIN roots),
@@ -136,7 +131,7 @@ grid AS (SELECT c.prefix, c.root, c.word, CASE WHEN a.node_id IS NOT NULL THEN '
 def _grid(spark, sf_dir):
     tokens = _tokens(spark, sf_dir)
     axis = spark.createDataFrame([("ab", "separable"), ("an", "separable"), ("auf", "separable"), ("be", "inseparable"), ("um", "variable"), ("ver", "inseparable")], "prefix string, kind string")
-    roots = _stems(spark, sf_dir).where("length(stem) between 3 and 5").select(F.col("stem").alias("root"), F.when(F.length("stem") % 3 == 0, "drifted").alias("transparency"))
+    roots = _stems(spark, sf_dir).select(F.col("stem").alias("root"), F.when(F.length("stem") % 3 == 0, "drifted").alias("transparency"))
     aims = tokens.where("length(word) = 9").select("word").unionByName(roots.where("root < 'e'").select(F.concat(F.lit("um"), "root").alias("word")))
     known = tokens.groupBy(T.fold(F.col("word")).alias("word_")).agg(F.min("word").alias("node_id")).withColumnRenamed("word_", "word")
     cells = morph.grid_cells(axis, roots, known, aims, spark.createDataFrame([], "word string"))
@@ -161,13 +156,13 @@ def dangling_targets(spark, sf_dir):
 
 
 _FAMILIES = f"""{_TOKENS}, {_SPLITS}, {_KNOWN}, best AS (SELECT word, prefix, stem, kind, node_id FROM splits LEFT JOIN known USING (stem) QUALIFY row_number() OVER (PARTITION BY word ORDER BY node_id IS NULL, length(prefix) DESC) = 1),
-good AS (SELECT * FROM best WHERE node_id IS NOT NULL AND kind <> 'variable' AND length(word) <= 10)"""
+good AS (SELECT * FROM best WHERE node_id IS NOT NULL AND kind <> 'variable')"""
 
 
 def _families(spark, sf_dir):
     """Each known stem is a family node whose lemmas are itself and the words that it carries."""
     tokens, roots = _tokens(spark, sf_dir), _stems(spark, sf_dir)
-    carried = morph.segment(tokens.where("length(word) <= 10"), roots).where("status = 'segmented'").select(F.col("stem_node_id").alias("id"), "word")
+    carried = morph.segment(tokens, roots).where("status = 'segmented'").select(F.col("stem_node_id").alias("id"), "word")
     lemmas = carried.groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("lemmas"))
     nodes = roots.select(F.col("node_id").alias("id"), F.col("node_id").alias("root")).join(lemmas, "id", "left")
     no_links = F.array().cast("array<struct<target:string,relation:string,confidence:double>>")

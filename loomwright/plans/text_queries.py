@@ -148,17 +148,17 @@ def _slug_sql(text: str, longest: int, fallback: str) -> str:
     return _SLUG.format(f"trim(substr({dashed}, 1, {longest}), '-')", fallback)
 
 
-_ASCII = f"translate(replace(replace(replace(replace(replace(replace(replace(substr(text, 1, 50), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue'), 'ß', 'ss'), '{T.MARKED}', '{T.BARE}')"
+_ASCII = f"translate(replace(replace(replace(replace(replace(replace(replace(text, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue'), 'ß', 'ss'), '{T.MARKED}', '{T.BARE}')"
 
 
 @query(f"SELECT doc_id, {_slug_sql(_ASCII, 40, 'quelle')} AS slug FROM documents")
 def slug_ids(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.substring("text", 1, 50)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
-@query(f"SELECT doc_id, {_slug_sql('substr(text, 1, 80)', 60, 'konzept')} AS slug FROM documents")
+@query(f"SELECT doc_id, {_slug_sql('text', 60, 'konzept')} AS slug FROM documents")
 def node_slugs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.node_slug(F.substring("text", 1, 80)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.node_slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, 'link-' || p_name_slug || '-' || substr(sha256('link|' || p_name_slug || '|s' || l_suppkey || '|governs'), 1, 8) AS proposal_id FROM (SELECT *, replace(p_name, ' ', '-') AS p_name_slug FROM lineitem JOIN part ON l_partkey = p_partkey)")

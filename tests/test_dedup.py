@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.functions import text as T
 from loomwright.operators import dedup
 
 
@@ -66,3 +67,21 @@ def test_nearest_breaks_ties_by_id(spark):
     got = [(r.other, r.rank) for r in dedup.nearest(df.where("id = 1"), df, k=2).orderBy("rank").collect()]
     assert got == [(2, 1), (4, 2)]
     assert dedup.nearest(df.limit(0), df, k=2).count() == 0
+
+
+def test_unrelated_short_texts_meet_seldom(spark):
+    rng = random.Random(6)
+    for size in (6, 10, 20):
+        texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)) for _ in range(2000)]
+        rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        sets = rows.select(F.col("id").alias("hash"), F.lit(True).alias("focus"), F.transform(T.shingles(F.col("text")), lambda g: F.xxhash64(g)).alias("grams")).withColumn("n", F.size("grams"))
+        met = dedup._signatures(sets, 0.85).groupBy("sig").count().agg(F.max("count")).first()[0]
+        assert met < 20
+
+
+def test_similar_short_texts_are_found(spark):
+    rows = [(k, t) for k, t in enumerate(["abcdef", "abcdeg", "abcde", "a", "ein kurzer satz ohne fehler darin steht", "ein kurzer satz ohne fehler darin stehe", "x" * 9, "x" * 30])]
+    df = spark.createDataFrame(rows, "id long, text string")
+    grams = {i: {t[k : k + 5] for k in range(len(t) - 4)} if len(t) > 5 else {t} for i, t in rows}
+    want = {(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.85 * len(grams[a] | grams[b])}
+    assert {(r.left_id, r.right_id) for r in dedup.near_exact_pairs(df).collect()} == want and want
