@@ -171,14 +171,22 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order_b
     by_unit = units.groupBy("unit").agg(*(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs)))
     by_unit = written(by_unit, "by_unit")
     sizes = {r.o: r["count"] for r in by_unit.groupBy(order.alias("o")).count().collect()}
-    # smoothed by half a unit for each distinct one
-    below = [[sums.get((o, x), 0) + 0.5 * (sizes.get(o, 0) + 1) for x in langs] for o in range(8)]
-    logs = [F.log((F.col(f"n{k}") + 0.5) / reduce(lambda rest, o: F.when(order == o, F.lit(below[o][k])).otherwise(rest), range(8), F.lit(1.0))).cast("float").alias(f"l{k}") for k in range(len(langs))]
+    # shares of an order's units, raised by half of what one unit is in the largest language: a unit
+    # that a language lacks weighs alike in all of them, however much text each was learned from
+    totals = [[max(1, sums.get((o, x), 0)) for x in langs] for o in range(8)]
+    floor = [0.5 / max(row) for row in totals]
+    whole = [1 + f * (sizes.get(o, 0) + 1) for o, f in enumerate(floor)]
+
+    def log_share(k: int) -> Column:
+        by_order = [F.log((F.col(f"n{k}") / totals[o][k] + floor[o]) / whole[o]) for o in range(8)]
+        return reduce(lambda rest, o: F.when(order == o, by_order[o]).otherwise(rest), range(1, 8), by_order[0]).cast("float").alias(f"l{k}")
+
+    logs = [log_share(k) for k in range(len(langs))]
     table = by_unit.select("unit", *logs).toArrow()
     names = table.column("unit").to_numpy().view(_U)
     place = np.argsort(names)
     logs = np.stack([table.column(f"l{k}").to_numpy()[place] for k in range(len(langs))], axis=1)
-    return Model(langs, names[place], np.ascontiguousarray(logs), np.log(0.5 / np.array(below)).astype(np.float32))
+    return Model(langs, names[place], np.ascontiguousarray(logs), np.repeat(np.log(np.array(floor) / whole)[:, None], len(langs), axis=1).astype(np.float32))
 
 
 class _Rows:
