@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import chat, hamming, html_main, lang_id, mixing, neardup, pii, prefix_bpe, recipes, syncmers, token_counts
+from loomwright.llm import chat, hamming, html_main, lang_id, mixing, neardup, pii, prefix_bpe, recipes, sharding, syncmers, token_counts, vector_codes
 from loomwright.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,48 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     codes = vectors.select("vec_id", hamming.sign_code(F.col("embedding")).alias("code"))
     return hamming.top_k(codes, codes.where("vec_id % 50 = 0"), k=10)
+
+
+@query("op11_balanced_label_shards")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of equal counts, equal texts together where a shard can hold them."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", "text", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = sharding.balanced_shards(docs, sharding.text_key(F.col("text")), keep=("doc_id", "size", "text_crc32"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _codes_oracle() -> str:
+    """Training and coding in SQL: every part against every entry, in integers."""
+    def coded(k: int) -> str:
+        return f"""near{k} AS MATERIALIZED (
+          SELECT row, part, min(apart * 64 + entry) % 64 AS entry, min(apart * 64 + entry) // 64 AS apart, any_value(v) AS v FROM (
+            SELECT row, p.part, entry, p.v, list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i])))::BIGINT AS apart
+            FROM parts p JOIN book{k} b ON p.part = b.part) x GROUP BY row, part)"""
+
+    def book(k: int) -> str:
+        return f"""mean{k} AS (
+          SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
+            SELECT part, entry, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM near{k - 1}, range(1, 17) r(i) WHERE i <= len(v) GROUP BY part, entry, i) x GROUP BY part, entry),
+        book{k} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{k - 1} b LEFT JOIN mean{k} m ON b.part = m.part AND b.entry = m.entry)"""
+
+    return f"""
+    WITH kept AS MATERIALIZED (
+      SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS MATERIALIZED (SELECT row, part, v[part * len(v) // 16 + 1 : (part + 1) * len(v) // 16] AS v FROM kept, range(16) r(part)),
+    seeds AS (SELECT row, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 64),
+    book0 AS MATERIALIZED (SELECT part, entry, v FROM parts JOIN seeds USING (row)),
+    {coded(0)}, {book(1)}, {coded(1)}, {book(2)}, {coded(2)},
+    sha AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS s FROM book2),
+    codes AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(apart)::BIGINT AS error FROM near2 GROUP BY row)
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, s AS codebooks_sha256 FROM codes JOIN kept USING (row), sha
+    """
+
+
+@query("op12_screened_product_codes", _codes_oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors, by codebooks of 64 entries a part trained in two rounds."""
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
