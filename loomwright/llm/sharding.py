@@ -19,14 +19,14 @@ first, then rows within a bucket. Texts are read once; what moves are digests an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.llm.shared import written
 
 SHARDS, ROUNDS = 24, 12
-#: Rows of a bucket of a running sum, about.
-BUCKET = 2048
 FIRST, BEFORE = Window.unboundedPreceding, -1
 
 
@@ -48,14 +48,15 @@ def earlier(rows: DataFrame, keys: list[str], bucket: Column, order: list[str],
 
 
 def _bucket(key: str, rows: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(max(1, rows // BUCKET)))
+    """Both levels of a running sum grow as the square root of the rows: buckets, and rows in one."""
+    return F.pmod(F.xxhash64(key), F.lit(max(1, 4 * math.isqrt(rows))))
 
 
 def _wishes(cells: DataFrame, spare: DataFrame, cap: int, turn: int) -> DataFrame:
     """``hub, shard, to, n, near``: rows of a group that ask to move, and its rows at the target."""
     cells = cells.join(F.broadcast(spare), "shard")
     own = Window.partitionBy("hub")
-    most = own.orderBy(F.desc("n"), F.col("spare") == 0, F.xxhash64("hub", "shard"))
+    most = own.orderBy(F.desc("n"), F.col("spare") == 0, F.xxhash64("hub", "shard", F.lit(turn)))
     cells = cells.withColumns({"total": F.sum("n").over(own), "r": F.row_number().over(most)})
     # the least number of its largest shards that could hold all of it
     held = F.coalesce(F.sum(F.col("n") + F.col("spare")).over(most.rowsBetween(FIRST, BEFORE)), F.lit(0))
