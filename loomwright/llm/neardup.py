@@ -178,6 +178,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if not _repeats(docs, "doc_id"):
+        return _classes(docs, width, percent)
+    # an id with several rows names no text: rows are numbered, and classes named by their least id
+    docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    row = F.when(F.col("doc_id").isNotNull(), F.col("row"))
+    found = written(_classes(docs.select(row.alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("row"), "n_shingles", "component_id"), "rows")
+    own = written(found.where("row is not null").join(docs.select("row", "doc_id"), "row"), "named")
+    least = own.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    # a row without an id takes the class of its copies
+    every = own.unionByName(found.where("row is null").withColumn("doc_id", F.lit(None).cast("long")))
+    out = spread_join(every, least.drop("size"), ["component_id"], least.select("component_id", "size"), "row", "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def _repeats(docs: DataFrame, id_col: str) -> bool:
+    return not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+
+
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """:func:`near_duplicates` of documents with unique or null ids."""
     texts = docs.where("text is not null and doc_id is not null")
     cut = most_differing_bits(percent / 100, SAMPLES)
     keys = ["n", "k1", "k2"]

@@ -69,6 +69,14 @@ def test_odd_rows(spark):
     assert sorted(repr((r.doc_id, r["count"])) for r in kept) == sorted(map(repr, [(1, "own"), (2, "own"), (None, "own"), (None, "own")]))
 
 
+def test_rows_of_one_id_follow_their_own_texts(spark):
+    a, b = ("one two three four five six seven eight nine ten " * 3).split(), ("eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty " * 3).split()
+    near = lambda words: " ".join([*words, "more"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, "something else of its own here"), (None, " ".join(b)), (None, "alone with no id at all here")]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (None, 1, False), (None, None, True)], key=str)
+
+
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
     rng = random.Random(3)
