@@ -356,17 +356,19 @@ def count_kind(spans: Column, kind: str) -> Column:
 
 
 def mask(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first counts.
+    """The text with each span replaced by its kind in brackets.
 
-    A null text stays null; a text without spans stays as it is.
+    Where spans overlap, the first one's mark stands for its whole span and the next one's for
+    what it holds beyond that, so nothing of any span stays; a span within another leaves no
+    mark. A null text stays null; a text without spans stays as it is.
     """
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
+        gap = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
         put = F.struct(x["end"].alias("at"), F.concat(acc["parts"], F.array(gap, F.get(names, x["kind"]))).alias("parts"))
-        return F.when(x["start"] >= acc["at"], put).otherwise(acc)
+        return F.when(x["end"] > acc["at"], put).otherwise(acc)
 
     def finish(acc: Column) -> Column:
         return F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))

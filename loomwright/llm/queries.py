@@ -123,7 +123,7 @@ def _mix_oracle() -> str:
     gains AS (SELECT s, l, t, w / n * sum(n) OVER () / sum(w) OVER () AS gain FROM fit WHERE k = 60)
     SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, round(coalesce(gain, 0), 6) AS gain, round(coalesce(p, 0), 6) AS probability,
       ('0x' || substr(md5(doc_id || ':7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < coalesce(p, 0) AS selected
-    FROM (SELECT *, least(1.0::DOUBLE, gain / least(4.0::DOUBLE, (SELECT max(gain) FROM gains))) AS p
+    FROM (SELECT *, gain / (SELECT max(gain) FROM gains) AS p
           FROM keyed LEFT JOIN gains ON keyed.s = gains.s AND keyed.l = gains.l AND keyed.t = gains.t AND n_tokens > 0)
     """
 

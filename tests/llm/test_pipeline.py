@@ -9,6 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from loomwright.llm import mixing, recipes
 from loomwright.llm.prefix_bpe import read_ranks
 from loomwright.llm.shared import written
 
@@ -35,7 +36,14 @@ def test_stages(spark, sf_dir):
     assert not any("@mail" in r.text for r in after.values()) and any("[EMAIL]" in r.text for r in after.values())
     assert all(after[i].text == t for i, t in before.items() if "@" not in t and not any(c.isdigit() for c in t))
     texts = {r.doc_id: r.text for r in mixed.collect()}
-    assert set(texts) <= ids and len(texts) > 0.2 * len(ids)
+    assert set(texts) <= ids
+    # each document is drawn by itself: the number lies within four deviations of what the chances add up to
+    chances = mixing.mix(masked.select(*cp.COLUMNS), recipes.TARGETS, recipes.topic(F.col("text"), F.col("mix_tokens"), masked=True), mixing.n_tokens(F.col("text"))).toPandas()
+    p = chances.mix_probability
+    assert abs(len(texts) - p.sum()) <= 4 * (p * (1 - p)).sum() ** 0.5 and p.max() == 1.0
+    wanted = {k: v / sum(v for n, v in recipes.TARGETS["lang"].items() if n in set(chances.lang)) for k, v in recipes.TARGETS["lang"].items()}
+    share = (chances.mix_tokens * p).groupby(chances.lang).sum() / (chances.mix_tokens * p).sum()
+    assert all(abs(share[k] - wanted[k]) < 1e-3 for k in share.index)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
     got = {r.doc_id: r for r in coded.collect()}
     assert set(got) == set(texts)
