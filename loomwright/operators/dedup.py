@@ -7,11 +7,13 @@ A pair is reported by the first tier that finds it. All inputs are ``(id, text)`
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.functions.folders import written
 
 NEAR_EXACT, GRAY_LOW, GRAY_HIGH, NEIGHBOURS = 0.85, 0.87, 0.95, 10
 PAIR = ["left_id", "right_id"]
@@ -59,7 +61,7 @@ def shingle_sizes(rows: DataFrame, size: int = T.SHINGLE, form: T.Form = T.plain
     return rows.select("id", F.size(T.shingles(F.col("text"), size, form)).cast("long").alias("n_shingles"))
 
 
-def _signatures(sets: DataFrame, threshold: float) -> DataFrame:
+def signatures(sets: DataFrame, threshold: float) -> DataFrame:
     """``hash, n, focus, sig, own, need``: two sets of that similarity share ``need`` signatures, whatever they hold.
 
     Such sets differ in at most ``d = (1 - t) / (1 + t) * (|A| + |B|)`` grams. Their grams are
@@ -99,25 +101,38 @@ def _signatures(sets: DataFrame, threshold: float) -> DataFrame:
     return whole.select("hash", "n", "focus", "own", need.alias("need"), F.explode(sent).alias("sig")).unionByName(short)
 
 
+def matching_signatures(sig: DataFrame, threshold: float) -> DataFrame:
+    """``ha, hb`` of sets that share as many of ``signatures`` as any pair of that similarity does, the first of them in focus."""
+    a, b = sig.where("focus").alias("a"), sig.alias("b")
+    once = (F.col("a.hash") < F.col("b.hash")) | ~F.col("b.focus")
+    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & once & T.could_reach(F.col("a.n"), F.col("b.n"), threshold) & (F.col("a.own") | F.col("b.own")))
+    met = met.groupBy(F.col("a.hash").alias("ha"), F.col("b.hash").alias("hb")).agg(F.count("*").alias("shared"), F.max(F.greatest("a.need", "b.need")).alias("need"))
+    return met.where("shared >= need").select("ha", "hb")
+
+
+def similar_sets(met: DataFrame, sets: DataFrame, grams: Callable[[Column], Column], threshold: float) -> DataFrame:
+    """``ha, hb, a, b, similarity`` of the pairs ``met`` that are as similar; ``sets(hash, set)`` has what ``grams`` compares."""
+    named = lambda h, s: sets.select(F.col("hash").alias(h), F.col("set").alias(s))
+    both = met.join(named("ha", "a"), "ha").join(named("hb", "b"), "hb")
+    links = both.select("ha", "hb", "a", "b", T.once(T.jaccard(grams(F.col("a")), grams(F.col("b")))).alias("similarity"))
+    return links.where(F.col("similarity") >= threshold)
+
+
 def near_exact_pairs(rows: DataFrame, threshold: float = NEAR_EXACT, size: int = T.SHINGLE, form: T.Form = T.plain, drop_exact: bool = True) -> DataFrame:
     """``left_id, right_id, similarity``: exact Jaccard at or over ``threshold``, less exact pairs.
 
     Equal texts fold into one first, so copies meet once. Candidates share a signature (see
-    :func:`_signatures`; none is missed) and sizes that allow the similarity; they are then
-    compared as whole sets of strings. A text without shingles is in no pair.
+    :func:`signatures`; none is missed) and sizes that allow the similarity; they are then
+    compared as whole sets of grams, by 64-bit hashes, so no text travels with a pair. Sets and
+    signatures are made once and written. A text without shingles is in no pair.
     """
     rows = with_focus(rows)
     keyed = rows.select("id", "focus", T.normalize_for_hash(F.col("text"), form).alias("norm")).withColumn("hash", F.unhex(T.content_hash(F.col("norm"))))
     texts = keyed.where("norm <> ''").groupBy("hash").agg(F.first("norm").alias("norm"), F.max("focus").alias("focus"))
-    # hashes of grams pick the candidates only
     sets = texts.select("hash", "focus", T.once(F.transform(T.shingles(F.col("norm"), size), lambda g: F.xxhash64(g))).alias("grams")).withColumn("n", F.size("grams"))
-    sig = _signatures(sets, threshold)
-    a, b = sig.alias("a"), sig.alias("b")
-    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.hash") < F.col("b.hash")) & T.could_reach(F.col("a.n"), F.col("b.n"), threshold) & (F.col("a.focus") | F.col("b.focus")) & (F.col("a.own") | F.col("b.own")))
-    met = met.groupBy(F.col("a.hash").alias("ha"), F.col("b.hash").alias("hb")).agg(F.count("*").alias("shared"), F.max(F.greatest("a.need", "b.need")).alias("need")).where("shared >= need").select("ha", "hb")
-    met = met.join(texts.select(F.col("hash").alias("ha"), F.col("norm").alias("na")), "ha").join(texts.select(F.col("hash").alias("hb"), F.col("norm").alias("nb")), "hb")
-    similarity = T.let(T.shingles(F.col("na"), size), lambda a: T.let(T.shingles(F.col("nb"), size), lambda b: T.jaccard(a, b)))
-    links = met.select("ha", "hb", T.once(similarity).alias("similarity")).where(F.col("similarity") >= threshold)
+    sets = written(sets, "sets")
+    met = matching_signatures(written(signatures(sets, threshold), "signatures"), threshold)
+    links = similar_sets(met, sets.select("hash", F.col("grams").alias("set")), lambda s: s, threshold).select("ha", "hb", "similarity")
     # texts equal as sets but not as strings are near-exact too; equal strings only if asked for
     members = keyed.select("hash", "id", "focus")
     left = members.select(F.col("hash").alias("ha"), F.col("id").alias("ia"), F.col("focus").alias("fa"))

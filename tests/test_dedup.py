@@ -75,7 +75,7 @@ def test_unrelated_short_texts_meet_seldom(spark):
         texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)) for _ in range(2000)]
         rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
         sets = rows.select(F.col("id").alias("hash"), F.lit(True).alias("focus"), F.transform(T.shingles(F.col("text")), lambda g: F.xxhash64(g)).alias("grams")).withColumn("n", F.size("grams"))
-        met = dedup._signatures(sets, 0.85).groupBy("sig").count().agg(F.max("count")).first()[0]
+        met = dedup.signatures(sets, 0.85).groupBy("sig").count().agg(F.max("count")).first()[0]
         assert met < 20
 
 
