@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 from loomwright.functions.folders import written
+from loomwright.operators.pivots import PivotIndex
 
 NEAR_EXACT, GRAY_LOW, GRAY_HIGH, NEIGHBOURS = 0.85, 0.87, 0.95, 10
 PAIR = ["left_id", "right_id"]
@@ -151,47 +152,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest(focus: DataFrame, index: DataFrame, k: int = NEIGHBOURS, digits: int = 6) -> DataFrame:
-    """``id, other, similarity, rank``: k nearest vectors of each focus row, itself left out.
-
-    Exact, by a stated query set against all rows in blocks: rows go through numpy in Arrow
-    batches against one block of queries at a time, and only k rows a query leave a batch.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
-    blocks = max(1, -(-focus.count() // 2048))
-    keyed = focus.select(F.col("id").alias("fid"), F.col("vector").cast("array<double>").alias("fv"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    # one row a block: its ids and vectors side by side
-    packed = keyed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("fid", "fv"))).alias("queries"))
-    parts = max(1, -(-index.count() // 4096))
-    rows = index.select("id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def run(_key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        ids, vectors = left["id"].to_numpy(), np.array(left["vector"].to_pylist())
-        queries = right["queries"][0].as_py()
-        scores = np.array([q["fv"] for q in queries]) @ vectors.T
-        out = []
-        for q, row in zip(queries, scores, strict=True):
-            row = np.round(row, digits)
-            best = np.lexsort((ids, -row))[: k + 1]
-            out += [(q["fid"], int(ids[j]), float(row[j])) for j in best if ids[j] != q["fid"]]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
-
-    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = rows.groupBy("part", "block").cogroup(packed.groupBy("part", "block")).applyInArrow(run, "id long, other long, similarity double")
-    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+def nearest(focus: DataFrame, index: DataFrame, k: int = NEIGHBOURS, digits: int = 6, least: float | None = None) -> DataFrame:
+    """``id, other, similarity, rank``: k nearest vectors of each focus row, itself left out. Exact; see :mod:`loomwright.operators.pivots`."""
+    return PivotIndex(index).nearest(focus, k, digits, least)
 
 
 def semantic_pairs(focus: DataFrame, index: DataFrame, seen: DataFrame | None = None, low: float = GRAY_LOW, k: int = NEIGHBOURS) -> DataFrame:
     """Pairs among the k nearest at or over ``low``; pairs of earlier tiers use up places but are dropped."""
-    near = nearest(focus, index, k)
-    pairs = near.where(F.col("similarity") >= low).select(*ordered_pair(F.col("id"), F.col("other")), "similarity").groupBy(*PAIR).agg(F.max("similarity").alias("similarity"))
+    near = nearest(focus, index, k, least=low)
+    pairs = near.select(*ordered_pair(F.col("id"), F.col("other")), "similarity").groupBy(*PAIR).agg(F.max("similarity").alias("similarity"))
     return pairs.join(seen.select(*PAIR), PAIR, "left_anti") if seen is not None else pairs
 
 
