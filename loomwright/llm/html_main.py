@@ -32,6 +32,8 @@ PRIOR_WORDS, PRIOR_SHARE = 50, 0.02
 LOWEST, LOWEST_INLINE = -8.0, -0.8
 #: Part of its score that an element of negative words weighs as one token.
 UNIT = 0.25
+#: A block is one of links if they hold this share of its words.
+LINKS = 0.8
 
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'=<>`]+))?")
@@ -82,6 +84,7 @@ class Element:
     gone: bool = False
     prose: bool = False
     words: int = 0
+    links: int = 0
     labelled: int = 0
 
 
@@ -90,18 +93,29 @@ class Weights:
     """Score of a word, of an unknown tag, of each tag, and what elements of a feature add to their words."""
 
     word: float = 1.0
-    other: float = -0.25
+    other: float = -0.2
     tags: dict[str, float] = field(default_factory=dict)
     elements: dict[str, float] = field(default_factory=lambda: {f: _weight(0, 0, p) for f, p in PRIOR.items()})
 
-    def of(self, e: Element) -> float:
-        """What an element adds: by its classes, ids and roles where training knows one, else by its tag."""
+    def tag(self, name: str, linked: bool) -> float:
+        """What a tag costs where it stands; in a block of links an unknown one costs what it does anywhere."""
+        if (known := self.tags.get(placed(name, linked))) is not None:
+            return known
+        return self.tags.get(name, self.other) if linked else self.other
+
+    def of(self, e: Element, linked: bool) -> float:
+        """What an element adds: by its classes, ids and roles where training knows one, else by its tag; a link among sentences adds nothing by that."""
         tag, *named = e.features or ("",)
         known = [self.elements[f] for f in named if f in self.elements]
-        low = min(known) if known else self.elements.get(tag, 0.0)
+        low = min(known) if known else self.elements.get(tag, 0.0) if linked or e.name not in INLINE else 0.0
         return max(low, LOWEST_INLINE) if e.name in INLINE else low
 
 
+def placed(name: str, linked: bool) -> str:
+    """A tag together with where it stands: a list of links is not a list of sentences."""
+    return name + ("~links" if linked else "~text")
+
+
 def _weight(inside: float, outside: float, share: float) -> float:
     p = (inside + PRIOR_WORDS * share) / (inside + outside + PRIOR_WORDS)
     return max(LOWEST, min(0.0, math.log(p / (1 - p)))) if p < 1 else 0.0
@@ -235,6 +249,25 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], list[Element]]:
     return items, elements
 
 
+def measure(items: list[tuple[str, str, int]], elements: list[Element]) -> tuple[list[int], list[bool]]:
+    """Words of each text item (they are also summed up the tree), and whether the block around an element holds mostly links.
+
+    Paragraphs and headings are never blocks of links.
+    """
+    sizes = [len(value.split()) if kind == "text" else 0 for kind, value, _ in items]
+    for n, (_, _, k) in zip(sizes, items, strict=True):
+        elements[k].words += n
+    for e in reversed(elements[1:]):
+        if e.name == "a":
+            e.links = e.words
+        elements[e.parent].words += e.words
+        elements[e.parent].links += e.links
+    linked = [False] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        linked[k] = linked[e.parent] if e.name in INLINE else e.name not in PROSE and e.words > 0 and e.links >= LINKS * e.words
+    return sizes, linked
+
+
 def _features(name: str, names: set[str], roles: set[str], within: bool) -> tuple[str, ...]:
     """The tag, then what class, id and role say; nothing of elements that frame a page."""
     if name in ("html", "body", "main") or (name == "article" and not names & ONE_COMMENT):
@@ -258,15 +291,13 @@ def page_counts(page: str) -> Counter | None:
     for k, e in enumerate(elements[1:], 1):
         inside[k] = e.mark == top or inside[e.parent]
     seen: Counter = Counter()
-    for kind, value, k in items:
-        if kind == "text":
-            n = len(value.split())
-            elements[k].words += n
-            elements[k].labelled += n * inside[k]
-        elif kind == "tag":
+    sizes, linked = measure(items, elements)
+    for n, (kind, value, k) in zip(sizes, items, strict=True):
+        elements[k].labelled += n * inside[k]
+        if kind == "tag":
             seen["tag " + value, inside[k]] += 1
+            seen["tag " + placed(value, linked[k]), inside[k]] += 1
     for e in reversed(elements[1:]):
-        elements[e.parent].words += e.words
         elements[e.parent].labelled += e.labelled
     seldom = [False] * len(elements)
     for k, e in enumerate(elements[1:], 1):
@@ -316,22 +347,31 @@ def learn(pages: DataFrame, html_col: str = "html", max_pages: int = TRAIN_PAGES
 
 
 def main_text(page: str | None, weights: Weights) -> str:
-    """The main text of one page; empty if it has none."""
+    """The main text of one page; empty if it has none.
+
+    If nothing but elements that weigh negative holds paragraphs, one of them frames the page:
+    then those that hold most of its words, and paragraphs, don't weigh, whatever their names.
+    """
     if not page:
         return ""
     items, elements = parse(page)
-    sizes = [len(value.split()) if kind == "text" else 0 for kind, value, _ in items]
-    for n, (_, _, k) in zip(sizes, items, strict=True):
-        elements[k].words += n
-    for e in reversed(elements[1:]):
-        elements[e.parent].words += e.words
-    # an element that holds most of a page's words frames it, whatever its name, if it is no menu
-    half = elements[0].words / 2
-    frames = [e.words > half and (e.prose or not any(f in PRIOR for f in e.features)) for e in elements]
-    score, unit = [weights.word] * len(elements), [0] * len(elements)
+    sizes, linked = measure(items, elements)
+    text, prose = _best_run(items, elements, sizes, linked, weights, [False] * len(elements))
+    if not prose:
+        half = elements[0].words / 2
+        frames = [e.words > half and (e.prose or not any(f in PRIOR for f in e.features)) for e in elements]
+        framed, prose = _best_run(items, elements, sizes, linked, weights, frames)
+        text = framed if prose or not text else text
+    return text
+
+
+def _best_run(items: list[tuple[str, str, int]], elements: list[Element], sizes: list[int], linked: list[bool], weights: Weights, frames: list[bool]) -> tuple[str, bool]:
+    """Text of the run with the greatest sum, and whether any of it stands in a paragraph or heading."""
+    score, unit, prose = [weights.word] * len(elements), [0] * len(elements), [False] * len(elements)
     for k, e in enumerate(elements[1:], 1):
-        score[k] = max(LOWEST, score[e.parent] + (0.0 if frames[k] else weights.of(e)))
+        score[k] = max(LOWEST, score[e.parent] + (0.0 if frames[k] else weights.of(e, linked[k])))
         unit[k] = unit[e.parent] or (k if score[k] <= 0.0 else 0)
+        prose[k] = prose[e.parent] or e.name in PROSE
     best, best_at, total, begin, last = 0.0, (0, 0), 0.0, 0, 0
     for x, (kind, value, k) in enumerate(items):
         if unit[k]:
@@ -342,16 +382,17 @@ def main_text(page: str | None, weights: Weights) -> str:
         elif kind == "text":
             total += sizes[x] * score[k]
         elif kind == "tag":
-            total += weights.tags.get(value, weights.other)
+            total += weights.tag(value, linked[k])
         else:
             continue
         if total <= 0.0:
             total, begin = 0.0, x + 1
         elif total > best:
             best, best_at = total, (begin, x + 1)
-    kept = [" " if kind == "block" else value if kind == "text" and not unit[k] else "" for kind, value, k in items[slice(*best_at)]]
+    run = items[slice(*best_at)]
+    kept = [" " if kind == "block" else value if kind == "text" and not unit[k] else "" for kind, value, k in run]
     # a reference is decoded after blocks are told apart, so what it stands for is never markup
-    return " ".join(entities.unescape("".join(kept)).split())
+    return " ".join(entities.unescape("".join(kept)).split()), any(kind == "text" and prose[k] and not unit[k] and value.strip() for kind, value, k in run)
 
 
 def extract(pages: DataFrame, weights: Weights, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), text_out: str = "text") -> DataFrame:

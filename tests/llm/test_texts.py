@@ -394,6 +394,53 @@ def test_attributes_of_any_length():
     assert html_main.main_text("<p class='x>one two</p><p>three</p>", weights) == "one two three"
 
 
+WORDS = [f"w{k}" for k in range(400)]
+
+
+@pytest.fixture(scope="module")
+def learned():
+    """Weights of the pages of the tables, as far as tests have them."""
+    from collections import Counter
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from tests.conftest import DATA
+
+    seen = Counter()
+    for r in pq.read_table(Path(DATA).parent / "sf0.01" / "pages.parquet").to_pylist():
+        seen.update(html_main.page_counts(r["html"]))
+    return html_main.weigh(dict(seen))
+
+
+@pytest.mark.parametrize("more", [
+    '<aside class="sidebar"><h2>More</h2>{p}</aside>', "<footer>{p}</footer>", '<div class="cookie-notice">{p}</div>', '<section id="comments">{p}</section>', '<div class="newsletter">{p}<form><input></form></div>',
+])
+@pytest.mark.parametrize("first", [True, False])
+def test_boilerplate_longer_than_the_article(learned, more, first):
+    article = "<article><h1>A title</h1><p>" + " ".join(WORDS[:50]) + "</p></article>"
+    other = more.replace("{p}", "".join(f"<p>{' '.join(WORDS[k : k + 40])}</p>" for k in range(100, 300, 40)))
+    page = f"<html><body>{other + article if first else article + other}</body></html>"
+    for weights in (learned, html_main.Weights()):
+        assert html_main.main_text(page, weights) == "A title " + " ".join(WORDS[:50])
+
+
+@pytest.mark.parametrize("item", ["<ul>{}</ul>|<li>{}</li>", "<ol>{}</ol>|<li>{} and more words</li>", "{}|<p><a href='/x'>{}</a></p>", "{}|<p>See <a href='/x'>{}</a> there.</p>", "<table>{}</table>|<tr><td>{}</td><td>v</td></tr>", "{}|<h2>{}</h2><p>Text.</p>"])
+def test_articles_of_lists_and_links(learned, item):
+    outer, one = item.split("|")
+    rows = [one.format(w) for w in WORDS[:12]]
+    page = f"<html><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><article>{outer.format(''.join(rows))}</article><footer>Foot words</footer></body></html>"
+    want = " ".join(" ".join(re.sub("<[^>]*>", " ", r).split()) for r in rows)
+    want = want.replace(" there .", " there.")
+    for weights in (learned, html_main.Weights()):
+        assert html_main.main_text(page, weights) == want
+
+
+def test_a_frame_of_any_name(learned):
+    page = f"<html><body><div class='sidebar-layout banner'><nav><a href=/>Home</a></nav><div><h1>A title</h1><p>{' '.join(WORDS[:60])}</p></div><footer>Foot words</footer></div></body></html>"
+    assert html_main.main_text(page, learned) == "A title " + " ".join(WORDS[:60])
+
+
 def article_of(page):
     import html
 
