@@ -38,13 +38,12 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
     if bits > 64:
         raise ValueError("a code has 64 bits at most")
 
-    def bit(i: int) -> Column:
-        x = F.get(vector, F.lit(i))
-        return F.when(F.coalesce((x > 0) & ~F.isnan(x), F.lit(False)), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    def set_bit(code: Column, i: Column) -> Column:
+        x = F.get(vector, i)
+        return F.when(F.coalesce((x > 0) & ~F.isnan(x), F.lit(False)), code.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(code)
 
-    code = bit(0)
-    for i in range(1, bits):
-        code = code.bitwiseOR(bit(i))
+    # a fold, as one expression for each bit is more than generated code can hold
+    code = F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), set_bit)
     wide = F.raise_error(F.concat(F.lit(f"a code has {bits} bits, the vector has more elements: "), F.size(vector).cast("string")))
     return F.when(F.size(vector) > bits, wide).when(vector.isNotNull(), code)
 
