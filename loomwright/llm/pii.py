@@ -7,7 +7,9 @@ randomness of the characters, trigger words before it, gazetteers of prefixes, c
 domains, and contexts that speak against it. Expectation-maximisation over the vote patterns
 (a table of bounded size: 3**5) estimates how reliable each labeler is; its posteriors are the
 soft labels of the final span classifier, a naive Bayes model. The classifier does not see the
-votes: it looks at the span's kind and shape, at the words before it and the marks between.
+votes: it looks at the span's kind and shape, at the words before it (any words, also those
+that no labeler knows) and the marks between. So what stands with spans that the labelers agree
+on, on either side, decides about spans on which they are silent.
 Candidates that it accepts are added; base finds stay.
 """
 
@@ -26,8 +28,8 @@ LABELERS = 5
 THRESHOLD, ROUNDS = 0.9, 25
 #: Votes that a labeler's first reliability counts as, and spans that a feature's first odds count as.
 VOTES, SPANS = 20.0, 20.0
-#: Words before a span that the classifier looks at.
-BEFORE = 3
+#: Words before a span that the classifier looks at, and what those outside of all lists are hashed into.
+BEFORE, WORD_BUCKETS = 3, 1024
 
 # A match starts where its first run of characters starts, or where the last match ended:
 # starting later in the run can't match where that start doesn't. So scans stay linear.
@@ -209,7 +211,7 @@ def _shape(span: Column) -> Column:
 
 
 def features(span: Column) -> Column:
-    """Features of a span for the classifier, as names: kind, shape, marks around it, known words before it.
+    """Features of a span for the classifier, as names: kind, shape, marks around it, the words before it.
 
     None of them is a vote. Each has a bounded number of values, so the model is of bounded size.
     """
@@ -217,12 +219,15 @@ def features(span: Column) -> Column:
     known = F.array(*map(F.lit, sorted({*AGAINST, *(w for words in TRIGGERS.values() for w in words)})))
     # a cut word at the window's start is no word
     words = F.regexp_extract_all(F.lower(span["left"]), F.lit(r"(?<![\p{L}\p{N}])\p{L}+(?!\p{L})"), F.lit(0))
-    before = F.array_intersect(F.slice(F.reverse(words), 1, BEFORE), known)
+    last = F.slice(F.reverse(words), 1, BEFORE)
+    before, others = F.array_intersect(last, known), F.array_except(last, known)
     gap = F.regexp_replace(F.regexp_replace(F.regexp_extract(span["left"], r"[^\p{L}\p{N}]*$", 0), r"\s+", " "), r"[^ -~]", "x")
     behind = F.when(span["right"] == "", "end").when(span["right"].rlike(r"[\p{L}\p{N}]"), "word").when(span["right"].rlike(r"\s"), "space").when(span["right"].rlike("[!-~]"), span["right"]).otherwise("other")
     return F.concat(
         F.array(F.concat(F.lit("kind:"), kind), _shape(span), F.concat_ws(":", F.lit("gap"), kind, F.right(gap, F.lit(2))), F.concat_ws(":", F.lit("behind"), kind, behind)),
         F.transform(before, lambda w: F.concat_ws(":", F.lit("word"), kind, w)),
+        # words outside of all lists, by hash: what they tell is learned
+        F.array_distinct(F.transform(others, lambda w: F.concat(F.lit("word:"), kind, F.lit(":#"), F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("string")))),
     )
 
 

@@ -199,6 +199,33 @@ def test_planted_spans_and_decoys(spark, sf_dir):
     assert found / (found + missed) >= 0.95 and found / (found + wrong) >= 0.95, n
 
 
+def test_words_outside_all_lists_are_learned(spark):
+    """What training adds: words that no list has tell true spans from others, on both sides."""
+    rng = random.Random(21)
+    chars = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    key = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    hexes = lambda: f"{rng.getrandbits(160):040x}"
+    slug = lambda: "-".join("".join(rng.choice("aeiourstlnm") for _ in range(rng.randint(4, 9))) for _ in range(5))
+    true_words, false_words = ("kennwort", "zugang", "clave", "losung"), ("artikelnummer", "teil", "muster", "ablage")
+    # what the labelers agree on stands with those words; none of the words is in a list
+    listed = {*pii.AGAINST, *(w for words in pii.TRIGGERS.values() for w in words)}
+    assert not listed & {*true_words, *false_words}
+    rows = [(k, f"text {rng.choice(true_words)} {hexes()} ende" if k % 2 else f"text {rng.choice(false_words)} {slug()} ende") for k in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    trained, untrained = pii.train(pii.scan(table)), pii.train(pii.scan(table.limit(0)))
+    # held out: spans of 24 mixed characters, about which the labelers say little
+    asked = [(k, f"text {rng.choice(true_words if k % 2 else false_words)} {key(24)} ende") for k in range(400)]
+    asked += [(1000, f"text token artikelnummer {key(24)} ende"), (1001, f"text token kennwort {key(24)} ende")]
+    docs = spark.createDataFrame(asked, "doc_id long, text string")
+    hits = lambda model: {r.doc_id for r in pii.find(docs, classifier=model).where(F.size("pii_spans") > 0).select("doc_id").collect()}
+    got, before = hits(trained), hits(untrained)
+    right = {k for k, _ in asked[:400] if k % 2}
+    assert len(got & right) >= 0.95 * len(right) and len(got & right) >= 0.95 * len(got - {1000, 1001})
+    assert not before & right and 1001 in got
+    # the untrained model goes by the listed word alone; trained, the other one weighs against it
+    assert 1000 in before and 1000 not in got
+
+
 def test_prefix_sums(spark):
     df = spark.range(1).select(F.sequence(F.lit(1), F.lit(1000)).alias("s"))
     got = df.select(pii.prefix_sums(F.col("s"))).first()[0]
