@@ -37,8 +37,9 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
     def over(g: Column) -> Column:
         def least(x: Column, rest: list[Column]) -> Column:
-            # most s-mers fail within a few comparisons; outside the text they compare with null and fail too
-            return reduce(lambda a, b: a & b, [x <= y for y in rest])
+            # most s-mers fail within a few comparisons, and nested to the right no more are looked at;
+            # outside the text they compare with null and fail too
+            return reduce(lambda later, y: (x <= y) & later, reversed(rest[:-1]), x <= rest[-1])
 
         def at(x: Column, i: Column) -> Column:
             first = least(x, [F.get(g, i + j) for j in range(1, last + 1)])
@@ -81,7 +82,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_text(print_: Column) -> Column:
     """Place and hash of each anchor in hexadecimal digits, ``at:hash``, by spaces."""
-    return F.array_join(F.transform(print_, lambda x: F.lower(F.concat(F.hex(x["at"]), F.lit(":"), F.hex(x["hash"])))), " ")
+    return F.lower(F.array_join(F.transform(print_, lambda x: F.concat(F.hex(x["at"]), F.lit(":"), F.hex(x["hash"]))), " "))
 
 
 def _following(buckets: DataFrame) -> DataFrame:
