@@ -142,6 +142,11 @@ def could_reach(size_a: Column, size_b: Column, threshold: float) -> Column:
     return (size_a > 0) & (size_b > 0) & (F.least(size_a, size_b) / F.greatest(size_a, size_b) >= threshold)
 
 
+def _slug_head(x: Column, longest: int) -> Column:
+    """As much of a text as its slug can need: so many runs of letters and digits have at least as many characters."""
+    return F.regexp_extract(x, rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{0,{longest}}}+\\p{{M}}*+", 0)
+
+
 def _slug(x: Column, longest: int, fallback: str) -> Column:
     dashed = F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", "")
     short = F.regexp_replace(F.substring(dashed, 1, longest), r"^-+|-+$", "")
@@ -156,6 +161,7 @@ BARE = "aaaaaeeeeiiiioooouuuyyncAAAAAEEEEIIIIOOOOUUUYNC"
 
 def slugify(x: Column, longest: int = 40, fallback: str = "quelle", form: Form | None = None) -> Column:
     """ASCII slug of a source. ``form`` takes marks off; by default those of Western letters."""
+    x = _slug_head(x, longest)
     for letter, put in GERMAN_ASCII:
         x = F.replace(x, F.lit(letter), F.lit(put))
     return _slug(form(x) if form else F.translate(x, MARKED, BARE), longest, fallback)
@@ -163,7 +169,7 @@ def slugify(x: Column, longest: int = 40, fallback: str = "quelle", form: Form |
 
 def node_slug(x: Column, longest: int = 60, fallback: str = "konzept", form: Form = plain) -> Column:
     """Slug of a node: German letters stay."""
-    return _slug(form(x), longest, fallback)
+    return _slug(form(_slug_head(x, longest)), longest, fallback)
 
 
 def lemma_key(x: Column, form: Form = plain) -> Column:

@@ -78,7 +78,8 @@ def lexical_anchor(nodes: DataFrame, words: DataFrame, form: T.Form = T.plain) -
     ``words`` is a word list: it is bounded by the language, and Spark checks its size before
     it broadcasts it.
     """
-    lemmas = nodes.select("id", F.posexplode(F.coalesce("lemmas", F.array().cast("array<string>"))).alias("at", "word"))
+    # each word once, in the order in which it comes first
+    lemmas = nodes.select("id", F.posexplode(F.array_distinct(F.coalesce("lemmas", F.array().cast("array<string>")))).alias("at", "word"))
     titles = nodes.select("id", F.lit(1_000_000_000).alias("at"), F.col("title_de").alias("word"))
     asked = lemmas.unionByName(titles).withColumn("lemma", T.fold(F.col("word"), form)).join(words, "lemma")
     # lemmas before the title; among lemmas the highest level, the first of equals

@@ -24,6 +24,8 @@ VARIABLE = (
 SHORTEST_STEM = 3
 UNTRUSTED = ("drifted", "opaque")
 FAMILY = "same_family"
+#: Rows of a prefix axis that may be broadcast.
+MOST_PREFIXES = 1000
 
 
 def prefixes(spark) -> DataFrame:
@@ -42,11 +44,12 @@ def prefix_candidates(words: DataFrame, table: DataFrame | None = None, shortest
 
     An equi-join: a word offers its own beginnings, as many as the longest prefix has letters.
     """
-    table = table if table is not None else prefixes(words.sparkSession)
+    # the own table is a constant of under 100 rows; of another one Spark checks the size
+    table = table if table is not None else F.broadcast(prefixes(words.sparkSession))
     longest = max(map(len, [*SEPARABLE, *INSEPARABLE]))
     folded = words.select("word", T.fold(F.col("word")).alias("_w")).where(F.length("_w") > shortest)
     offers = folded.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("_w") - shortest)))).withColumn("prefix", F.substring("_w", F.lit(1), F.col("size")))
-    return offers.join(F.broadcast(table.select("prefix", "kind")), "prefix").select("word", "prefix", F.expr("substring(_w, size + 1)").alias("stem"), "kind")
+    return offers.join(table.select("prefix", "kind"), "prefix").select("word", "prefix", F.expr("substring(_w, size + 1)").alias("stem"), "kind")
 
 
 def stems(nodes: DataFrame) -> DataFrame:
@@ -106,10 +109,12 @@ def dangling_targets(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def grid_cells(prefix_axis: DataFrame, root_axis: DataFrame, known: DataFrame, targets: DataFrame, ids: DataFrame) -> DataFrame:
     """Every prefix by every root with its state; the first reason that holds names it.
 
-    ``prefix_axis(prefix, kind)`` is under 100 rows, so the product is linear in the roots.
+    ``prefix_axis(prefix, kind)`` has at most :data:`MOST_PREFIXES` rows (more are an error), so the product is linear in the roots.
     ``known(word, node_id)``, ``targets(word)``, ``ids(word)``: attested words, words that links
     aim at (as written), node ids (as written).
     """
+    if prefix_axis.limit(MOST_PREFIXES + 1).count() > MOST_PREFIXES:
+        raise ValueError(f"a prefix axis has at most {MOST_PREFIXES} rows")
     cells = root_axis.select("root", "transparency").crossJoin(F.broadcast(prefix_axis.select("prefix", "kind"))).withColumn("word", F.concat("prefix", "root"))
     aimed = targets.select("word").distinct().join(ids.select("word"), "word", "left_anti").withColumn("aimed", F.lit(True))
     cells = cells.join(known.select("word", "node_id"), "word", "left").join(aimed, "word", "left")

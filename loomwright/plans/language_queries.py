@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.functions.folders import written
 from loomwright.operators import level, morph
 from loomwright.operators.level import Rule
 from loomwright.plans.registry import FOLD, query, table
@@ -94,8 +95,9 @@ _SPLITS = f"inv AS (SELECT * FROM (VALUES {_INVENTORY}) v(prefix, kind)), splits
 
 
 def _tokens(spark, sf_dir):
+    """Distinct words of all texts; written, as most queries use them several times."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).distinct()
+    return written(d.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).distinct(), "tokens")
 
 
 @query(f"WITH {_TOKENS}, {_SPLITS} SELECT word, prefix, stem, kind FROM splits")
@@ -106,16 +108,17 @@ def prefix_candidates(spark, sf_dir):
 _KNOWN = f"known AS (SELECT {FOLD.format('word')} AS stem, min(word) AS node_id FROM tokens GROUP BY 1)"
 
 
-def _stems(spark, sf_dir):
+def _stems(tokens):
     """Every token is a known stem; the first word of equals stands for it."""
-    return _tokens(spark, sf_dir).groupBy(T.fold(F.col("word")).alias("stem")).agg(F.min("word").alias("node_id"))
+    return tokens.groupBy(T.fold(F.col("word")).alias("stem")).agg(F.min("word").alias("node_id"))
 
 
 @query(f"""WITH {_TOKENS}, {_SPLITS}, {_KNOWN}, best AS (SELECT word, prefix, stem, kind, node_id FROM splits LEFT JOIN known USING (stem) QUALIFY row_number() OVER (PARTITION BY word ORDER BY node_id IS NULL, length(prefix) DESC) = 1)
 SELECT word, CASE WHEN prefix IS NULL THEN 'no-prefix' WHEN node_id IS NULL THEN 'no-corpus-evidence' WHEN kind = 'variable' THEN 'variable-stress' ELSE 'segmented' END AS status, coalesce(prefix, '') AS prefix, coalesce(stem, '') AS stem,
   CASE WHEN node_id IS NOT NULL AND kind <> 'variable' THEN kind ELSE '' END AS separability, CASE WHEN kind <> 'variable' THEN coalesce(node_id, '') ELSE '' END AS stem_node_id FROM tokens LEFT JOIN best USING (word)""")
 def segmentation(spark, sf_dir):
-    out = morph.segment(_tokens(spark, sf_dir), _stems(spark, sf_dir))
+    tokens = _tokens(spark, sf_dir)
+    out = morph.segment(tokens, _stems(tokens))
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return out.select("word", "status", *map(empty, ("prefix", "stem", "separability", "stem_node_id")))
 
@@ -131,7 +134,7 @@ grid AS (SELECT c.prefix, c.root, c.word, CASE WHEN a.node_id IS NOT NULL THEN '
 def _grid(spark, sf_dir):
     tokens = _tokens(spark, sf_dir)
     axis = spark.createDataFrame([("ab", "separable"), ("an", "separable"), ("auf", "separable"), ("be", "inseparable"), ("um", "variable"), ("ver", "inseparable")], "prefix string, kind string")
-    roots = _stems(spark, sf_dir).select(F.col("stem").alias("root"), F.when(F.length("stem") % 3 == 0, "drifted").alias("transparency"))
+    roots = _stems(tokens).select(F.col("stem").alias("root"), F.when(F.length("stem") % 3 == 0, "drifted").alias("transparency"))
     aims = tokens.where("length(word) = 9").select("word").unionByName(roots.where("root < 'e'").select(F.concat(F.lit("um"), "root").alias("word")))
     known = tokens.groupBy(T.fold(F.col("word")).alias("word_")).agg(F.min("word").alias("node_id")).withColumnRenamed("word_", "word")
     cells = morph.grid_cells(axis, roots, known, aims, spark.createDataFrame([], "word string"))
@@ -161,15 +164,17 @@ good AS (SELECT * FROM best WHERE node_id IS NOT NULL AND kind <> 'variable')"""
 
 def _families(spark, sf_dir):
     """Each known stem is a family node whose lemmas are itself and the words that it carries."""
-    tokens, roots = _tokens(spark, sf_dir), _stems(spark, sf_dir)
+    tokens = _tokens(spark, sf_dir)
+    roots = written(_stems(tokens), "stems")
     carried = morph.segment(tokens, roots).where("status = 'segmented'").select(F.col("stem_node_id").alias("id"), "word")
     lemmas = carried.groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("lemmas"))
     nodes = roots.select(F.col("node_id").alias("id"), F.col("node_id").alias("root")).join(lemmas, "id", "left")
     no_links = F.array().cast("array<struct<target:string,relation:string,confidence:double>>")
-    return nodes.select(
+    nodes = nodes.select(
         "id", F.lit("vocab").alias("type"), F.get(F.array(F.lit("B1"), F.lit("A2"), F.lit("C1")), F.length("id") % 3).alias("cefr"), "root", F.coalesce("lemmas", F.array().cast("array<string>")).alias("lemmas"),
         F.lit(None).cast("boolean").alias("separable"), F.col("id").alias("title_de"), F.lit(None).cast("string").alias("family_transparency"), F.xxhash64("id").alias("seq"), no_links.alias("links"),
     )
+    return written(nodes, "family_nodes")
 
 
 @query(f"WITH {_FAMILIES} SELECT DISTINCT node_id AS candidate, 'prefix-' || prefix AS counterpart FROM good")
