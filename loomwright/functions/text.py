@@ -144,7 +144,7 @@ def could_reach(size_a: Column, size_b: Column, threshold: float) -> Column:
 
 def _slug_head(x: Column, longest: int) -> Column:
     """As much of a text as its slug can need: so many runs of letters and digits have at least as many characters."""
-    return F.regexp_extract(x, rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{0,{longest}}}+\\p{{M}}*+", 0)
+    return F.regexp_extract(x, rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{0,{longest}}}+\p{{M}}*+", 0)
 
 
 def _slug(x: Column, longest: int, fallback: str) -> Column:
