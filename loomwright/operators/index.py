@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.sources import snapshots
 
 
 def normalize_tags(tags: DataFrame, aliases: DataFrame, tag_col: str = "tag") -> DataFrame:
@@ -22,6 +23,13 @@ def reindex(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, links, themes
 
 
+def rebuild(root: str, nodes: DataFrame, stamp: str) -> int:
+    """Replace the index in ``root`` as a whole: its three tables and the stamp change together or not at all."""
+    nodes, links, themes = reindex(nodes)
+    meta = nodes.sparkSession.range(1).select(F.lit("indexed_at").alias("key"), F.lit(stamp).alias("value"))
+    return snapshots.publish(root, {"nodes": nodes, "links": links, "node_themes": themes, "meta": meta}, stamp)
+
+
 def index_counts(nodes: DataFrame, links: DataFrame, themes: DataFrame) -> DataFrame:
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in (("nodes", nodes), ("links", links), ("themes", themes))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 from loomwright.functions import text as T
 from loomwright.operators.ingest import check_images
 from loomwright.schemas import DECISION, LEVELS, SIDECAR, USAGE
+from loomwright.sources.named_files import write_files
 
 try:
     import pypdf
@@ -60,9 +61,28 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SIDECAR).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+#: Fields of a sidecar that are always written, also when they are null; the others are left out then.
+ALWAYS = ("source_id", "original_path", "content_sha256", "ingested_at", "chars", "model", "provider", "candidate_count")
+
+
 def sidecar_json(sidecars: DataFrame) -> DataFrame:
-    """Absent fields are left out, as ``to_json`` does."""
-    return sidecars.select("source_id", F.to_json(F.struct(*sidecars.columns)).alias("json"))
+    """``source_id, json`` with the constant keys, null or not, and those others that are there."""
+    rest = [c for c in sidecars.columns if c not in ALWAYS]
+    head = F.to_json(F.struct(*ALWAYS), {"ignoreNullFields": "false"})
+    tail = F.to_json(F.struct(*rest)) if rest else F.lit("{}")
+    both = F.expr("concat(substring(head, 1, length(head) - 1), ',', substring(tail, 2))")
+    return sidecars.select("source_id", head.alias("head"), tail.alias("tail")).select("source_id", F.when(F.col("tail") == "{}", F.col("head")).otherwise(both).alias("json"))
+
+
+def write_sidecars(sidecars: DataFrame, folder: str) -> None:
+    """One ``<source_id>.json`` a source."""
+    write_files(sidecar_json(sidecars).select(F.concat("source_id", F.lit(".json")).alias("name"), F.col("json").alias("text")), folder)
+
+
+def with_sidecars(ids: DataFrame, texts: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """``source_id, text, sidecar`` of wanted ids: null where there is no raw text, or no sidecar."""
+    side = sidecars.select("source_id", F.struct(*sidecars.columns).alias("sidecar"))
+    return ids.select("source_id").join(texts.select("source_id", "text"), "source_id", "left").join(side, "source_id", "left")
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame | None:
@@ -95,3 +115,10 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(T.norm_tag(F.col("value")).alias("tag")).where("tag <> '' and not startswith(tag, '#')").distinct()
 
 
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """``alias, canonical`` of lines ``alias: tag``; comments and blank lines go, quotes and case don't matter."""
+    line = F.regexp_replace("value", r"\s*#.*$", "")
+    bare = lambda x: T.norm_tag(F.regexp_replace(T.strip(x), r"^['\"]|['\"]$", ""))
+    pair = F.split(line, ":", 2)
+    rows = spark.read.text(path).where(F.contains(line, F.lit(":"))).select(bare(pair[0]).alias("alias"), bare(pair[1]).alias("canonical"))
+    return rows.where("alias <> '' and canonical <> ''").dropDuplicates(["alias"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.workers import reach_workers
 from loomwright.schemas import LEVELS, NODE, NODE_TYPES, STATUSES, TRANSPARENCIES
+from loomwright.sources.named_files import write_files
 
 try:
     import yaml
@@ -87,13 +88,13 @@ def node_texts(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.to_json(F.struct(*nodes.columns)).alias("node")).mapInArrow(run, "id string, text string")
 
 
-def write_nodes(nodes: DataFrame, folder: str) -> None:
-    """One ``<id>.md`` a node, through Hadoop's file system, so any store that Spark can write will do."""
-    for row in node_texts(nodes).toLocalIterator():
-        jvm = nodes.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{row.id}.md")
-        out = path.getFileSystem(nodes.sparkSession._jsc.hadoopConfiguration()).create(path, True)
-        try:
-            out.write(bytearray(row.text.encode("utf-8")))
-        finally:
-            out.close()
+def write_nodes(nodes: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """One ``<id>.md`` a node, written by tasks and moved into place when all have succeeded."""
+    write_files(node_texts(nodes).select(F.concat("id", F.lit(".md")).alias("name"), "text"), folder, overwrite)
+
+
+def write_queue(staged: DataFrame, folder: str) -> None:
+    """Staged candidates ``(source_id, node columns)`` as ``<source_id>/<id>.md``."""
+    named = staged.select("source_id", *[c for c in staged.columns if c != "source_id"])
+    texts = node_texts(named.drop("source_id")).join(named.select("id", "source_id"), "id")
+    write_files(texts.select(F.concat_ws("/", "source_id", F.concat("id", F.lit(".md"))).alias("name"), "text"), folder)
