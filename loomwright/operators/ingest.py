@@ -26,6 +26,16 @@ def page_summary(pages: DataFrame, least: int = PAGE_CHARS, ratio: float = TEXT_
     return out.select("doc_id", "pages", "text_pages", share.alias("ratio"), (share >= ratio).alias("has_text_layer"), F.array_join(F.transform("_empty", lambda p: p.cast("string")), ",").alias("empty_pages"))
 
 
+def document_rollup(pages: DataFrame) -> DataFrame:
+    """``doc_id, pages, cost_usd, unpriced, source_ids`` of ``pages(doc_id, page, source_id, cost_usd)``.
+
+    A page without a price adds nothing to the cost and is counted as unpriced; sources are in
+    page order. A document's pages are one row's array: they are bounded by a file's pages.
+    """
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("page", "source_id"))), lambda x: x["source_id"])
+    return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced"), F.array_compact(ids).alias("source_ids"))
+
+
 def source_ids(sources: DataFrame, stamp: str, existing: DataFrame | None = None) -> DataFrame:
     """``name, digest, source_id, is_new`` of ``sources(name, content[, page])``.
 

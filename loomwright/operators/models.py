@@ -6,8 +6,8 @@ list of answers ``(text, finish_reason)``; it runs in Arrow batches on cache mis
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 from loomwright.functions.canonical import cache_key
+from loomwright.functions.folders import written
+from loomwright.functions.workers import reach_workers
 
 Client = Callable[[list[str]], list[tuple[str, str]]]
 MESSAGE = "struct<role:string,content:string>"
@@ -51,6 +53,7 @@ def ask(rows: DataFrame, prompt_col: str, client: Client, cache: DataFrame | Non
         misses = held.where("answer is null").drop("answer", "finish_reason")
     else:
         hits, misses = None, rows
+    reach_workers(rows.sparkSession)
     names = misses.columns
     at = names.index(prompt_col)
 
@@ -64,6 +67,30 @@ def ask(rows: DataFrame, prompt_col: str, client: Client, cache: DataFrame | Non
     return fresh if hits is None else hits.select(*fresh.columns).unionByName(fresh)
 
 
+def ask_until(rows: DataFrame, prompt_col: str, client: Client, check: Callable[[Column, Column], tuple[Column, Column]], cap: int = 3, cache: DataFrame | None = None, key_col: str = "key") -> DataFrame:
+    """``rows`` with ``answer, finish_reason, cached, value, error, attempts``: what ``check`` refuses is asked again, ``cap`` times at most.
+
+    ``check`` gives ``(value, error)`` of an answer and its finish reason, as :func:`parse` does.
+    Each round asks for the refused rows only, with the error added to their prompt, and is
+    written, so no call is made twice. The cache answers first only; a cached answer that is
+    refused is asked anew. After the last round a row keeps its last answer and error.
+    """
+    own, rounds = rows.columns, []
+    open_ = rows
+    for n in range(1, cap + 1):
+        said = ask(open_, prompt_col, client, cache if n == 1 else None, key_col)
+        value, error = check(F.col("answer"), F.col("finish_reason"))
+        told = written(said.select(*said.columns, value.alias("value"), error.alias("error"), F.lit(n).alias("attempts")), f"asked{n}")
+        refused = told.where("error is not null")
+        if n == cap or refused.isEmpty():
+            rounds.append(told)
+            break
+        rounds.append(told.where("error is null"))
+        again = F.concat(prompt_col, F.lit("\n\nThe last answer was refused: "), F.col("error"), F.lit(". Answer again."))
+        open_ = refused.withColumn(prompt_col, again).select(*own)
+    return reduce(DataFrame.unionByName, rounds)
+
+
 def parse(answer: Column, finish_reason: Column, fields: dict[str, str], enums: dict[str, tuple[str, ...]] | None = None, optional: tuple[str, ...] = ()) -> tuple[Column, Column]:
     """``(value, error)`` of a JSON answer, checked in order: cut off, empty, not JSON, keys, enum values.
 
@@ -115,8 +142,3 @@ def resolve(settings: dict, step: str, given: dict | None = None, env: dict | No
     if out["provider"] not in settings.get("providers", {}):
         raise ValueError(f"step {step!r} names an unknown provider: {out['provider']}")
     return out
-
-
-def fake_client(prompts: list[str]) -> list[tuple[str, str]]:
-    """A deterministic stand-in for tests: it answers with the length of what it was asked."""
-    return [(json.dumps({"chars": len(p or "")}), "stop") for p in prompts]

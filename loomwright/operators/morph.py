@@ -148,6 +148,24 @@ def grid(nodes: DataFrame) -> DataFrame:
     return grid_cells(prefix_axis, root_axis, known_words(nodes), edges(nodes).select(F.col("target").alias("word")), ids)
 
 
+def grid_matrix(cells: DataFrame, prefixes: list[str]) -> DataFrame:
+    """One row a root with a column for each prefix that holds the cell's state: a grid as people read it."""
+    return cells.groupBy("root").pivot("prefix", prefixes).agg(F.first("state"))
+
+
+def root_order(matrix: DataFrame, root_axis: DataFrame) -> DataFrame:
+    """Roots that have a node before those that are only implied, each by name."""
+    has = root_axis.select("root", F.col("node_id").isNotNull().alias("_written"))
+    return matrix.join(has, "root", "left").orderBy(F.desc(F.coalesce("_written", F.lit(False))), "root").drop("_written")
+
+
+def gaps(nodes: DataFrame) -> DataFrame:
+    """``kind, at, name``: links whose target is no node (by target), and words whose prefix only a person can settle."""
+    links = dangling_targets(edges(nodes), nodes).select(F.lit("dangling").alias("kind"), F.col("id").alias("at"), F.col("target").alias("name"))
+    open_ = families(nodes)[2].where("status = 'variable-stress'").select(F.lit("ambiguous").alias("kind"), F.col("family").alias("at"), F.col("word").alias("name"))
+    return links.unionByName(open_).distinct()
+
+
 def families(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What the corpus implies: ``(links, creates, withheld)``.
 

@@ -186,3 +186,37 @@ def family_links(spark, sf_dir):
 def prefix_nodes_to_create(spark, sf_dir):
     out = morph.families(_families(spark, sf_dir))[1]
     return out.select("prefix", "id", "cefr", F.size("families").cast("long").alias("families"), F.size("members").cast("long").alias("members"))
+
+
+_HEADS = ("ab", "an", "auf", "be", "um", "ver")
+_MATRIX = f"""{_FAMILIES}, rsplits AS (SELECT k.stem AS root, prefix, substr(k.stem, length(prefix) + 1) AS stem, kind FROM known k JOIN inv ON starts_with(k.stem, prefix) AND length(k.stem) - length(prefix) >= 3),
+rbest AS (SELECT root, kind, known.stem IS NOT NULL AS there FROM rsplits LEFT JOIN known USING (stem) QUALIFY row_number() OVER (PARTITION BY root ORDER BY known.stem IS NULL, length(prefix) DESC) = 1),
+axis AS (SELECT stem AS root FROM known WHERE stem NOT IN (SELECT root FROM rbest WHERE there AND kind <> 'variable')),
+attested AS (SELECT {FOLD.format('word')} AS w FROM good UNION SELECT {FOLD.format('node_id')} FROM known)"""
+_KINDS = {**{p: "separable" for p in morph.SEPARABLE}, **{p: "inseparable" for p in morph.INSEPARABLE}, **{p: "variable" for p in morph.VARIABLE}}
+_CELLS = ", ".join(f"CASE WHEN '{p}' || root IN (SELECT w FROM attested) THEN 'learned' ELSE '{'withheld' if _KINDS[p] == 'variable' else 'gap'}' END AS \"{p}\"" for p in _HEADS)
+
+
+@query(f"WITH {_MATRIX} SELECT root, {_CELLS} FROM axis")
+def grid_matrix(spark, sf_dir):
+    """The grid of the corpus's own axes, prefixes as columns: six prefix nodes, and families of all words."""
+    own = _families(spark, sf_dir)
+    heads = spark.createDataFrame([(f"prefix-{p}", p) for p in _HEADS], "id string, root string")
+    heads = heads.select("id", F.lit("pattern").alias("type"), F.lit("A1").alias("cefr"), "root", F.array().cast("array<string>").alias("lemmas"), F.lit(True).alias("separable"), F.col("id").alias("title_de"), F.lit(None).cast("string").alias("family_transparency"), F.lit(-1).cast("long").alias("seq"), F.array().cast(dict(own.dtypes)["links"]).alias("links"))
+    nodes = own.unionByName(heads)
+    return morph.grid_matrix(morph.grid(nodes), list(_HEADS))
+
+
+@query(f"""WITH {_FAMILIES} SELECT DISTINCT 'dangling' AS kind, node_id AS at, '-' || node_id AS name FROM known
+UNION ALL SELECT DISTINCT 'ambiguous', s.node_id, b.word FROM best b JOIN known s USING (stem) WHERE b.node_id IS NOT NULL AND b.kind = 'variable' AND b.word IS NOT NULL""")
+def corpus_gaps(spark, sf_dir):
+    """What a corpus lacks: links to nowhere, and words that it cannot take apart by itself."""
+    tokens = _tokens(spark, sf_dir)
+    roots = written(_stems(tokens), "stems")
+    unsure = morph.segment(tokens, roots).where("status = 'variable-stress'").select("word", "stem").join(roots.withColumnRenamed("node_id", "id"), "stem").groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("lemmas"))
+    link = F.struct(F.concat(F.lit("-"), "id").alias("target"), F.lit("governs").alias("relation"), F.lit(None).cast("double").alias("confidence"))
+    nodes = roots.select(F.col("node_id").alias("id")).join(unsure, "id", "left").select(
+        "id", F.lit("vocab").alias("type"), F.lit("B1").alias("cefr"), F.col("id").alias("root"), F.coalesce("lemmas", F.array().cast("array<string>")).alias("lemmas"), F.lit(None).cast("boolean").alias("separable"), F.col("id").alias("title_de"),
+        F.lit(None).cast("string").alias("family_transparency"), F.xxhash64("id").alias("seq"), F.array(link).alias("links"),
+    )
+    return morph.gaps(written(nodes, "nodes"))

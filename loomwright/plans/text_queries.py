@@ -86,7 +86,7 @@ every AS (SELECT * FROM early UNION ALL SELECT left_id, right_id, 'semantic', si
 SELECT left_id, right_id, tier, round(similarity, 6) AS similarity, CASE WHEN similarity >= 0.95 THEN 'duplicate' ELSE 'gray' END AS band FROM every""")
 def dedup_report(spark, sf_dir):
     out = dedup.report(_documents(spark, sf_dir).select("id", "text"), _vectors(spark, sf_dir), low=0.35)
-    return out.withColumn("similarity", F.round("similarity", 6))
+    return dedup.report_order(out.withColumn("similarity", F.round("similarity", 6)))
 
 
 _STRIP = r"""list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '' AND NOT regexp_matches(s, '^[#|]') AND NOT regexp_matches(s, '^[-|: ]*$')),

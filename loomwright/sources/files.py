@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -122,3 +122,24 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     pair = F.split(line, ":", 2)
     rows = spark.read.text(path).where(F.contains(line, F.lit(":"))).select(bare(pair[0]).alias("alias"), bare(pair[1]).alias("canonical"))
     return rows.where("alias <> '' and canonical <> ''").dropDuplicates(["alias"])
+
+
+def read_cache(spark: SparkSession, path: str, schema: str, required: tuple[str, ...], key: Column | None = None, valid: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(good, broken)`` entries of a cache of JSON lines, whose row type ``schema`` has ``key``.
+
+    An entry is broken if its line is cut off or no JSON, if it lacks what is ``required``, if
+    its key is not the ``key`` of what it was made from, or if it is not ``valid`` (a vector of
+    another width, say): ``broken`` has its ``line`` and ``defect``. A broken entry is a miss.
+    It is gone once the good ones, with what was asked anew, are written as the cache.
+    """
+    raw = spark.read.text(path).where("trim(value) <> ''").select(F.col("value").alias("line"))
+    rows = raw.select("line", F.from_json("line", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e"))
+    rows = rows.select("line", "e.*")
+    lacks = F.exists(F.array(*(F.col(c).isNull() for c in ("key", *required))), lambda x: x)
+    defect = F.when(F.col("_corrupt").isNotNull(), "unreadable").when(lacks, "incomplete")
+    if key is not None:
+        defect = defect.when(F.coalesce(key != F.col("key"), F.lit(True)), "wrong-key")
+    if valid is not None:
+        defect = defect.when(~F.coalesce(valid, F.lit(False)), "invalid")
+    rows = rows.withColumn("defect", defect)
+    return rows.where("defect is null").drop("line", "defect", "_corrupt"), rows.where("defect is not null").select("line", "defect")
