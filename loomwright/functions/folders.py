@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where none is set, a folder in the warehouse, which becomes it."""
+    """The session's ``spark.checkpoint.dir``; where none is set, a folder in the warehouse, which all executors share, becomes it.
+
+    A session on one machine (``local[...]``) without one takes a temporary folder there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        one_machine = spark.sparkContext.master.startswith("local[")
+        folder = tempfile.mkdtemp(prefix="loomwright-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.functions.folders import written
+from loomwright.functions.running import earlier
 
 # How long a hash is written, and the limits of sources.
 HASH_WIDTHS = (8, 12, 16, 24, 32, 64)
@@ -67,37 +71,81 @@ def cap_candidates(candidates: DataFrame, most: int = MOST_CANDIDATES) -> DataFr
     return candidates.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
+#: Rows of a bucket when the candidates of one slug are put in order.
+BUCKET = 4096
+_NUMBERED = r"^(.+)-([1-9][0-9]{0,17})$"
+
+
+def _numbered(name: Column) -> tuple[Column, Column]:
+    """What stands before a number from 2 on, and the number; null for other names."""
+    stem, number = F.regexp_extract(name, _NUMBERED, 1), F.regexp_extract(name, _NUMBERED, 2)
+    whole = name.rlike(_NUMBERED) & (F.coalesce(F.try_to_number(number, F.lit("9" * 18)).cast("long"), F.lit(0)) >= 2)
+    return F.when(whole, stem), F.when(whole, number).cast("long")
+
+
 def node_ids(candidates: DataFrame, taken: DataFrame) -> DataFrame:
     """``seq, title_de, node_id``: slugs, numbered from -2 where taken by ``taken(id)`` or an earlier candidate.
 
-    Each candidate of a slug takes the next number that is free. A slug that ends in a number
-    can itself be a candidate's base, so the numbers are dealt within the family of slugs that
-    share what stands before trailing numbers, in a sequence fold.
+    Each candidate of a slug takes its next number that is free (the bare slug counts as 1): the
+    i-th of them the i-th free one, which running sums over taken numbers and candidates tell,
+    so no task holds all candidates of a slug. Slugs meet where one is another with a number
+    (``x-2`` beside ``x``): the name goes to the first candidate of ``x-2``, unless ``x`` had so
+    many candidates before that it came to 2 by itself. Such claims are settled slug by slug,
+    the shorter first; a slug's claims are one row, as many as there are slugs ``x-<number>``.
     """
-    rows = candidates.select("seq", "title_de", T.node_slug(F.col("title_de")).alias("base"))
-    key = F.regexp_replace("base", r"(-\d+)+$", "")
-    used = taken.select(F.col("id")).distinct().withColumn("family", F.regexp_replace("id", r"(-\d+)+$", ""))
-    rows = rows.withColumn("family", key)
-
-    def deal(_key, left, right):
-        import pyarrow as pa
-
-        held, out = set(right["id"].to_pylist()), []
-        next_try: dict[str, int] = {}
-        for seq, title, base in sorted(zip(left["seq"].to_pylist(), left["title_de"].to_pylist(), left["base"].to_pylist(), strict=True), key=lambda r: r[0]):
-            name, n = base, next_try.get(base, 1)
-            if n > 1:
-                name = f"{base}-{n}"
-            while name in held:
-                n += 1
-                name = f"{base}-{n}"
-            next_try[base] = n
-            held.add(name)
-            out.append((seq, title, name))
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"seq": pa.array(cols[0], pa.int64()), "title_de": pa.array(cols[1], pa.string()), "node_id": pa.array(cols[2], pa.string())})
-
-    return rows.groupBy("family").cogroup(used.groupBy("family")).applyInArrow(deal, "seq long, title_de string, node_id string")
+    rows = written(candidates.select("seq", "title_de", T.node_slug(F.col("title_de")).alias("base")), "candidates")
+    low, high, many = rows.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    width = (high - low) // max(1, many // BUCKET) + 1 if many else 1
+    slot = F.floor((F.col("seq") - F.lit(low or 0)) / F.lit(width)).cast("long")
+
+    bases = rows.groupBy("base").agg(F.min("seq").alias("first"))
+    stem, number = _numbered(F.col("base"))
+    names = bases.select(F.col("base").alias("stem"), F.lit(True).alias("has_parent"))
+    bases = written(bases.withColumns({"stem": stem, "number": number}).join(names, "stem", "left"), "bases")
+    ids = taken.select(F.col("id").cast("string").alias("id")).distinct()
+    id_stem, id_number = _numbered(F.col("id"))
+    held = ids.select(F.col("id").alias("base"), F.lit(1).cast("long").alias("number")).unionByName(ids.select(id_stem.alias("base"), id_number.alias("number")).where("base is not null"))
+    held = written(held.join(bases.select("base"), "base", "left_semi"), "held")
+    # a slug that is another's number claims that name, if it is free at all
+    bare = held.where("number = 1").select("base")
+    claims = written(bases.where("has_parent").join(bare, "base", "left_anti").select(F.col("stem").alias("base"), "number", F.col("base").alias("child"), F.col("first").alias("seq")), "claims")
+
+    # how many candidates of its slug come before each candidate, and before each claim
+    lined = rows.select("base", "seq", F.lit(1).alias("one"), F.lit(None).cast("long").alias("number"), F.lit(None).cast("string").alias("child"), "title_de")
+    lined = lined.unionByName(claims.select("base", "seq", F.lit(0).alias("one"), "number", "child", F.lit(None).cast("string").alias("title_de")))
+    lined = written(earlier(lined, ["base"], slot, ["seq", "one"], "one"), "lined")
+    level = bases.where("has_parent is null").select("base")
+    lost = bases.select("base").limit(0)
+    out: list[DataFrame] = []
+    while not level.isEmpty():
+        level = written(level, "level")
+        own = held.join(level, "base", "left_semi").unionByName(lost.join(level, "base", "left_semi").select("base", F.lit(1).cast("long").alias("number"))).distinct()
+        asked = lined.where("one = 0").join(level, "base", "left_semi")
+        # the place of a claimed name among the free ones
+        both = own.select("base", "number", F.lit(1).alias("is_held"), F.lit(None).cast("string").alias("child"), F.lit(None).cast("long").alias("came")).unionByName(asked.select("base", "number", F.lit(0).alias("is_held"), "child", F.col("before").cast("long").alias("came")))
+        placed = earlier(both, ["base"], F.floor(F.col("number") / BUCKET).cast("long"), ["number"], "is_held").where("is_held = 0")
+        placed = placed.withColumn("place", F.col("number") - F.col("before"))
+        start = F.struct(F.lit(0).cast("long").alias("skipped"), F.array().cast("array<struct<number:bigint,child:string,taken:boolean>>").alias("told"))
+
+        def settle(acc: Column, x: Column) -> Column:
+            # the candidate that would come to this number was there before the claim
+            reached = x["place"] - acc["skipped"] <= x["came"]
+            told = F.concat(acc["told"], F.array(F.struct(x["number"].alias("number"), x["child"].alias("child"), reached.alias("taken"))))
+            return F.struct((acc["skipped"] + F.when(reached, 0).otherwise(1)).cast("long").alias("skipped"), told.alias("told"))
+
+        folded = placed.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("number", "place", "came", "child"))).alias("claims"))
+        settled = written(folded.select("base", F.explode(F.aggregate("claims", start, settle, lambda acc: acc["told"])).alias("x")).select("base", "x.*"), "settled")
+        gone = own.unionByName(settled.where("not taken").select("base", "number"))
+        # free numbers before each taken one; the i-th candidate passes those with fewer than i before them
+        steps = earlier(gone.withColumn("one", F.lit(1)), ["base"], F.floor(F.col("number") / BUCKET).cast("long"), ["number"], "one")
+        steps = steps.select("base", (F.col("number") - 1 - F.col("before")).alias("key"), F.lit(1).alias("step"), F.lit(None).cast(dict(rows.dtypes)["seq"]).alias("seq"), F.lit(None).cast("string").alias("title_de"))
+        turns = lined.where("one = 1").join(level, "base", "left_semi").select("base", (F.col("before") + 1).cast("long").alias("key"), F.lit(0).alias("step"), "seq", "title_de")
+        dealt = earlier(turns.unionByName(steps), ["base"], F.floor(F.col("key") / BUCKET).cast("long"), ["key", "step"], "step").where("step = 0")
+        n = F.col("key") + F.col("before")
+        out.append(written(dealt.select("seq", "title_de", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n.cast("string"))).alias("node_id")), "dealt"))
+        lost = written(lost.unionByName(settled.where("taken").select(F.col("child").alias("base"))), "lost")
+        level = bases.join(level.withColumnRenamed("base", "stem"), "stem", "left_semi").where("has_parent").select("base")
+    return reduce(DataFrame.unionByName, out, rows.select("seq", "title_de", F.col("base").alias("node_id")).limit(0))
 
 
 def to_nodes(candidates: DataFrame, now: Column) -> DataFrame:
