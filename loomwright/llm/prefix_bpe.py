@@ -25,6 +25,8 @@ from loomwright.llm.shared import held, slices, small_batches
 
 #: Encoded pre-tokens that a worker keeps in its younger half; the older half is as large.
 CACHE = 100_000
+#: Pairs of tokens of which an encoder keeps whether they stay apart: some 25 MB.
+BORDERS = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,6 +44,7 @@ class PrefixBpe:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.token = {i: t for t, i in ranks.items()}
+        self.size = {i: len(t) for t, i in ranks.items()}
         #: every ending of a token: its id if it is one that BPE reaches itself, else -1
         self.ending: dict[bytes, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -96,24 +99,29 @@ class PrefixBpe:
                 limit, left = left, self.parts[left][1]
             else:
                 limit, right = right + 1, self.parts[right][0]
-        if len(self._apart) > CACHE:
+        if len(self._apart) >= BORDERS:
             self._apart.clear()
         self._apart[pair] = result
         return result
 
     def extend(self, data: bytes, last: list[int], stop: int | None = None) -> list[int]:
         """Fill ``last`` up to ``len(data)`` (or ``stop``) in place: ``last[i]`` ends the encoding of ``data[: i + 1]``."""
-        ending = self.ending
-        for i in range(len(last), len(data) if stop is None else stop):
-            end = i + 1
-            for start in range(i, -1, -1):
-                t = ending.get(data[start:end])
-                if t is None:
-                    # no token ends in these bytes, so no longer one does
-                    start = -1
-                    break
-                if t >= 0 and (not start or self.apart(last[start - 1], t)):
-                    last.append(t)
+        ending, known, add = self.ending.get, self._apart.get, last.append
+        for end in range(len(last) + 1, (len(data) if stop is None else stop) + 1):
+            start = end - 1
+            # once no token ends in some bytes, no longer one does
+            while (t := ending(data[start:end])) is not None:
+                if t >= 0:
+                    if not start:
+                        add(t)
+                        break
+                    before = last[start - 1]
+                    alone = known(before << 32 | t)
+                    if alone or (alone is None and self.apart(before, t)):
+                        add(t)
+                        break
+                start -= 1
+                if start < 0:
                     break
             if len(last) != end:
                 raise ValueError("the vocabulary has no encoding of this prefix")
@@ -121,11 +129,13 @@ class PrefixBpe:
 
     def tokens(self, last: list[int]) -> list[int]:
         """The encoding that an array of last tokens stands for."""
-        out, at = [], len(last)
+        out, at, size = [], len(last), self.size
         while at:
-            out.append(last[at - 1])
-            at -= len(self.token[last[at - 1]])
-        return out[::-1]
+            t = last[at - 1]
+            out.append(t)
+            at -= size[t]
+        out.reverse()
+        return out
 
     def edit(self, data: bytes, last: list[int], at: int, stop: int, new: bytes) -> tuple[bytes, list[int]]:
         """Replace ``data[at:stop]`` by ``new``; entries before ``at`` are kept.
