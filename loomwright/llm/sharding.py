@@ -24,10 +24,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.functions.running import BEFORE, FIRST, earlier
 from loomwright.llm.shared import written
 
 SHARDS, ROUNDS = 24, 12
-FIRST, BEFORE = Window.unboundedPreceding, -1
 
 
 def text_key(text: Column) -> Column:
@@ -35,18 +35,6 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def earlier(rows: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str) -> DataFrame:
-    """``rows`` with ``before``: the sum of ``value`` over the rows before this one within ``keys``, by bucket, then ``order``."""
-    rows = rows.withColumn("_bucket", bucket)
-    at = [*keys, "_bucket"]
-    upper = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(FIRST, BEFORE)
-    sums = rows.groupBy(*at).agg(F.sum(value).alias("_sum"))
-    sums = sums.select(*at, F.coalesce(F.sum("_sum").over(upper), F.lit(0)).alias("_upper"))
-    within = Window.partitionBy(*at).orderBy(*order).rowsBetween(FIRST, BEFORE)
-    before = F.col("_upper") + F.coalesce(F.sum(value).over(within), F.lit(0))
-    return rows.join(sums, at).withColumn("before", before).drop("_bucket", "_upper")
-
-
 def _bucket(key: str, rows: int) -> Column:
     """Both levels of a running sum grow as the square root of the rows: buckets, and rows in one."""
     return F.pmod(F.xxhash64(key), F.lit(max(1, 4 * math.isqrt(rows))))
