@@ -21,7 +21,7 @@ class Rule:
     pattern: str
 
 
-# The syllabus map.
+# The syllabus map as it is published.
 GRAMMAR = [
     Rule("präsens", "A1", r"\bpräsens"),
     Rule("nominativ", "A1", r"\bnominativ"),
@@ -30,12 +30,12 @@ GRAMMAR = [
     Rule("wechselpräposition", "A2", r"\bwechselpräposition"),
     Rule("passiv", "B1", r"\bpassiv"),
     Rule("konjunktiv-ii", "B1", r"\bkonjunktiv[\s-]*(?:ii|2)\b"),
-    Rule("relativsatz", "B1", r"\brelativs[aä]"),
+    Rule("relativsatz", "B1", r"\brelativsa|\brelativsä"),
     Rule("genitiv", "B2", r"\bgenitiv"),
     Rule("erweiterter-infinitiv", "B2", r"\berweiterte[rn]?\s+infinitiv"),
     Rule("partizipialattribut", "C1", r"\bpartizipialattribut"),
     Rule("nominalstil", "C1", r"\bnominalstil"),
-    Rule("konjunktiv-i", "C1", r"\bkonjunktiv[\s-]*(?:i|1)\b"),
+    Rule("konjunktiv-i", "C1", r"\bkonjunktiv[\s-]*(?:i(?!i)|1)\b"),
 ]
 HUMAN_BASIS, PLACEHOLDERS = "human:seed", ("llm:",)
 

@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from loomwright.functions import text as T
 from loomwright.operators.level import level_name, level_order
 
-# The prefix inventories; VARIABLE ones carry both stresses and win over the others.
+# The prefix inventories in their published order; VARIABLE ones carry both stresses and win over the others.
 SEPARABLE = (
-    "ab", "an", "auf", "aus", "auseinander", "bei", "davon", "dazu", "durch", "ein", "empor", "entgegen", "fest", "fort", "gegenüber", "her", "herab",
-    "herauf", "heraus", "herein", "herunter", "herüber", "hin", "hinauf", "hinaus", "hinein", "hinter", "hinunter", "hinüber", "los", "mit", "nach",
-    "statt", "teil", "um", "unter", "voll", "vor", "voraus", "vorbei", "vorher", "weg", "weiter", "wider", "wieder", "zu", "zurecht", "zurück",
-    "zusammen", "über",
+    "auseinander", "gegenüber", "entgegen", "herunter", "herüber", "hinunter", "hinüber", "zusammen", "zurecht", "zurück", "vorbei", "voraus", "vorher", "herein", "heraus",
+    "herauf", "herab", "hinein", "hinaus", "hinauf", "davon", "dazu", "empor", "fest", "statt", "teil", "weiter", "wieder", "nach", "über", "unter", "durch", "hinter",
+    "voll", "wider", "auf", "aus", "bei", "ein", "fort", "her", "hin", "los", "mit", "vor", "weg", "zu", "ab", "an", "um",
 )
 INSEPARABLE = (
-    "be", "emp", "ent", "er", "ge", "miss", "ver", "zer",
+    "miss", "emp", "ent", "ver", "zer", "be", "ge", "er",
 )
 VARIABLE = (
-    "durch", "hinter", "um", "unter", "voll", "wider", "wieder", "über",
+    "um", "durch", "über", "unter", "wider", "wieder", "hinter", "voll",
 )
 SHORTEST_STEM = 3
 UNTRUSTED = ("drifted", "opaque")

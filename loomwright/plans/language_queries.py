@@ -8,6 +8,7 @@ from loomwright.functions import text as T
 from loomwright.functions.folders import written
 from loomwright.operators import level, morph
 from loomwright.operators.level import Rule
+from loomwright.operators.proposals import needs_human
 from loomwright.plans.registry import FOLD, query, table
 
 #: Rules over words that occur in the tables; the syllabus map is ``level.GRAMMAR``.
@@ -123,6 +124,15 @@ def segmentation(spark, sf_dir):
     return out.select("word", "status", *map(empty, ("prefix", "stem", "separability", "stem_node_id")))
 
 
+@query(f"""WITH {_TOKENS}, {_SPLITS}, {_KNOWN}, best AS (SELECT word, prefix, kind, node_id FROM splits LEFT JOIN known USING (stem) QUALIFY row_number() OVER (PARTITION BY word ORDER BY node_id IS NULL, length(prefix) DESC) = 1)
+SELECT word, kind = 'variable' AND node_id IS NOT NULL AS human FROM best WHERE node_id IS NULL OR kind = 'variable'""")
+def withheld_for_people(spark, sf_dir):
+    """Words that stay whole, and which of them a person could settle."""
+    tokens = _tokens(spark, sf_dir)
+    out = morph.segment(tokens, _stems(tokens)).where("status not in ('segmented', 'no-prefix')")
+    return out.select("word", needs_human(F.col("status")).alias("human"))
+
+
 _GRID = f"""{_TOKENS}, {_KNOWN}, pre AS (SELECT * FROM (VALUES ('ab', 'separable'), ('an', 'separable'), ('auf', 'separable'), ('be', 'inseparable'), ('um', 'variable'), ('ver', 'inseparable')) v(prefix, kind)),
 roots AS (SELECT stem AS root, CASE WHEN length(stem) % 3 = 0 THEN 'drifted' END AS transparency FROM known),
 aims AS (SELECT DISTINCT word FROM tokens WHERE length(word) = 9 UNION SELECT 'um' || root FROM roots WHERE root < 'e'),

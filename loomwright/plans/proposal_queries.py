@@ -138,12 +138,6 @@ def cache_clearing(spark, sf_dir):
     return entries.select("user_id").join(left, "user_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 AS human FROM documents")
-def withheld_for_people(spark, sf_dir):
-    status = F.when(F.col("doc_id") % 3 == 0, "variable-stress").otherwise("no-corpus-evidence")
-    return table(spark, sf_dir, "documents").select("doc_id", proposals.needs_human(status).alias("human"))
-
-
 _REVIEW = r"""docs AS (SELECT doc_id::VARCHAR AS id, doc_id AS k, text FROM documents),
 nodes AS (SELECT * FROM docs WHERE k % 2 = 0), staged AS (SELECT * FROM docs WHERE k % 2 = 1),
 created AS (SELECT * FROM staged WHERE k % 6 = 1 AND k % 5 <> 0),
