@@ -137,3 +137,59 @@ def test_language_accuracy_on_held_out(spark, sf_dir):
     told = queries.op6(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
     rows = [(r.lang, r.lang_pred) for r in told.where("held_out").collect()]
     assert len(rows) > 20 and sum(a == b for a, b in rows) / len(rows) >= 0.97
+
+
+def test_language_scores_are_the_plain_ones(spark, sf_dir):
+    """op6 of whole tables against counting and scoring strings one after the other."""
+    import math
+    import zlib
+    from collections import Counter
+
+    import regex
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    orders = (5, 4, 3, 2, 1)
+
+    def words_of(text):
+        return regex.findall(r"\p{L}[\p{L}\p{M}]*", (text or "").lower())
+
+    def grams(word, order):
+        marked = word if order == 1 else f"_{word}_"
+        return [marked[k : k + order] for k in range(len(marked) - order + 1)]
+
+    held = {d.doc_id: zlib.crc32(str(d.doc_id).encode()) % 4 == 2 for d in docs}
+    seen = {o: Counter() for o in (0, *orders)}
+    for d in docs:
+        if not held[d.doc_id] and d.lang is not None and d.text is not None:
+            for w in words_of(d.text):
+                seen[0][w, d.lang] += 1
+                for o in orders:
+                    seen[o].update((g, d.lang) for g in grams(w, o))
+    langs = sorted({lang for _, lang in seen[0]})
+    log = {}
+    for o, counts in seen.items():
+        total = {x: max(1, sum(n for (_, lang), n in counts.items() if lang == x)) for x in langs}
+        units = {u for u, _ in counts}
+        floor = 0.5 / max(total.values())
+        log |= {(o, u): [math.log((counts[u, x] / total[x] + floor) / (1 + floor * (len(units) + 1))) for x in langs] for u in units}
+
+    kept = {}
+
+    def score(word):
+        if word not in kept:
+            kept[word] = log.get((0, word)) or next(([sum(c) / len(c) for c in zip(*found, strict=True)] for o in orders if (found := [log[o, g] for g in grams(word, o) if (o, g) in log])), [0.0] * len(langs))
+        return kept[word]
+
+    rows = {r.doc_id: r for r in queries.op6(spark, sf_dir).collect()}
+    assert len(rows) == len(docs)
+    for d in docs:
+        got, words = rows[d.doc_id], words_of(d.text)
+        assert got.held_out == held[d.doc_id]
+        if not words:
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        mean = [sum(c) / len(words) for c in zip(*map(score, words), strict=True)]
+        odds = [math.exp((m - max(mean)) * min(len(words), 20)) for m in mean]
+        assert got.score == pytest.approx(1 / sum(odds), abs=2e-3)
+        if sorted(mean)[-1] - sorted(mean)[-2] > 1e-4:
+            assert got.lang_pred == langs[mean.index(max(mean))]
