@@ -96,7 +96,8 @@ def node_ids(candidates: DataFrame, taken: DataFrame) -> DataFrame:
     rows = written(candidates.select("seq", "title_de", T.node_slug(F.col("title_de")).alias("base")), "candidates")
     low, high, many = rows.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
     width = (high - low) // max(1, many // BUCKET) + 1 if many else 1
-    slot = F.floor((F.col("seq") - F.lit(low or 0)) / F.lit(width)).cast("long")
+    # in doubles, as sequence numbers may span all 64 bits; they keep the order
+    slot = F.floor((F.col("seq").cast("double") - F.lit(float(low or 0))) / F.lit(float(width))).cast("long")
 
     bases = rows.groupBy("base").agg(F.min("seq").alias("first"))
     stem, number = _numbered(F.col("base"))

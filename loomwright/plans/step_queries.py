@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from loomwright.functions.folders import new_folder
-from loomwright.operators import dedup, embed, ingest, models, proposals
+from loomwright.operators import dedup, embed, ingest, models, proposals, steps
+from loomwright.operators.ingest_run import ingest_texts
 from loomwright.plans.registry import query, table
 from loomwright.sources import files
 
@@ -100,3 +103,75 @@ def document_rollup(spark, sf_dir):
     pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"), F.concat(F.lit("s"), "o_orderkey").alias("source_id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")).cast("double").alias("cost_usd"))
     out = ingest.document_rollup(pages)
     return out.select("doc_id", "pages", F.round("cost_usd", 2).alias("cost_usd"), "unpriced", F.array_join(F.array_sort("source_ids"), ",").alias("source_ids"))
+
+
+def _reader(prompts):
+    """Finds as many notes in a text as its length says; its first answer to long texts is cut off."""
+    out = []
+    for p in prompts:
+        said = json.loads(p.split("\n\nThe last answer")[0])[-1]["content"]
+        notes = [{"title_de": f"Titel {len(said)} {k}", "title_en": "t", "type": "vocab", "cefr": "B1", "cefr_basis": None, "register": [], "themes": [], "body_md": "b", "confidence": 0.5} for k in range(len(said) % 11)]
+        cut = len(said) > 500 and "refused" not in p
+        out.append((json.dumps({"candidates": notes})[: 20 if cut else None], "length" if cut else "stop"))
+    return out
+
+
+@query("""SELECT 'sidecar' AS what, count(*) AS n, sum(least(length(text) % 11, 8))::BIGINT AS candidates, sum(length(text))::BIGINT AS chars FROM documents WHERE source <> 'src0'
+UNION ALL SELECT 'staged', sum(least(length(text) % 11, 8))::BIGINT, sum(least(length(text) % 11, 8))::BIGINT, NULL FROM documents WHERE source <> 'src0' UNION ALL SELECT 'known', count(*), NULL, NULL FROM documents WHERE source = 'src0'
+UNION ALL SELECT 'failed', 0, NULL, NULL""")
+def ingest_run(spark, sf_dir):
+    """Texts to staged candidates: those of one source were ingested before, all others go through extraction."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), "doc_id", F.lit(".txt")).alias("name"), F.col("text").alias("content"), "source")
+    old = ingest.source_ids(d.where("source = 'src0'").select("name", "content"), "20260101").select("source_id", "digest")
+    taken = spark.createDataFrame([("titel-100-0",)], "id string")
+    got = ingest_texts(d.select("name", "content"), _reader, "m", "p", "20260101", F.expr("timestamp'2026-01-02 03:04:05'"), old, taken)
+    none = F.lit(None).cast("long")
+    rows = got.sidecars.agg(F.lit("sidecar").alias("what"), F.count("*").alias("n"), F.sum("candidate_count").alias("candidates"), F.sum("chars").alias("chars"))
+    rows = rows.unionByName(got.staged.agg(F.lit("staged").alias("what"), F.countDistinct("id").alias("n"), F.count("*").alias("candidates"), none.alias("chars")))
+    for name, df in (("known", got.known), ("failed", got.failed)):
+        rows = rows.unionByName(df.agg(F.lit(name).alias("what"), F.count("*").alias("n"), none.alias("candidates"), none.alias("chars")))
+    return rows
+
+
+def _judge(prompts):
+    """A verdict by the length of what it is shown; related pairs of odd length lack a direction at first."""
+    out = []
+    for p in prompts:
+        said = json.loads(p.split("\n\nThe last answer")[0])[-1]["content"]
+        outcome = steps.OUTCOMES[len(said) % 4]
+        out.append((json.dumps({"outcome": outcome, "relation": "governs", "direction": None if len(said) % 8 > 3 and "refused" not in p else "a_to_b"}), "stop"))
+    return out
+
+
+_SHOWN = "'A: ' || p_name || ' ()' || chr(10) || 'type: vocab | cefr: A1' || chr(10) || chr(10) || trim(p_name) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'B: ' || p_name || ' (x)' || chr(10) || 'type:  | cefr: ' || chr(10) || chr(10) || repeat('b', (p_partkey % 9)::INT)"
+
+
+@query(f"""SELECT p_partkey, ['SAME', 'OVERLAP', 'DISTINCT_RELATED', 'DISTINCT'][1 + n % 4] AS outcome, CASE WHEN n % 4 = 2 THEN 'governs' END AS relation, CASE WHEN n % 4 = 2 THEN 'a_to_b' END AS direction, CASE WHEN n % 8 = 6 THEN 2 ELSE 1 END::INT AS attempts
+FROM (SELECT p_partkey, length({_SHOWN}) AS n FROM part)""")
+def adjudicate_step(spark, sf_dir):
+    """Pairs shown to a model, its verdicts checked for sense, and those that lack a direction asked again."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    none = F.lit(None).cast("string")
+    a = steps.render("A", F.col("p_name"), none, F.lit("vocab"), F.lit("A1"), F.col("p_name"))
+    b = steps.render("B", F.col("p_name"), F.lit("x"), none, none, F.repeat(F.lit("b"), (F.col("p_partkey") % 9).cast("int")))
+    out = steps.run(rows, steps.ADJUDICATE, steps.pair_text(a, b), _judge, "m")
+    return out.select("p_partkey", "value.outcome", "value.relation", "value.direction", "attempts")
+
+
+def _writer(prompts):
+    """Keeps A's text as an example, and invents one where the prompt says that B adds something."""
+    out = []
+    for p in prompts:
+        said = json.loads(p.split("\n\nThe last answer")[0])[-1]["content"]
+        kept = said.split("\n\n")[1].splitlines()[0]
+        out.append((json.dumps({"body_md": "## Examples\n- " + kept + ("\n- invented here" if "B adds: " in said else ""), "changelog": "log"}), "stop"))
+    return out
+
+
+@query("SELECT 'c' || p_partkey AS candidate, 'n' || p_partkey AS other, p_partkey % 3 = 0 AS unsourced, sha256('## Examples' || chr(10) || '- ' || p_name || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || '- invented here' ELSE '' END) AS body_sha256 FROM part")
+def regenerate_step(spark, sf_dir):
+    """New bodies of overlapping pairs, and which of them have an example that no source has."""
+    none = F.lit(None).cast("string")
+    shown = steps.render("A", F.lit("t"), none, none, none, F.col("p_name"))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("c"), "p_partkey").alias("candidate"), F.concat(F.lit("n"), "p_partkey").alias("other"), shown.alias("a"), F.lit("B").alias("b"), F.when(F.col("p_partkey") % 3 == 0, "more").alias("b_adds"), F.array("p_name").alias("sources"))
+    return steps.regenerated(rows, _writer, "m").select("candidate", "other", "unsourced", F.sha2("body_md", 256).alias("body_sha256"))
