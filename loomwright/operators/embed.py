@@ -54,6 +54,11 @@ def store_vectors(stored: DataFrame, vectors: DataFrame) -> DataFrame:
     return upsert(stored.select("node_id", "embedding"), vectors.select("node_id", "embedding"), "node_id")
 
 
+def stored_ids(stored: DataFrame) -> DataFrame:
+    """Ids that have a vector."""
+    return stored.select("node_id").distinct()
+
+
 def indexed(nodes: DataFrame, stored: DataFrame) -> DataFrame:
     """Ids that have both a node and a vector."""
     return nodes.select("id").join(stored.select(F.col("node_id").alias("id")), "id", "left_semi")

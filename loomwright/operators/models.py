@@ -129,13 +129,14 @@ def unpack_usage(response: Column) -> Column:
     )
 
 
-def resolve(settings: dict, step: str, given: dict | None = None, env: dict | None = None) -> dict:
-    """A step's provider and model: arguments, then environment, then the step, then defaults."""
+def resolve(settings: dict, step: str, given: dict | None = None, env: dict | None = None, use_fallback: bool = False) -> dict:
+    """A step's provider and model: arguments, then environment, then (if asked for) the step's fallback, the step, defaults."""
     given, env = given or {}, env or {}
     row, base = settings.get("steps", {}).get(step, {}), settings.get("defaults", {})
+    other = (row.get("fallback") or {}) if use_fallback else {}
     out = {}
     for k in ("provider", "model", "temperature", "max_tokens"):
-        options = (given.get(k), env.get(f"{step}_{k}".upper()), row.get(k), base.get(k))
+        options = (given.get(k), env.get(f"{step}_{k}".upper()), other.get(k), row.get(k), base.get(k))
         out[k] = next((v for v in options if v is not None), None)
     if not out["provider"] or not out["model"]:
         raise ValueError(f"step {step!r} resolves to no provider or model")

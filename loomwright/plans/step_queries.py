@@ -6,8 +6,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from loomwright.functions import display
 from loomwright.functions.folders import new_folder
-from loomwright.operators import dedup, embed, ingest, models, proposals, steps
+from loomwright.operators import dedup, embed, ingest, ledger, models, proposals, steps
 from loomwright.operators.ingest_run import ingest_texts
 from loomwright.plans.registry import query, table
 from loomwright.sources import files
@@ -175,3 +176,39 @@ def regenerate_step(spark, sf_dir):
     shown = steps.render("A", F.lit("t"), none, none, none, F.col("p_name"))
     rows = table(spark, sf_dir, "part").select(F.concat(F.lit("c"), "p_partkey").alias("candidate"), F.concat(F.lit("n"), "p_partkey").alias("other"), shown.alias("a"), F.lit("B").alias("b"), F.when(F.col("p_partkey") % 3 == 0, "more").alias("b_adds"), F.array("p_name").alias("sources"))
     return steps.regenerated(rows, _writer, "m").select("candidate", "other", "unsourced", F.sha2("body_md", 256).alias("body_sha256"))
+
+
+@query(r"""SELECT doc_id, (2 + (lang = 'de')::INT)::INT AS added, 1::INT AS removed, true AS marked FROM documents""")
+def body_diffs(spark, sf_dir):
+    """What a review shows of two versions of a body: a line changed, one put at the end, for some another one before it."""
+    d = table(spark, sf_dir, "documents")
+    rest = F.concat(F.lit("\n"), F.replace("text", F.lit("\n"), F.lit(" ")))
+    after = F.concat(F.lit("changed"), rest, F.when(F.col("lang") == "de", "\nnoch eine").otherwise(""), F.lit("\nlast line"))
+    rows = d.select("doc_id", display.body_diff(F.concat(F.lit("first"), rest), after).alias("lines"))
+    marks = lambda sign: F.size(F.filter("lines", lambda x: x.startswith(sign) & ~x.startswith(sign * 3)))
+    return rows.select("doc_id", marks("+").alias("added"), marks("-").alias("removed"), (F.array_contains("lines", "-first") & F.array_contains("lines", "+changed")).alias("marked"))
+
+
+@query("""SELECT doc_id, 'raw/s' || doc_id || '.txt' AS text_path, 'raw/s' || doc_id || '.json' AS sidecar_path, 'raw/s' || doc_id || '.png' AS artifact, 'cache/own-model-1/' || substr(sha256(text), 1, 2) || '/' || sha256(text) || '.json' AS vector_path,
+  'cache/' || substr(sha256(text), 1, 2) || '/' || sha256(text) || '.json' AS answer_path, 'proposals/p' || doc_id || '.md' AS proposal FROM documents""")
+def stored_paths(spark, sf_dir):
+    """Where a source, its artifact, its cache entries and a proposal lie."""
+    source, key = F.concat(F.lit("s"), "doc_id"), F.sha2("text", 256)
+    text, sidecar = display.raw_paths(source, "raw")
+    paths = {"text_path": text, "sidecar_path": sidecar, "artifact": display.artifact_path(source, F.when(F.col("doc_id") % 2 == 0, ".PNG").otherwise("png"), "raw"), "vector_path": display.cache_path(key, "cache", "Own/Model_1"), "answer_path": display.cache_path(key, "cache"), "proposal": display.proposal_path(F.concat(F.lit("p"), "doc_id"), "proposals")}
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in paths.items()))
+
+
+@query("SELECT count(DISTINCT vec_id) AS vectors FROM embeddings")
+def stored_vector_count(spark, sf_dir):
+    """How many nodes have a vector."""
+    return embed.stored_ids(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"))).agg(F.count("*").alias("vectors"))
+
+
+@query("""SELECT coalesce(event_type, 'total') AS label, count(*)::VARCHAR AS calls, format('{:,}', sum(user_id)::BIGINT) AS completion, CASE WHEN event_type = 'view' THEN '100%' WHEN event_type IS NULL THEN round_even(100.0 * sum((event_type = 'view')::INT) / count(*), 0)::INT || '%' ELSE '0%' END AS hit_rate,
+  printf('$%.6f', round(sum(value), 2)) AS cost FROM events GROUP BY ROLLUP (event_type)""")
+def usage_report_lines(spark, sf_dir):
+    """The usage report as people read it, groups by name, the total last."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("step"), (F.col("event_type") == "view").alias("cached"), *(F.lit(0).cast("long").alias(c) for c in ("prompt_tokens", "cached_prompt_tokens", "total_tokens")), F.col("user_id").alias("completion_tokens"), F.col("value").alias("cost_usd"), F.lit(0.0).alias("saved_usd"))
+    report = ledger.usage_report(e, "step").withColumn("cost_usd", F.round("cost_usd", 2))
+    return display.usage_lines(report).select("label", "calls", "completion", "hit_rate", "cost")
