@@ -164,6 +164,16 @@ def promote(staged: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return staged.join(ids, "id", "left_anti"), staged.join(ids, "id", "left_semi")
 
 
+def gate(rows: DataFrame, nodes: DataFrame, expect_exists: bool) -> tuple[DataFrame, DataFrame]:
+    """``(accepted, refused)`` of node rows to be written: changes need their node, creations must not have one.
+
+    Tags of accepted rows are what is learned (:func:`learned_tags`).
+    """
+    ids = nodes.select("id").distinct()
+    there, lacking = rows.join(ids, "id", "left_semi"), rows.join(ids, "id", "left_anti")
+    return (there, lacking) if expect_exists else (lacking, there)
+
+
 def learned_tags(accepted: DataFrame, known: DataFrame) -> DataFrame:
     """Tags of accepted nodes that the vocabulary lacks."""
     return accepted.select(F.explode("themes").alias("tag")).select(T.norm_tag(F.col("tag")).alias("tag")).where("tag <> ''").distinct().join(known.select("tag"), "tag", "left_anti")

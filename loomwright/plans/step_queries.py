@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import display
 from loomwright.functions.folders import new_folder
 from loomwright.operators import dedup, embed, ingest, ledger, models, proposals, steps
+from loomwright.operators.adjudicate_run import propose_all, raw_sources
 from loomwright.operators.ingest_run import ingest_texts
 from loomwright.plans.registry import query, table
 from loomwright.sources import files
@@ -212,3 +213,53 @@ def usage_report_lines(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("step"), (F.col("event_type") == "view").alias("cached"), *(F.lit(0).cast("long").alias(c) for c in ("prompt_tokens", "cached_prompt_tokens", "total_tokens")), F.col("user_id").alias("completion_tokens"), F.col("value").alias("cost_usd"), F.lit(0.0).alias("saved_usd"))
     report = ledger.usage_report(e, "step").withColumn("cost_usd", F.round("cost_usd", 2))
     return display.usage_lines(report).select("label", "calls", "completion", "hit_rate", "cost")
+
+
+_TOLD = """w AS (SELECT p_partkey AS p, p_name, 'c' || p_partkey AS c, 'n' || p_partkey AS n, (p_partkey % 100) / 100.0::DOUBLE AS s, p_partkey % 11 = 0 AS decided, p_partkey % 7 = 0 AS capped,
+  length('A: ' || p_name || ' (x)' || chr(10) || 'type: vocab | cefr: A1' || chr(10) || chr(10) || p_name || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'B: ' || p_name || ' (x)' || chr(10) || 'type: vocab | cefr: A1' || chr(10) || chr(10) || p_name || repeat('b', (p_partkey % 9)::INT)) AS size FROM part),
+v AS (SELECT *, CASE WHEN s >= 0.95 THEN 'SAME' ELSE ['SAME', 'OVERLAP', 'DISTINCT_RELATED', 'DISTINCT'][1 + size % 4] END AS outcome FROM w)"""
+
+
+def _adjudicator(prompts):
+    """Judges pairs as ``_judge`` does and writes bodies as ``_writer`` does, by what it is asked."""
+    return [(_writer if "write one note" in p else _judge)([p])[0] for p in prompts]
+
+
+@query(f"""WITH {_TOLD} SELECT kind, outcome, count(*) AS n, sum(paired)::BIGINT AS paired, sum(llm)::BIGINT AS by_model FROM (
+  SELECT CASE WHEN outcome = 'OVERLAP' AND capped THEN 'discard' ELSE 'merge' END AS kind, CASE WHEN outcome = 'OVERLAP' AND capped THEN 'MANUAL' ELSE outcome END AS outcome, 1 AS paired, (s < 0.95)::INT AS llm FROM v WHERE NOT decided AND outcome IN ('SAME', 'OVERLAP')
+  UNION ALL SELECT 'link', outcome, 0, 1 FROM v WHERE NOT decided AND outcome = 'DISTINCT_RELATED'
+  UNION ALL SELECT 'create', 'DISTINCT', 0, 0 FROM v WHERE decided OR outcome IN ('DISTINCT_RELATED', 'DISTINCT')) x GROUP BY ALL""")
+def adjudicate_run(spark, sf_dir):
+    """Pairs to complete proposals through both model steps, with decided pairs, winners at their cap, and lone candidates."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    row = lambda letter, body: part.select(F.concat(F.lit(letter), "p_partkey").alias("id"), F.col("p_name").alias("title_de"), F.lit("x").alias("title_en"), F.lit("vocab").alias("type"), F.lit("A1").alias("cefr"), F.array(F.concat(F.lit("s"), "p_partkey")).alias("source_ids"), body.alias("body_md"), F.lit(1).alias("version"))
+    nodes = row("n", F.col("p_name"))
+    candidates = row("c", F.concat("p_name", F.repeat(F.lit("b"), (F.col("p_partkey") % 9).cast("int")))).drop("version").withColumns({"source_id": F.lit("src"), "path": F.lit("queue")})
+    c, n, text = F.concat(F.lit("c"), "p_partkey"), F.concat(F.lit("n"), "p_partkey"), lambda x: F.lit(x)
+    pairs = part.select(c.alias("candidate"), n.alias("other"), F.lit(1).alias("rank"), (F.col("p_partkey") % 100 / 100.0).alias("similarity"), text("semantic").alias("tier"), text("gray").alias("band"))
+    # five approved overlaps of a node are its cap; a rejected merge decides its pair
+    past = part.where("p_partkey % 7 = 0").select(n.alias("winner"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).select(F.lit(True).alias("approved"), text("OVERLAP").alias("outcome"), "winner", F.concat(F.lit("old"), "k").alias("loser"))
+    past = past.unionByName(part.where("p_partkey % 11 = 0").select(F.lit(False).alias("approved"), text("SAME").alias("outcome"), n.alias("winner"), c.alias("loser")))
+    raw = part.select(F.concat(F.lit("s"), "p_partkey").alias("source_id"), F.col("p_name").alias("text"))
+    got = propose_all(pairs, candidates, nodes, past, raw, _adjudicator, "m", "p", F.expr("timestamp'2026-01-02 03:04:05'"))
+    out = got.proposals.join(got.failed.select("candidate").distinct(), "candidate", "left_anti")
+    return out.groupBy("kind", "outcome").agg(F.count("*").alias("n"), F.count_if(F.col("winner").isNotNull()).alias("paired"), F.count_if(F.coalesce(F.col("basis") == "llm", F.lit(False))).alias("by_model"))
+
+
+@query("SELECT doc_id AS id, true AS same, 1 + (source IN ('src1', 'src2'))::INT + (lang = 'de')::INT AS texts FROM documents")
+def texts_behind_nodes(spark, sf_dir):
+    """A node's body and the raw texts of its sources, in their order; sources without a text add none."""
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array("source", "lang").alias("source_ids"), F.col("text").alias("body_md"))
+    raw = spark.createDataFrame([(x, f"raw {x}") for x in ("src1", "src2", "de")], "source_id string, text string")
+    got = raw_sources(nodes, raw).join(nodes, "id")
+    want = F.filter(F.array("body_md", F.when(F.col("source_ids")[0].isin("src1", "src2"), F.concat(F.lit("raw "), F.col("source_ids")[0])), F.when(F.col("source_ids")[1] == "de", "raw de")), lambda x: x.isNotNull())
+    return got.select("id", (F.col("texts") == want).alias("same"), F.size("texts").alias("texts"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN change = in_nodes THEN 'accepted' ELSE 'refused' END AS state, change FROM (SELECT doc_id, unnest([true, false]) AS change, doc_id IN (SELECT vec_id FROM embeddings) AS in_nodes FROM documents)")
+def write_gate(spark, sf_dir):
+    """Changes of nodes that must be there, and creations of nodes that must not."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    parts = [df.select("id", F.lit(state).alias("state"), F.lit(change).alias("change")) for change in (True, False) for df, state in zip(ingest.gate(rows, nodes, change), ("accepted", "refused"), strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
