@@ -8,6 +8,9 @@ its k-th verified distance is below that bound.
 
 Rows fall into blocks. Each block's index is built once, and all queries, which are few beside
 the rows, stream past it in batches; every block gives k rows a query, and these are merged.
+A query first asks one block, by its hash, and is searched there to the bound of that block's
+k-th row. To the others it brings that distance: there it is also finished once all codes up to
+it have been seen.
 Equal codes fold together first (only the k + 1 smallest ids of a code can ever be answers),
 so a code that a third of all rows share costs no more than others.
 """
@@ -84,8 +87,11 @@ def flips_of(width: int, radius: int) -> np.ndarray:
     return _FLIPS[width, radius]
 
 
-def search(index: SegmentIndex, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query number, id, distance)`` of the k nearest rows of each query, by distance, then id."""
+def search(index: SegmentIndex, ids: np.ndarray, queries: np.ndarray, k: int, limits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query number, id, distance)`` of the k nearest rows of each query, by distance, then id.
+
+    Rows farther than a query's limit need not be found; those up to it always are.
+    """
     segments = len(index.order)
     queries = queries.view(np.uint64)
     active = np.arange(len(queries))
@@ -112,7 +118,10 @@ def search(index: SegmentIndex, ids: np.ndarray, queries: np.ndarray, k: int) ->
             worst = np.full(len(queries), np.iinfo(np.int64).max)
             last = rank == min(k, len(ids)) - 1
             worst[who[last]] = far[last]
-            settled = active[worst[active] < bound]
+            reached = worst[active] < bound
+            if limits is not None:
+                reached |= limits[active] < bound
+            settled = active[reached]
             if len(settled):
                 out = np.isin(who, settled)
                 done.append((who[out], what[out], far[out]))
@@ -132,7 +141,7 @@ def _stream(k: int, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, rows, index, ids = -1, [], None, None
         for batch in slices(batches, BATCH_ROWS):
-            at, asks, named, codes = (batch.column(x).to_numpy(zero_copy_only=False) for x in range(4))
+            at, asks, named, codes, far = (batch.column(x).to_numpy(zero_copy_only=False) for x in range(5))
             cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(at)]
             for low, high in zip(cuts, cuts[1:], strict=False):
                 if at[low] != block:
@@ -147,9 +156,9 @@ def _stream(k: int, segments: int):
                 # a few queries at a time, so that what one step meets stays small
                 step = max(1, min(64, (1 << 24) // len(ids)))
                 for x in range(low, high, step):
-                    asked = codes[x : min(x + step, high)]
-                    who, what, far = search(index, ids, asked, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (asked[who], what, far)], schema=_SCHEMA)
+                    asked, limits = codes[x : min(x + step, high)], far[x : min(x + step, high)]
+                    who, what, distance = search(index, ids, asked, k, limits)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (asked[who], what, distance)], schema=_SCHEMA)
 
     return run
 
@@ -173,11 +182,25 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", c
     many = own.count()
     blocks = max(1, -(-many // row_block), min(spark.sparkContext.defaultParallelism, many // 8192))
     block = F.pmod(F.xxhash64("code", "id"), F.lit(blocks)).cast("int")
-    left = own.select(block.alias("block"), F.lit(False).alias("asks"), "id", "code")
-    right = codes.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), F.lit(0).cast("long").alias("id"), "code")
-    dealt = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", "asks")
-    found = dealt.mapInArrow(_stream(k + 1, segments), "query_code long, id long, distance long")
+    left = own.select(block.alias("block"), F.lit(False).alias("asks"), "id", "code", F.lit(0).cast("long").alias("far"))
+
+    def ask(asking: DataFrame) -> DataFrame:
+        """Answers of the blocks to ``asking(block, code, far)``."""
+        right = asking.select("block", F.lit(True).alias("asks"), F.lit(0).cast("long").alias("id"), "code", "far")
+        dealt = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+        return dealt.mapInArrow(_stream(k + 1, segments), "query_code long, id long, distance long")
+
     best = Window.partitionBy("query_code").orderBy("distance", "id")
+    # each query first asks one block, so all blocks have about as many of them
+    home = F.pmod(F.xxhash64("code", F.lit(blocks)), F.lit(blocks)).cast("int")
+    found = ask(codes.select(home.alias("block"), "code", F.lit(BITS).cast("long").alias("far")))
+    if blocks > 1:
+        found = written(found, "first")
+        # as far as that block's last answer, if it has that many
+        kth = found.groupBy("query_code").agg(F.when(F.count("*") > k, F.max("distance")).otherwise(F.lit(BITS)).alias("far"))
+        asking = codes.join(kth.withColumnRenamed("query_code", "code"), "code", "left").select("code", F.coalesce("far", F.lit(BITS)).cast("long").alias("far"), home.alias("home"))
+        others = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: x != F.col("home"))
+        found = found.unionByName(ask(asking.select(F.explode(others).alias("block"), "code", "far")))
     found = written(found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n"), "found")
     answers = asked.join(found, "query_code").where("id <> query_id").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     mine = Window.partitionBy("query_id").orderBy("distance", "id")

@@ -160,3 +160,16 @@ def test_op5_matches_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op5(spark, sf_dir).collect()}
     assert got == {i: (n, c, c == i) for i, (n, c) in brute(rows, 4, 80).items()}
+
+
+def test_limits_spare_what_lies_farther():
+    rng = np.random.default_rng(4)
+    codes, ids = rng.integers(-(2**63), 2**63, 4000), np.arange(4000)
+    index, asked = hamming.SegmentIndex(codes), codes[:40] ^ 5
+    every = np.bitwise_count((codes[None] ^ asked[:, None]).view(np.uint64)).astype(int)
+    limits = np.sort(every, axis=1)[:, 5]
+    who, what, far = hamming.search(index, ids, asked, 50, limits)
+    for q in range(40):
+        got = set(what[who == q].tolist())
+        assert set(np.flatnonzero(every[q] <= limits[q]).tolist()) <= got and len(got) <= 50
+        assert all(every[q, x] == d for x, d in zip(what[who == q], far[who == q], strict=True))
