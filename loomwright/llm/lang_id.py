@@ -14,7 +14,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -177,12 +176,11 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order_b
     floor = [0.5 / max(row) for row in totals]
     whole = [1 + f * (sizes.get(o, 0) + 1) for o, f in enumerate(floor)]
 
-    def log_share(k: int) -> Column:
-        by_order = [F.log((F.col(f"n{k}") / totals[o][k] + floor[o]) / whole[o]) for o in range(8)]
-        return reduce(lambda rest, o: F.when(order == o, by_order[o]).otherwise(rest), range(1, 8), by_order[0]).cast("float").alias(f"l{k}")
-
-    logs = [log_share(k) for k in range(len(langs))]
-    table = by_unit.select("unit", *logs).toArrow()
+    # numbers of an order as a table of eight rows: as literals they would be new code on every run
+    schema = "o int, floor double, whole double, " + ", ".join(f"t{k} double" for k in range(len(langs)))
+    by_order = docs.sparkSession.createDataFrame([(o, floor[o], whole[o], *map(float, totals[o])) for o in range(8)], schema)
+    logs = [F.log((F.col(f"n{k}") / F.col(f"t{k}") + F.col("floor")) / F.col("whole")).cast("float").alias(f"l{k}") for k in range(len(langs))]
+    table = by_unit.withColumn("o", order.cast("int")).join(F.broadcast(by_order), "o").select("unit", *logs).toArrow()
     names = table.column("unit").to_numpy().view(_U)
     place = np.argsort(names)
     logs = np.stack([table.column(f"l{k}").to_numpy()[place] for k in range(len(langs))], axis=1)
