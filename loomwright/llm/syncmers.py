@@ -19,8 +19,8 @@ from loomwright.functions.text import let
 from loomwright.llm.shared import IdFilter, written
 
 K, S = 24, 6
-#: Ids to a bucket, and buckets to a block, as powers of two, when documents are put in order.
-BUCKET, BLOCK = 8, 14
+#: Ids to a bucket, as a power of two, when documents are put in order.
+BUCKET = 8
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -88,16 +88,16 @@ def as_text(print_: Column) -> Column:
 def _following(buckets: DataFrame) -> DataFrame:
     """``bucket, onto``: for each bucket the next higher one, for the highest the lowest.
 
-    Works in two levels: a task orders 16,384 buckets at most, and one task the blocks' own
-    extremes, which are one row for four million ids.
+    Buckets are dealt to tasks by ranges of about equal numbers, whatever the ids are, and put in
+    order there; one task orders the ranges' own first buckets, which are one row for each task.
     """
-    buckets = buckets.select("bucket", F.shiftright("bucket", BLOCK).alias("block"))
-    inside = buckets.withColumn("onto", F.lead("bucket").over(Window.partitionBy("block").orderBy("bucket")))
-    ends = buckets.groupBy("block").agg(F.min("bucket").alias("low"))
-    order = Window.orderBy("block")
-    rest = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("block", F.coalesce(F.lead("low").over(order), F.first("low").over(rest)).alias("next_low"))
-    return inside.join(ends, "block").select("bucket", F.coalesce("onto", "next_low").alias("onto"))
+    dealt = written(buckets.select("bucket").repartitionByRange("bucket").withColumn("range", F.spark_partition_id()), "ranges")
+    inside = dealt.withColumn("onto", F.lead("bucket").over(Window.partitionBy("range").orderBy("bucket")))
+    ends = dealt.groupBy("range").agg(F.min("bucket").alias("low"))
+    order = Window.orderBy("range")
+    rest = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("range", F.coalesce(F.lead("low").over(order), F.first("low").over(rest)).alias("next_low"))
+    return inside.join(ends, "range").select("bucket", F.coalesce("onto", "next_low").alias("onto"))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, extra=lambda text: {}) -> DataFrame:
