@@ -85,3 +85,15 @@ def test_similar_short_texts_are_found(spark):
     grams = {i: {t[k : k + 5] for k in range(len(t) - 4)} if len(t) > 5 else {t} for i, t in rows}
     want = {(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.85 * len(grams[a] | grams[b])}
     assert {(r.left_id, r.right_id) for r in dedup.near_exact_pairs(df).collect()} == want and want
+
+
+def test_classes_of_many_copies_stay_linear(spark):
+    from loomwright.operators import kept_index
+
+    text = "Der Hund liest heute ein Buch im Garten und die Katze sieht ihm dabei zu."
+    rows = [(k, text if k % 2 else text.upper() + "  ") for k in range(3000)] + [(5000 + k, text + " Ja.") for k in range(500)] + [(9000, None), (9001, ""), (None, text), (9002, "ganz anders")]
+    got = kept_index.duplicate_classes(spark.createDataFrame(rows, "id long, text string"))
+    found = [(r.kind, r.left_id, r.right_id) for r in got.collect()]
+    assert len(found) == len(set(found)) == 2999 + 499 + 1 + 1
+    assert {x for x in found if x[0] == "near-exact"} == {("near-exact", 0, 5000)} and ("copy", 9000, 9001) in found
+    assert kept_index.duplicate_classes(spark.createDataFrame([], "id long, text string")).count() == 0
