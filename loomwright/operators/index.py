@@ -78,6 +78,12 @@ def cache_stats(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count("*").alias("entries"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.min("modified").alias("oldest"), F.max("modified").alias("newest"))
 
 
+def queue_rows(queue: DataFrame) -> DataFrame:
+    """``source_id, id, pending``: every pending row beside its source's number of them, in order; for queues of any size."""
+    counts = queue.groupBy("source_id").agg(F.count("*").alias("pending"))
+    return queue.select("source_id", "id").join(counts, "source_id").orderBy("source_id", "id")
+
+
 def queue_listing(queue: DataFrame) -> DataFrame:
-    """Pending rows of each source."""
+    """Pending rows of each source with their ids in one line, as people read them; see :func:`queue_rows` for sources with very many."""
     return queue.groupBy("source_id").agg(F.count("*").alias("pending"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))

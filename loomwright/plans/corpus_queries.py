@@ -97,6 +97,11 @@ def queue_listing(spark, sf_dir):
     return index.queue_listing(table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("id")))
 
 
+@query("SELECT source AS source_id, doc_id AS id, count(*) OVER (PARTITION BY source) AS pending FROM documents")
+def queue_rows(spark, sf_dir):
+    return index.queue_rows(table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("id")))
+
+
 _USAGE = """usage AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, event_type AS step, 'm' || (user_id % 3) AS model, 'p' || (user_id % 2) AS provider, event_type = 'view' AS cached,
   (props->>'$.k')::BIGINT * 10 AS prompt_tokens, (props->>'$.k')::BIGINT AS cached_prompt_tokens, CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id END AS completion_tokens,
   CASE WHEN user_id % 5 = 0 THEN NULL ELSE value END AS cost_usd, CASE WHEN event_type = 'view' THEN value END AS saved_usd FROM events)"""
