@@ -97,3 +97,46 @@ def test_classes_of_many_copies_stay_linear(spark):
     assert len(found) == len(set(found)) == 2999 + 499 + 1 + 1
     assert {x for x in found if x[0] == "near-exact"} == {("near-exact", 0, 5000)} and ("copy", 9000, 9001) in found
     assert kept_index.duplicate_classes(spark.createDataFrame([], "id long, text string")).count() == 0
+
+
+def _prose(rng, words, n):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def test_near_exact_join_writes_less_than_twice_the_text(spark):
+    """Long texts of one small vocabulary: neither their sets nor their signatures may outgrow them."""
+    from pathlib import Path
+
+    from loomwright.functions.folders import shared_dir
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    rows = [(k, _prose(rng, words, 400)) for k in range(300)]
+    rows += [(1000 + k, t + " noch ein satz") for k, t in rows[:20]]
+    folder = Path(shared_dir(spark).removeprefix("file:"), "loomwright")
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = size()
+    got = {(r.left_id, r.right_id) for r in dedup.near_exact_pairs(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == {(k, 1000 + k) for k in range(20)}
+    assert size() - before < 2 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_blocks_of_sketches_meet_all(spark, monkeypatch, block):
+    from loomwright.operators import sketches
+
+    monkeypatch.setattr(sketches, "BLOCK_ROWS", block)
+    rng = random.Random(block)
+    rows = []
+    for k in range(12):
+        base = _prose(rng, ["lo", "ret", "mi", "säns", "du", "ka", "veri", "n\U0001f600o"], rng.choice([20, 60, 90]))
+        rows.append((3 * k, base, k % 3 == 0))
+        rows += [(3 * k + j, base[: len(base) * (20 - j) // 20] + "xyz" * j, k % 2 == 0) for j in (1, 2)]
+    df = spark.createDataFrame(rows, "id long, text string, focus boolean")
+    want = {}
+    for (a, x, f), (b, y, g) in combinations(rows, 2):
+        p, q = grams(x), grams(y)
+        if (f or g) and len(p & q) / len(p | q) >= 0.85:
+            want[a, b] = len(p & q) / len(p | q)
+    got = {(r.left_id, r.right_id): r.similarity for r in dedup.near_exact_pairs(df).collect()}
+    assert want and got == want
