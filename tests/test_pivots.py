@@ -65,3 +65,19 @@ def test_little_and_nothing(spark):
     assert got(PivotIndex(rows).nearest(rows, 5)) == {(1, 1): (2, 0.0), (2, 1): (1, 0.0)}
     assert PivotIndex(rows.limit(0)).nearest(rows, 5).count() == 0 and PivotIndex(rows).nearest(rows.limit(0), 5).count() == 0
     assert PivotIndex(rows.where("id = 3")).nearest(rows, 5).count() == 0
+
+
+def test_queries_are_sent_to_blocks_not_cells(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(3000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    ids = np.arange(3000)
+    rows = frame(spark, ids, vectors)
+    index = PivotIndex(rows)
+    # evenly spread: all of the fifty cells are visited, but a block of them answers once
+    assert index.visits(rows, 10, 0.2).count() + index.visits(rows, 10, 0.2, rows.select("id", F.lit(0.3).alias("kth"))).count() > 3000 * 40
+    first, parts, most = index._blocks()
+    blocks = int((first + parts).max())
+    assert blocks <= 3 and most >= 1024
+    assert index.answers(rows, 10, 6, best=rows.select("id", F.lit(-1.0).alias("kth"))).count() <= 3000 * 10 * blocks
+    assert got(index.nearest(rows.where("id < 40"), 10)) == plain(ids, vectors, range(40), 10)
