@@ -6,9 +6,11 @@ import difflib
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.functions.workers import bounded_batches
+
 
 def money(x: Column) -> Column:
     """Dollars with six decimals, a dash where the price is not known."""
@@ -28,6 +30,8 @@ def usage_lines(report: DataFrame) -> DataFrame:
 
 def body_diff(before: Column, after: Column, from_label: str = "before", to_label: str = "after") -> Column:
     """``array<string>``: the unified difference of two bodies, line by line; empty if nothing changed. Null counts as empty."""
+    bounded_batches(SparkSession.active())
+
     @F.pandas_udf("array<string>")
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([list(difflib.unified_diff((x or "").splitlines(), (y or "").splitlines(), from_label, to_label, lineterm="")) for x, y in zip(a, b, strict=True)])

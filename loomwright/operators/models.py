@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import text as T
 from loomwright.functions.canonical import cache_key
 from loomwright.functions.folders import written
-from loomwright.functions.workers import reach_workers
+from loomwright.functions.workers import bounded_batches
 
 Client = Callable[[list[str]], list[tuple[str, str]]]
 MESSAGE = "struct<role:string,content:string>"
@@ -53,7 +53,7 @@ def ask(rows: DataFrame, prompt_col: str, client: Client, cache: DataFrame | Non
         misses = held.where("answer is null").drop("answer", "finish_reason")
     else:
         hits, misses = None, rows
-    reach_workers(rows.sparkSession)
+    bounded_batches(rows.sparkSession)
     names = misses.columns
     at = names.index(prompt_col)
 

@@ -61,3 +61,28 @@ def test_canonical_key(spark):
     assert canonical_json({"b": "ü", "a": None}) == '{"a":null,"b":"ü"}'
     one, other = (apply(spark, cache_key, x) for x in ('{"a": 1, "b": 2}', '{"b":2,"a":1}'))
     assert one == other
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """However many rows a session lets into a batch, a difference of bodies and a model step get few long texts at a time."""
+    from loomwright.functions import display
+    from loomwright.operators import models
+
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    rows = spark.range(0, 3000, 1, 1).select("id", F.concat(F.lit("first\n"), F.repeat(F.lit("x"), 20_000)).alias("text"))
+    client = lambda prompts: [(str(len(prompts)), "stop")] * len(prompts)
+    most = models.ask(rows, "text", client).agg(F.max(F.col("answer").cast("int"))).first()[0]
+    assert most < 500
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows.limit(5).select(display.body_diff(F.col("text"), F.lit("last")).alias("d")).where("size(d) > 0").count() == 5
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_set_sizes_of_odd_texts(spark):
+    from loomwright.operators import dedup
+
+    texts = [None, "", "a", "abcde", "abcdef", "x" * 30, "Ä\U0001f600b  CD\U0001f600ä", "abcabcabcabc"]
+    got = {r.id: r.n_shingles for r in dedup.shingle_sizes(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).collect()}
+    bare = [t and " ".join(t.lower().split()) for t in texts]
+    assert got == {k: None if t is None else len({t[i : i + 5] for i in range(max(1, len(t) - 4))}) if t else 0 for k, t in enumerate(bare)}
