@@ -11,6 +11,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow.fs as pafs
@@ -20,6 +21,9 @@ from pyspark.sql.types import Row, StructType
 
 from loomwright.functions.workers import reach_workers
 
+#: Moves at a time: each is a call that waits for the store.
+MOVERS = 16
+
 
 def open_folder(path: str) -> tuple[pafs.FileSystem, str]:
     """A file system and a folder in it; plain paths are local, others by their scheme."""
@@ -80,9 +84,9 @@ class NamedFilesWriter(DataSourceWriter):
                     fs.delete_file(info.path)
         for parent in {posixpath.dirname(f"{folder}/{n}") for n in names}:
             fs.create_dir(parent, recursive=True)
-        for m in done:
-            for name in m.names:
-                fs.move(f"{m.folder}/{name}", f"{folder}/{name}")
+        with ThreadPoolExecutor(MOVERS) as pool:
+            # a list, as an error shows only when a result is taken
+            list(pool.map(lambda m: [fs.move(f"{m.folder}/{name}", f"{folder}/{name}") for name in m.names], done))
         fs.delete_dir(f"{folder}/{self.stage}")
 
     def abort(self, messages: list[Written | None]) -> None:

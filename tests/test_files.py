@@ -73,3 +73,20 @@ def test_sidecars_keep_constant_keys(spark, tmp_path):
     assert list(got["s2"]) == [*files.ALWAYS, "artifact_suffix", "page"]
     files.write_sidecars(side, str(tmp_path / "side"))
     assert {r.source_id: r.page for r in files.read_sidecars(spark, str(tmp_path / "side")).collect()} == {"s1": None, "s2": 4}
+
+
+def test_node_files_are_parsed_once_and_one_id_may_be_in_two_queues(spark, tmp_path, monkeypatch):
+    from loomwright.plans.file_queries import _documents_as_nodes
+    from loomwright.sources import nodes
+
+    docs = spark.createDataFrame([(k, f"s{k}", "de", "t") for k in range(40)], "doc_id long, source string, lang string, text string")
+    monkeypatch.setattr("loomwright.plans.file_queries.table", lambda *_: docs)
+    rows = _documents_as_nodes(spark, "")
+    nodes.write_nodes(rows, f"file://{tmp_path}/nodes")
+    got = nodes.read_nodes(spark, f"file://{tmp_path}/nodes")
+    # what is sorted is a table of parsed rows: no Python runs above it
+    assert "MapInArrow" not in got._jdf.queryExecution().toString() and got.count() == 40
+    twice = rows.where("id = 'n1'")
+    staged = twice.withColumn("source_id", F.lit("a")).unionByName(twice.withColumn("source_id", F.lit("b")))
+    nodes.write_queue(staged, f"file://{tmp_path}/queue")
+    assert (tmp_path / "queue/a/n1.md").read_text() == (tmp_path / "queue/b/n1.md").read_text() == (tmp_path / "nodes/n1.md").read_text()
