@@ -170,3 +170,17 @@ def test_rejected_merges_are_not_proposed_again(spark):
     assert log.columns == [f.split()[0] for f in " ".join(DECISION.split()).split(", ")]
     pairs = judged.select(F.least("candidate", "other").alias("left_id"), F.greatest("candidate", "other").alias("right_id"))
     assert [r.left_id for r in merge.undecided(pairs, ledger.decided_pairs(log)).collect()] == ["c4"]
+
+
+def test_bodies_stay_where_they_are_until_the_end(spark, monkeypatch):
+    wrote = {}
+    monkeypatch.setattr(review, "written", lambda df, name: wrote.setdefault(name, []).append(df) or df.localCheckpoint())
+    held = [node("n1"), node("n2")]
+    asked = [proposal("p1", "create", candidate="c1"), proposal("p2", "merge", winner="n1", loser="c2", outcome="SAME", body_md="new")]
+    said = spark.createDataFrame([(p["id"], True, NOW, None) for p in asked], "proposal_id string, approved boolean, decided_at timestamp, note string")
+    out = review.review(frame(spark, held), frame(spark, [node("c1"), node("c2")]), frame(spark, asked, PROPOSAL, FIELDS), said, None, spark.createDataFrame([], "node_id string"), F.lit(NOW))
+    assert {r["id"]: r["body_md"] for r in out.nodes.collect()} == {"n1": "new", "n2": "body n2", "c1": "body c1"}
+    assert [(r["node_id"], r["body_md"]) for r in out.archived.collect()] == [("c2", "body c2")]
+    bodies = {"new", *(f"body {i}" for i in ("n1", "n2", "c1", "c2"))}
+    with_bodies = {name for name, dfs in wrote.items() for df in dfs if "body_md" in df.columns and any(r["body_md"] in bodies for r in df.select("body_md").collect())}
+    assert with_bodies == {"nodes", "archived"} and "body_md" not in wrote["decided"][0].columns
