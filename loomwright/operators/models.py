@@ -67,20 +67,24 @@ def ask(rows: DataFrame, prompt_col: str, client: Client, cache: DataFrame | Non
     return fresh if hits is None else hits.select(*fresh.columns).unionByName(fresh)
 
 
-def ask_until(rows: DataFrame, prompt_col: str, client: Client, check: Callable[[Column, Column], tuple[Column, Column]], cap: int = 3, cache: DataFrame | None = None, key_col: str = "key") -> DataFrame:
+def ask_until(rows: DataFrame, prompt_col: str, client: Client, check: Callable[[Column, Column], tuple[Column, Column]], cap: int = 3, cache: DataFrame | None = None, key_col: str = "key", keep_prompts: bool = True) -> DataFrame:
     """``rows`` with ``answer, finish_reason, cached, value, error, attempts``: what ``check`` refuses is asked again, ``cap`` times at most.
 
     ``check`` gives ``(value, error)`` of an answer and its finish reason, as :func:`parse` does.
     Each round asks for the refused rows only, with the error added to their prompt, and is
     written, so no call is made twice. The cache answers first only; a cached answer that is
-    refused is asked anew. After the last round a row keeps its last answer and error.
+    refused is asked anew. After the last round a row keeps its last answer and error. Without
+    ``keep_prompts`` those of accepted answers are null, as nobody needs them any more.
     """
     own, rounds = rows.columns, []
     open_ = rows
     for n in range(1, cap + 1):
         said = ask(open_, prompt_col, client, cache if n == 1 else None, key_col)
         value, error = check(F.col("answer"), F.col("finish_reason"))
-        told = written(said.select(*said.columns, value.alias("value"), error.alias("error"), F.lit(n).alias("attempts")), f"asked{n}")
+        told = said.select(*said.columns, value.alias("value"), error.alias("error"), F.lit(n).alias("attempts"))
+        if not keep_prompts:
+            told = told.withColumn(prompt_col, F.when(F.col("error").isNotNull() & F.lit(n < cap), F.col(prompt_col)))
+        told = written(told, f"asked{n}")
         refused = told.where("error is not null")
         if n == cap or refused.isEmpty():
             rounds.append(told)

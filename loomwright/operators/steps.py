@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.functions.joins import grown
 from loomwright.operators import merge, models
 from loomwright.schemas import CANDIDATE, LEVELS, NODE_TYPES, TRANSPARENCIES
 
@@ -101,16 +102,17 @@ def pair_text(a: Column, b: Column) -> Column:
 def run(rows: DataFrame, step: Step, variable: Column, client: models.Client, model: str, cache: DataFrame | None = None, cap: int = 3, shots: list[tuple[str, str]] | None = None) -> DataFrame:
     """``rows`` with ``key, answer, finish_reason, cached, value, error, attempts``; columns of ``rows`` named so are an error.
 
-    Rows with the same prompt have the same key, and are asked once.
+    Rows with the same prompt have the same key, and are asked once. Only what varies is
+    shuffled: the fixed parts, mostly longer, are put around it where it is asked.
     """
     made = ["prompt", "key", "answer", "finish_reason", "cached", "value", "error", "attempts"]
     if clash := set(made) & set(rows.columns):
         raise ValueError(f"columns are named like results: {sorted(clash)}")
-    asked = rows.withColumn("prompt", step.prompt(variable, shots))
-    asked = asked.withColumn("key", models.prompt_key(step.name, model, step.version, F.col("prompt")))
-    once = asked.groupBy("key").agg(F.first("prompt").alias("prompt"))
-    told = models.ask_until(once, "prompt", client, step.check, cap, cache)
-    return asked.drop("prompt").join(told.drop("prompt"), "key").select(*rows.columns, *made[1:])
+    asked = rows.withColumn("prompt", variable)
+    asked = asked.withColumn("key", models.prompt_key(step.name, model, step.version, step.prompt(F.col("prompt"), shots)))
+    once = asked.groupBy("key").agg(F.first("prompt").alias("prompt")).withColumn("prompt", step.prompt(F.col("prompt"), shots))
+    told = models.ask_until(once, "prompt", client, step.check, cap, cache, keep_prompts=False)
+    return asked.drop("prompt").join(grown(told.drop("prompt")), "key").select(*rows.columns, *made[1:])
 
 
 def regenerated(rows: DataFrame, client: models.Client, model: str, cache: DataFrame | None = None, cap: int = 3) -> DataFrame:

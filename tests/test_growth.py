@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from loomwright.operators import adjudicate_run
+from loomwright.operators import adjudicate_run, models, steps
+
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -17,3 +18,16 @@ def test_pairs_meet_their_nodes_without_a_broadcast(spark):
     got = adjudicate_run.propose_all(pairs, candidates, row("n"), None, ids.select(F.col("k").alias("source_id"), F.lit("x").alias("text")), lambda prompts: [("", "stop")] * len(prompts), "m", "p", F.current_timestamp())
     assert "Broadcast" not in plan(got.proposals)
     assert {r["kind"] for r in got.proposals.collect()} == {"merge"} and got.failed.isEmpty()
+
+
+def test_fixed_parts_of_prompts_are_neither_shuffled_nor_kept(spark, monkeypatch):
+    wrote, written = [], models.written
+    monkeypatch.setattr(models, "written", lambda df, name: wrote.append(df) or written(df, name))
+    client = lambda prompts: [('{"cefr": "A1"}' if "refused" in p or "x0" in p else "no", "stop") for p in prompts]
+    rows = spark.range(4).select("id", F.concat(F.lit("x"), F.col("id") % 2).alias("t"))
+    got = {r["id"]: (r["value"]["cefr"], r["attempts"]) for r in steps.run(rows, steps.TIEBREAK, F.col("t"), client, "m").collect()}
+    assert got == {0: ("A1", 1), 1: ("A1", 2), 2: ("A1", 1), 3: ("A1", 2)}
+    # the messages are made above the exchange of the grouping, where they are asked
+    assert "to_json(" in plan(wrote[0]).split("Exchange")[0]
+    assert sorted(r["prompt"] is None for r in wrote[0].collect()) == [False, True]
+    assert all(r["prompt"] is None for r in wrote[1].collect())
