@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.functions import text as T
 from loomwright.functions.folders import written
 from loomwright.operators import ingest, models, steps
 
@@ -31,11 +32,13 @@ def ingest_texts(sources: DataFrame, client: models.Client, model: str, provider
     each other by the hash of their ids. Sidecars come last: they say that a source is done.
     """
     named = written(ingest.source_ids(sources, stamp, existing), "source_ids")
-    texts = sources.select("name", "content").join(named, "name")
-    first = texts.groupBy("source_id", "digest", "is_new").agg(F.min(F.struct("name", "content")).alias("x")).select("source_id", "digest", "is_new", F.col("x.name").alias("original_path"), F.col("x.content").alias("text"))
-    first = written(first, "sources")
-    raw = first.where("is_new").select("source_id", "digest", "original_path", "text")
-    done = written(steps.run(raw, steps.EXTRACT, F.col("text"), client, model, cache), "extracted")
+    # a source's first name is told without its text; a text is joined once, to the row that names it
+    first = named.groupBy("source_id", "digest", "is_new").agg(F.min("name").alias("name"))
+    texts = sources.select("name", "content", T.content_hash(F.col("content")).alias("digest"))
+    first = first.join(texts, ["name", "digest"]).groupBy("name", "digest", "source_id", "is_new").agg(F.first("content").alias("text"))
+    first = written(first.select("source_id", "digest", "is_new", F.col("name").alias("original_path"), "text", F.length("text").cast("long").alias("chars")), "sources")
+    raw = first.where("is_new").select("source_id", "digest", "original_path", "text", "chars")
+    done = written(steps.run(raw, steps.EXTRACT, F.col("text"), client, model, cache).drop("text"), "extracted")
     good = done.where("error is null")
     some = good.select("source_id", F.posexplode(F.slice("value.candidates", 1, ingest.MOST_CANDIDATES)).alias("at", "c"))
     # sources by hash, candidates in their order
@@ -45,5 +48,5 @@ def ingest_texts(sources: DataFrame, client: models.Client, model: str, provider
     nodes = ingest.to_nodes(some.join(ids, "seq"), now)
     staged = nodes.withColumn("source_id", F.col("source_ids")[0])
     counts = F.least(F.size("value.candidates"), F.lit(ingest.MOST_CANDIDATES))
-    sidecars = good.select("source_id", "original_path", F.col("digest").alias("content_sha256"), now.alias("ingested_at"), F.length("text").cast("long").alias("chars"), F.lit(model).alias("model"), F.lit(provider).alias("provider"), counts.alias("candidate_count"))
-    return Ingested(raw.drop("original_path"), staged, sidecars, done.where("error is not null").select("source_id", "error", "attempts"), first.where("not is_new").select("source_id", "original_path"))
+    sidecars = good.select("source_id", "original_path", F.col("digest").alias("content_sha256"), now.alias("ingested_at"), "chars", F.lit(model).alias("model"), F.lit(provider).alias("provider"), counts.alias("candidate_count"))
+    return Ingested(raw.select("source_id", "digest", "text"), staged, sidecars, done.where("error is not null").select("source_id", "error", "attempts"), first.where("not is_new").select("source_id", "original_path"))

@@ -1,8 +1,10 @@
 """What grows with the input is not sent to the driver, shuffled whole or made twice."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from loomwright.operators import adjudicate_run, models, steps
+from loomwright.operators import adjudicate_run, ingest_run, models, steps
 
 
 def plan(df) -> str:
@@ -31,3 +33,11 @@ def test_fixed_parts_of_prompts_are_neither_shuffled_nor_kept(spark, monkeypatch
     assert "to_json(" in plan(wrote[0]).split("Exchange")[0]
     assert sorted(r["prompt"] is None for r in wrote[0].collect()) == [False, True]
     assert all(r["prompt"] is None for r in wrote[1].collect())
+
+
+def test_sources_of_one_name_keep_their_own_texts(spark):
+    client = lambda prompts: [(json.dumps({"candidates": []}), "stop")] * len(prompts)
+    sources = spark.createDataFrame([("a.txt", "one"), ("a.txt", "two, longer"), ("a.txt", "one"), ("b.txt", "one")], "name string, content string")
+    got = ingest_run.ingest_texts(sources, client, "m", "p", "20260101", F.current_timestamp(), None, spark.createDataFrame([], "id string"))
+    assert sorted((r["source_id"][:10], r["text"]) for r in got.raw.collect()) == [("20260101-a", "one"), ("20260101-a", "two, longer"), ("20260101-b", "one")]
+    assert sorted((r["original_path"], r["chars"]) for r in got.sidecars.collect()) == [("a.txt", 3), ("a.txt", 11), ("b.txt", 3)]
