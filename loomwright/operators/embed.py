@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.functions.folders import written
 from loomwright.operators.index import checked_vectors, upsert
 
 #: A function from texts to vectors; it runs in Arrow batches on what the cache lacks.
@@ -32,9 +33,12 @@ def vectors_for(nodes: DataFrame, model: str, cache: DataFrame, embedder: Embedd
     cache holds is returned. Vectors of another width than ``width`` fail.
     """
     text = T.embed_text(F.col("title_de"), F.col("body_md"))
-    asked = nodes.select(F.col("id").alias("node_id"), text.alias("text")).withColumn("key", vector_key(model, F.col("text")))
+    asked = nodes.select(F.col("id").alias("node_id"), text.alias("text"))
+    # texts are made, and the cache is read, once
+    asked = written(asked.withColumn("key", vector_key(model, F.col("text"))), "asked")
     good = cache.where(F.size("embedding") == width).groupBy("key").agg(F.first("embedding").alias("embedding"))
-    held = asked.join(good, "key").select("node_id", "key", "embedding", F.lit(False).alias("computed"))
+    found = written(asked.select("node_id", "key").join(good, "key", "left"), "found")
+    held = found.where("embedding is not null").select("node_id", "key", "embedding", F.lit(False).alias("computed"))
     if embedder is None:
         return held
 
@@ -43,8 +47,8 @@ def vectors_for(nodes: DataFrame, model: str, cache: DataFrame, embedder: Embedd
             vectors = embedder(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["key", "embedding"])
 
-    missing = asked.join(good, "key", "left_anti")
-    fresh = missing.groupBy("key").agg(F.first("text").alias("text")).mapInArrow(run, "key string, embedding array<float>")
+    missing = found.where("embedding is null").select("node_id", "key")
+    fresh = asked.join(missing.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).mapInArrow(run, "key string, embedding array<float>")
     new = missing.join(fresh, "key").select("node_id", "key", "embedding", F.lit(True).alias("computed"))
     return held.unionByName(checked_vectors(new, width))
 

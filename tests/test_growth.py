@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from loomwright.operators import adjudicate_run, ingest_run, models, steps
+from loomwright.operators import adjudicate_run, embed, ingest_run, models, steps
 
 
 def plan(df) -> str:
@@ -41,3 +41,19 @@ def test_sources_of_one_name_keep_their_own_texts(spark):
     got = ingest_run.ingest_texts(sources, client, "m", "p", "20260101", F.current_timestamp(), None, spark.createDataFrame([], "id string"))
     assert sorted((r["source_id"][:10], r["text"]) for r in got.raw.collect()) == [("20260101-a", "one"), ("20260101-a", "two, longer"), ("20260101-b", "one")]
     assert sorted((r["original_path"], r["chars"]) for r in got.sidecars.collect()) == [("a.txt", 3), ("a.txt", 11), ("b.txt", 3)]
+
+
+def test_texts_to_embed_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def body(i):
+        made.add(1)
+        return f"text {i % 3}"
+
+    nodes = spark.range(9).select("id", F.lit("t").alias("title_de"), body("id").alias("body_md"))
+    key = embed.vector_key("m", embed.T.embed_text(F.lit("t"), F.lit("text 0")))
+    cache = spark.range(1).select(key.alias("key"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"))
+    got = embed.vectors_for(nodes, "m", cache, lambda texts: [[float(len(t)), 0.0] for t in texts], 2)
+    assert sorted((r["node_id"], r["computed"]) for r in got.collect()) == [(i, i % 3 > 0) for i in range(9)]
+    assert made.value == 9
