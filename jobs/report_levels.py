@@ -49,9 +49,9 @@ def run(spark: SparkSession, source: str, out: str, wordlists: str = "", rules:
     nodes = nodes_of(spark.read.parquet(source))
     words = level.word_levels(words if words is not None else read_wordlists(spark, wordlists))
     aim = nodes if everything else nodes.where(level.is_placeholder(F.col("cefr_basis")))
-    derived = level.levels(aim, words, [level.Rule(*r) for r in rules] if rules else level.GRAMMAR)
+    derived = level.levels(aim, words, [level.Rule(*r) for r in rules] if rules else level.GRAMMAR, keep=("source",))
     # texts are read once; what follows needs levels only
-    derived = written(derived.join(nodes.select("id", "source"), "id"), "levels")
+    derived = written(derived, "levels")
     changed = F.col("derived").isNotNull() & ~(F.col("derived").eqNullSafe(F.col("cefr")) & F.col("derived_basis").eqNullSafe(F.col("cefr_basis")))
     proposals = derived.where(changed).select(
         T.proposal_id(F.lit("relevel"), F.col("id")).alias("proposal_id"), F.col("id").alias("candidate"), "source", F.col("cefr").alias("cefr_before"), F.col("derived_basis").alias("cefr_basis"), F.col("derived").alias("cefr")

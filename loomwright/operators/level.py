@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.functions.folders import written
 from loomwright.schemas import LEVELS
 
 
@@ -51,8 +52,11 @@ def level_name(order: Column) -> Column:
 
 def grammar_hits(text: Column, where: str, rules: list[Rule] = GRAMMAR, form: T.Form = T.plain) -> Column:
     """All structures in a text: ``array<struct<structure, level, place>>``. No join: the rules are few."""
-    folded = T.fold_open(form(text))
-    return F.array_compact(F.array(*(F.when(folded.rlike("(?U)" + r.pattern), F.struct(F.lit(r.structure).alias("structure"), F.lit(LEVELS.index(r.level)).alias("level"), F.lit(where).alias("place"))) for r in rules)))
+    def hits(folded: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(folded.rlike("(?U)" + r.pattern), F.struct(F.lit(r.structure).alias("structure"), F.lit(LEVELS.index(r.level)).alias("level"), F.lit(where).alias("place"))) for r in rules)))
+
+    # a text is folded once, not for each rule
+    return T.let(T.fold_open(form(text)), hits)
 
 
 def strongest(title_hits: Column, body_hits: Column) -> Column:
@@ -78,14 +82,20 @@ def lexical_anchor(nodes: DataFrame, words: DataFrame, form: T.Form = T.plain) -
     ``words`` is a word list: it is bounded by the language, and Spark checks its size before
     it broadcasts it.
     """
+    return nodes.select("id").join(_listed(nodes, words, form), "id", "left")
+
+
+def _listed(nodes: DataFrame, words: DataFrame, form: T.Form) -> DataFrame:
+    """``id, lex`` of nodes that have a listed word."""
+    # as a file its size is known beforehand; else all words of all nodes are shuffled to find out
+    words = written(words, "words")
     # each word once, in the order in which it comes first
     lemmas = nodes.select("id", F.posexplode(F.array_distinct(F.coalesce("lemmas", F.array().cast("array<string>")))).alias("at", "word"))
     titles = nodes.select("id", F.lit(1_000_000_000).alias("at"), F.col("title_de").alias("word"))
     asked = lemmas.unionByName(titles).withColumn("lemma", T.fold(F.col("word"), form)).join(words, "lemma")
     # lemmas before the title; among lemmas the highest level, the first of equals
     rank = F.struct((F.col("at") == 1_000_000_000).cast("int").alias("title"), (-F.col("level")).alias("level"), "at")
-    best = asked.groupBy("id").agg(F.min_by(F.struct("lemma", "level", "source"), rank).alias("lex"))
-    return nodes.select("id").join(best, "id", "left")
+    return asked.groupBy("id").agg(F.min_by(F.struct("lemma", "level", "source"), rank).alias("lex"))
 
 
 def is_absent(basis: Column) -> Column:
@@ -130,12 +140,12 @@ def derive(decided: Column, lex: Column, current: Column, basis: Column) -> tupl
     return level, why
 
 
-def levels(nodes: DataFrame, words: DataFrame, rules: list[Rule] = GRAMMAR, form: T.Form = T.plain) -> DataFrame:
-    """``nodes`` columns ``id, cefr, cefr_basis`` with ``derived`` and ``derived_basis``."""
+def levels(nodes: DataFrame, words: DataFrame, rules: list[Rule] = GRAMMAR, form: T.Form = T.plain, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``nodes`` columns ``id, cefr, cefr_basis`` and those of ``keep``, with ``derived`` and ``derived_basis``."""
     rows = nodes.withColumn("decided", strongest(grammar_hits(F.col("title_de"), "title", rules, form), grammar_hits(F.col("body_md"), "body", rules, form)))
-    rows = rows.join(lexical_anchor(nodes, words, form), "id", "left")
+    rows = rows.join(_listed(nodes, words, form), "id", "left")
     level, why = derive(F.col("decided"), F.col("lex"), F.col("cefr"), F.col("cefr_basis"))
-    return rows.select("id", "cefr", "cefr_basis", level.alias("derived"), why.alias("derived_basis"))
+    return rows.select("id", "cefr", "cefr_basis", *keep, level.alias("derived"), why.alias("derived_basis"))
 
 
 def relevel(nodes: DataFrame, words: DataFrame, rules: list[Rule] = GRAMMAR, everything: bool = False) -> DataFrame:

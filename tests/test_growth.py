@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from loomwright.operators import adjudicate_run, embed, ingest_run, models, steps
+from loomwright.operators import adjudicate_run, embed, ingest_run, level, merge, models, steps
 
 
 def plan(df) -> str:
@@ -57,3 +57,20 @@ def test_texts_to_embed_are_made_once(spark):
     got = embed.vectors_for(nodes, "m", cache, lambda texts: [[float(len(t)), 0.0] for t in texts], 2)
     assert sorted((r["node_id"], r["computed"]) for r in got.collect()) == [(i, i % 3 > 0) for i in range(9)]
     assert made.value == 9
+
+
+def test_verdicts_are_read_once(spark):
+    rows = [("a", "x", 1, "DISTINCT"), ("a", "y", 2, "SAME"), ("b", "x", 1, "DISTINCT_RELATED"), ("b", "y", 1, "DISTINCT"), ("c", "z", 1, None)]
+    verdicts = spark.createDataFrame(rows, "candidate string, other string, rank int, outcome string")
+    got = merge.fates(verdicts)
+    assert plan(got).count("Exchange") == 1
+    assert sorted((r["candidate"], r["other"] or "", r["outcome"], r["kind"]) for r in got.collect()) == [("a", "y", "SAME", "merge"), ("b", "", "DISTINCT", "create"), ("b", "x", "DISTINCT_RELATED", "link"), ("c", "", "DISTINCT", "create")]
+
+
+def test_words_of_texts_are_not_shuffled_to_a_short_list(spark):
+    """Words are looked up where their text is read: a row for each word is not sent anywhere."""
+    nodes = spark.createDataFrame([("1", "der Titel", "rest der", "A1", None, ["der", "tisch"], "s")], "id string, title_de string, body_md string, cefr string, cefr_basis string, lemmas array<string>, source string")
+    words = level.word_levels(spark.createDataFrame([("der", "B1"), ("tisch", "A2")], "lemma string, level string"))
+    got = level.levels(nodes, words, keep=("source",))
+    assert [tuple(r) for r in got.select("id", "source", "derived", "derived_basis").collect()] == [("1", "s", "B1", "goethe:b1(der)")]
+    assert "SortMergeJoin [lemma" not in plan(level.levels(nodes, words)) and "BroadcastHashJoin [lemma" in plan(level.levels(nodes, words))
