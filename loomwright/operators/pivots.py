@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.folders import written
+from loomwright.functions.joins import grown
 from loomwright.functions.workers import bounded_batches, reach_workers
 
 #: Pivots at most: with their vectors and bounds they are what the driver holds and tasks are sent.
@@ -110,7 +111,7 @@ class PivotIndex:
 
     def _asked(self, queries: DataFrame, best: DataFrame | None) -> DataFrame:
         asked = queries.where("vector is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-        return asked if best is None else asked.join(best.select("id", "kth"), "id", "left")
+        return asked if best is None else asked.join(grown(best.select("id", "kth")), "id", "left")
 
     def _wanted(self, k: int, least: float | None):
         """Function of a batch ``(id, vector)`` or ``(id, vector, kth)``: which cells each row visits, and the least similarity that counts."""

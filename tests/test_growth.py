@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from loomwright.operators import adjudicate_run, embed, ingest_run, level, merge, models, steps
+from loomwright.operators import adjudicate_run, dedup, embed, ingest_run, kept_index, level, merge, models, steps
 
 
 def plan(df) -> str:
@@ -76,3 +76,16 @@ def test_words_of_texts_are_not_shuffled_to_a_short_list(spark):
     got = level.levels(nodes, words, keep=("source",))
     assert [tuple(r) for r in got.select("id", "source", "derived", "derived_basis").collect()] == [("1", "s", "B1", "goethe:b1(der)")]
     assert "SortMergeJoin [lemma" not in plan(level.levels(nodes, words)) and "BroadcastHashJoin [lemma" in plan(level.levels(nodes, words))
+
+
+def test_pairs_and_ids_of_duplicates_are_never_broadcast(spark):
+    """Pairs of copies grow with the square of a group, and their file stays small."""
+    rows = spark.createDataFrame([(k, f"{'ein text, den viele haben' if k % 3 else 'ganz anders'} {'und' if k % 2 else 'ond'} hier") for k in range(12)], "id long, text string")
+    vectors = rows.select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    seen = rows.select(F.col("id").alias("left_id"), (F.col("id") + 1).alias("right_id"))
+    joins = lambda df: [x for x in plan(df).splitlines() if "Broadcast" in x and "Join" in x]
+    assert joins(dedup.near_exact_pairs(rows)) == joins(kept_index.duplicate_classes(rows)) == []
+    got = dedup.semantic_pairs(vectors, vectors, seen, low=0.0, k=3)
+    # what is broadcast is the place of each cell, of which there are 1,024 at most
+    assert [x for x in joins(got) if "[cell" not in x] == []
+    assert got.join(seen, ["left_id", "right_id"]).count() == 0 < got.count()
