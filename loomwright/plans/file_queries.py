@@ -49,11 +49,13 @@ def queue_files(spark, sf_dir):
 
 @query("SELECT doc_id::VARCHAR AS name, sha256(text) AS digest FROM documents")
 def raw_texts_read_back(spark, sf_dir):
+    """Every text as a file of its own, and the files read; a document without a text (or an id) has none, and stays as it is."""
     folder = new_folder(spark, "raw")
-    d = table(spark, sf_dir, "documents")
-    write_files(d.select(F.concat("doc_id", F.lit(".txt")).alias("name"), "text"), folder)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), "text")
+    write_files(d.where("name is not null and text is not null").select(F.concat("name", F.lit(".txt")).alias("name"), "text"), folder)
     got = files.read_texts(spark, folder)
-    return got.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("name"), T.content_hash(F.col("text")).alias("digest"))
+    got = got.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("name"), T.content_hash(F.col("text")).alias("digest"))
+    return got.unionByName(d.where("name is null or text is null").select("name", T.content_hash(F.col("text")).alias("digest")))
 
 
 @query("""SELECT 's' || doc_id AS source_id, doc_id % 3 <> 0 AS has_text, doc_id % 2 = 0 AS has_sidecar, CASE WHEN doc_id % 2 = 0 THEN n_chars END AS chars, CASE WHEN doc_id % 2 = 0 AND doc_id % 4 = 0 THEN doc_id::INT END AS page,

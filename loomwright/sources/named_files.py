@@ -1,21 +1,25 @@
-"""Files with names of their own, one a row, written by tasks: Markdown nodes, queues, sidecars.
+"""Files with names of their own, one a row, written and read by tasks: Markdown nodes, queues, sidecars, texts.
 
 Spark's file writers name files themselves; a corpus of notes wants ``<id>.md``. The data source
 ``namedfiles`` takes ``name, text``: every task writes into a hidden folder of its attempt, and
 only when all tasks have succeeded are the files moved to their names, as Spark's own committer
-does. A failed task leaves nothing behind; a name that comes twice fails the write.
+does. A failed task leaves nothing behind; a name that comes twice fails the write. What is read
+is listed by tasks, not in the driver.
 """
 
 from __future__ import annotations
 
+import os
 import posixpath
 import uuid
+import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
@@ -23,6 +27,10 @@ from loomwright.functions.workers import reach_workers
 
 #: Moves at a time: each is a call that waits for the store.
 MOVERS = 16
+#: Tasks at most that list a folder or read its files, or four for each core if those are more.
+READERS = 64
+#: Rows and bytes of a batch of files that are read.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def open_folder(path: str) -> tuple[pafs.FileSystem, str]:
@@ -40,6 +48,62 @@ def checked(name: str | None) -> str:
     return name
 
 
+def _entries(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """Name of each entry of a folder, and whether it is a file; a local folder is never held as a list."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            yield from ((e.name, e.is_file()) for e in found)
+    else:
+        yield from ((info.base_name, info.type == pafs.FileType.File) for info in fs.get_file_info(pafs.FileSelector(folder)))
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(READERS, 4 * spark.sparkContext.defaultParallelism)
+
+
+def _share(fs: pafs.FileSystem, folder: str, task: int, tasks: int) -> Iterator[tuple[str, bool]]:
+    """The entries of a folder that fall to one of its tasks: each lists the folder, none is told what it holds."""
+    return ((name, is_file) for name, is_file in _entries(fs, folder) if zlib.crc32(name.encode("utf-8", "surrogateescape")) % tasks == task)
+
+
+def read_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """``path, content`` of the files in a folder that end with ``suffix``, hidden ones left out; empty files have a row too.
+
+    Tasks list the folder and read their share. Spark's reader of binary files, which lists them
+    in the driver and has no row for an empty one, takes what is no folder or file that workers
+    reach: patterns, and schemes that only Spark knows.
+    """
+    reach_workers(spark)
+    try:
+        fs, root = open_folder(path)
+        kind = fs.get_file_info(root).type
+    except (pa.ArrowException, OSError):
+        kind = pafs.FileType.NotFound
+    if kind not in (pafs.FileType.File, pafs.FileType.Directory):
+        return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path).select("path", "content")
+    tasks, one = (_tasks(spark), None) if kind == pafs.FileType.Directory else (1, posixpath.basename(root))
+    folder = root if one is None else posixpath.dirname(root)
+    shown = f"file:{folder}" if isinstance(fs, pafs.LocalFileSystem) else path.rstrip("/") if one is None else posixpath.dirname(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = open_folder(path)
+        paths, contents, held = [], [], 0
+        for task in (t for b in batches for t in b.column(0).to_pylist()):
+            for name, is_file in [(one, True)] if one is not None else _share(fs, folder, task, tasks):
+                if not is_file or name.startswith((".", "_")) or not name.endswith(suffix):
+                    continue
+                with fs.open_input_stream(f"{folder}/{name}") as file:
+                    contents.append(file.read())
+                paths.append(f"{shown}/{name}")
+                held += len(contents[-1])
+                if len(paths) == BATCH_ROWS or held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+                    paths, contents, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    return spark.range(0, tasks, 1, tasks).mapInArrow(run, "path string, content binary")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     folder: str

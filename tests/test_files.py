@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomwright.operators import index
 from loomwright.schemas import SIDECAR
 from loomwright.sources import files, snapshots
-from loomwright.sources.named_files import write_files
+from loomwright.sources.named_files import read_files, write_files
 
 
 def names(folder):
@@ -90,3 +90,31 @@ def test_node_files_are_parsed_once_and_one_id_may_be_in_two_queues(spark, tmp_p
     staged = twice.withColumn("source_id", F.lit("a")).unionByName(twice.withColumn("source_id", F.lit("b")))
     nodes.write_queue(staged, f"file://{tmp_path}/queue")
     assert (tmp_path / "queue/a/n1.md").read_text() == (tmp_path / "queue/b/n1.md").read_text() == (tmp_path / "nodes/n1.md").read_text()
+
+
+def test_texts_that_are_empty_or_not_there_are_read_back(spark, monkeypatch):
+    from hashlib import sha256
+
+    from loomwright.plans import file_queries
+
+    texts = {1: "ein text", 2: "", 3: None, None: "no id"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(file_queries, "table", lambda *_: docs)
+    got = {(r["name"], r.digest) for r in file_queries.raw_texts_read_back(spark, "").collect()}
+    assert got == {(k and str(k), None if t is None else sha256(t.encode()).hexdigest()) for k, t in texts.items()}
+
+
+def test_files_are_listed_by_tasks_and_named_as_spark_names_them(spark, tmp_path):
+    odd = ["a.txt", "ü b.txt", "50%[x].txt", "q#1.txt", "n.md"]
+    for name in [*odd, ".hidden.txt", "_x.txt", "sub/in.txt"]:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    for path, suffix in ((f"file://{tmp_path}", ""), (str(tmp_path), ".txt"), (f"file:{tmp_path}/n.md", "")):
+        got = read_files(spark, path, suffix)
+        assert got.inputFiles() == [] and got.rdd.getNumPartitions() <= 64
+        want = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
+        rows = {tuple(r) for r in got.collect()}
+        assert rows == {tuple(r) for r in want.select("path", "content").collect()} and rows
+    assert {r.path.rsplit("/", 1)[-1] for r in read_files(spark, f"file://{tmp_path}/[an].*").collect()} == {"a.txt", "n.md"}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_files(spark, f"file://{tmp_path}/none")
