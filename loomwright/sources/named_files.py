@@ -1,10 +1,9 @@
 """Files with names of their own, one a row, written and read by tasks: Markdown nodes, queues, sidecars, texts.
 
-Spark's file writers name files themselves; a corpus of notes wants ``<id>.md``. The data source
-``namedfiles`` takes ``name, text``: every task writes into a hidden folder of its attempt, and
-only when all tasks have succeeded are the files moved to their names, as Spark's own committer
-does. A failed task leaves nothing behind; a name that comes twice fails the write. What is read
-is listed by tasks, not in the driver.
+Spark's file writers name files themselves; a corpus of notes wants ``<id>.md``. Every task writes
+into a hidden folder of its attempt; only when all have succeeded are the files of the attempts
+that count moved to their names, by tasks again. A failed task leaves nothing behind; a name that
+comes twice fails the write. Neither names nor lists of files go through the driver.
 """
 
 from __future__ import annotations
@@ -15,18 +14,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.types import Row, StructType
+from pyspark.sql import functions as F
 
-from loomwright.functions.workers import reach_workers
+from loomwright.functions.folders import written
+from loomwright.functions.joins import grown
+from loomwright.functions.workers import bounded_batches, reach_workers
 
-#: Moves at a time: each is a call that waits for the store.
-MOVERS = 16
+#: Moves of a task at a time: each is a call that waits for the store.
+MOVERS = 4
 #: Tasks at most that list a folder or read its files, or four for each core if those are more.
 READERS = 64
 #: Rows and bytes of a batch of files that are read.
@@ -104,75 +103,79 @@ def read_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     return spark.range(0, tasks, 1, tasks).mapInArrow(run, "path string, content binary")
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    folder: str
-    names: list[str]
-
-
-class NamedFilesWriter(DataSourceWriter):
-    def __init__(self, path: str, columns: list[str], overwrite: bool) -> None:
-        if sorted(columns) != ["name", "text"]:
-            raise ValueError(f"columns must be name and text: {columns}")
-        self.path, self.overwrite, self.stage = path, overwrite, f".writing-{uuid.uuid4().hex}"
-
-    def write(self, iterator: Iterator[Row]) -> Written:
-        fs, folder = open_folder(self.path)
-        own, names = f"{folder}/{self.stage}/{uuid.uuid4().hex}", []
-        fs.create_dir(own, recursive=True)
-        made = {own}
-        for row in iterator:
-            name = checked(row["name"])
-            place = f"{own}/{name}"
-            parent = posixpath.dirname(place)
-            if parent not in made:
-                fs.create_dir(parent, recursive=True)
-                made.add(parent)
-            with fs.open_output_stream(place) as out:
-                out.write((row["text"] or "").encode("utf-8"))
-            names.append(name)
-        return Written(own, names)
-
-    def commit(self, messages: list[Written | None]) -> None:
-        fs, folder = open_folder(self.path)
-        done = [m for m in messages if m]
-        names = [n for m in done for n in m.names]
-        if len(set(names)) < len(names):
-            self.abort(messages)
-            raise ValueError("a name comes twice")
-        if self.overwrite:
-            old = fs.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True))
-            keep = {f"{folder}/{n}" for n in names}
-            for info in old:
-                if info.type == pafs.FileType.File and f"/{self.stage}/" not in info.path and info.path not in keep:
-                    fs.delete_file(info.path)
-        for parent in {posixpath.dirname(f"{folder}/{n}") for n in names}:
-            fs.create_dir(parent, recursive=True)
-        with ThreadPoolExecutor(MOVERS) as pool:
-            # a list, as an error shows only when a result is taken
-            list(pool.map(lambda m: [fs.move(f"{m.folder}/{name}", f"{folder}/{name}") for name in m.names], done))
-        fs.delete_dir(f"{folder}/{self.stage}")
-
-    def abort(self, messages: list[Written | None]) -> None:
-        fs, folder = open_folder(self.path)
-        if fs.get_file_info(f"{folder}/{self.stage}").type == pafs.FileType.Directory:
-            fs.delete_dir(f"{folder}/{self.stage}")
+def _old_files(spark: SparkSession, folder: str, stage: str) -> DataFrame:
+    """``name`` of every file below a folder, but for those that are being written."""
+    tasks = _tasks(spark)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_folder(folder)
+        for task in (t for b in batches for t in b.column(0).to_pylist()):
+            for name, is_file in _share(fs, root, task, tasks):
+                below = [] if is_file or name == stage else fs.get_file_info(pafs.FileSelector(f"{root}/{name}", recursive=True))
+                names = [name] if is_file else [info.path[len(root) + 1 :] for info in below if info.type == pafs.FileType.File]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
 
-class NamedFiles(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "namedfiles"
-
-    def schema(self) -> str:
-        return "name string, text string"
-
-    def writer(self, schema: StructType, overwrite: bool) -> NamedFilesWriter:
-        return NamedFilesWriter(self.options["path"], schema.names, overwrite)
+    return spark.range(0, tasks, 1, tasks).mapInArrow(run, "name string")
 
 
 def write_files(files: DataFrame, folder: str, overwrite: bool = False) -> None:
     """Write ``files(name, text)``; a name may have folders. ``overwrite`` removes what else the folder holds."""
-    reach_workers(files.sparkSession)
-    files.sparkSession.dataSource.register(NamedFiles)
-    files.select("name", "text").write.format("namedfiles").mode("overwrite" if overwrite else "append").save(folder)
+    spark, stage = files.sparkSession, f".writing-{uuid.uuid4().hex}"
+    bounded_batches(spark)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_folder(folder)
+        own = f"{root}/{stage}/{uuid.uuid4().hex}"
+        made = set()
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                place = f"{own}/{checked(name)}"
+                parent = posixpath.dirname(place)
+                if parent not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with fs.open_output_stream(place) as out:
+                    out.write((text or "").encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array([own] * batch.num_rows, pa.string()), batch.column(0)], names=["own", "name"])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_folder(folder)
+        made = set()
+
+        def one(own: str, name: str) -> None:
+            try:
+                fs.move(f"{own}/{name}", f"{root}/{name}")
+            except FileNotFoundError:
+                # an attempt before this one may have moved it
+                if fs.get_file_info(f"{root}/{name}").type != pafs.FileType.File:
+                    raise
+
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for batch in batches:
+                owns, names = (batch.column(k).to_pylist() for k in range(2))
+                for parent in {posixpath.dirname(f"{root}/{n}") for n in names} - made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                # a list, as an error shows only when a result is taken
+                list(pool.map(one, owns, names))
+                yield pa.RecordBatch.from_arrays([pa.array([len(names)])], names=["n"])
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_folder(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                fs.delete_file(f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    fs, root = open_folder(folder)
+    try:
+        # Spark's own committer keeps the rows of the attempts that count
+        staged = written(files.select("name", "text").mapInArrow(put, "own string, name string"), "staged")
+        if not staged.groupBy("name").count().where("count > 1").isEmpty():
+            raise ValueError("a name comes twice")
+        if overwrite and fs.get_file_info(root).type == pafs.FileType.Directory:
+            _old_files(spark, folder, stage).join(grown(staged.select("name")), "name", "left_anti").mapInArrow(remove, "n long").agg(F.sum("n")).collect()
+        staged.mapInArrow(move, "n long").agg(F.sum("n")).collect()
+    finally:
+        if fs.get_file_info(f"{root}/{stage}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{root}/{stage}")

@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.functions.folders import written
 from loomwright.operators import index
 from loomwright.schemas import SIDECAR
 from loomwright.sources import files, snapshots
@@ -118,3 +119,17 @@ def test_files_are_listed_by_tasks_and_named_as_spark_names_them(spark, tmp_path
     assert {r.path.rsplit("/", 1)[-1] for r in read_files(spark, f"file://{tmp_path}/[an].*").collect()} == {"a.txt", "n.md"}
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_files(spark, f"file://{tmp_path}/none")
+
+
+def test_names_of_files_stay_out_of_the_driver(spark, tmp_path, monkeypatch):
+    """They are rows of a table that tasks write and move by; what was there before is left out by a join."""
+    from loomwright.sources import named_files
+
+    out, kept = f"file://{tmp_path}/out", []
+    monkeypatch.setattr(named_files, "written", lambda df, name: kept.append(written(df, name)) or kept[-1])
+    many = lambda n, text: spark.range(n).select(F.concat(F.lit("d"), F.col("id") % 3, F.lit("/"), "id", F.lit(".md")).alias("name"), F.lit(text).alias("text"))
+    write_files(many(300, "old"), out)
+    write_files(many(100, "new"), out, overwrite=True)
+    assert [df.select("name").distinct().count() for df in kept] == [300, 100]
+    assert names(tmp_path / "out") == sorted(f"d{k % 3}/{k}.md" for k in range(100))
+    assert {p.read_text() for p in (tmp_path / "out").rglob("*.md")} == {"new"}
