@@ -140,3 +140,46 @@ def test_blocks_of_sketches_meet_all(spark, monkeypatch, block):
             want[a, b] = len(p & q) / len(p | q)
     got = {(r.left_id, r.right_id): r.similarity for r in dedup.near_exact_pairs(df).collect()}
     assert want and got == want
+
+
+def test_texts_of_a_family_are_sent_once_not_with_each_pair(spark, monkeypatch):
+    """300 near copies have 44,850 pairs; each text goes to the parts of its family alone."""
+    from loomwright.functions.folders import written
+    from loomwright.operators import sketches
+
+    kept = {}
+    monkeypatch.setattr(sketches, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(150)]
+    rows = [(k, f"{' '.join(words)} {k:04}") for k in range(300)] + [(1000 + 2 * k + j, _prose(rng, words, 60) if not j else "") for k in range(5) for j in (0, 1)]
+    got = dedup.near_exact_pairs(spark.createDataFrame(rows, "id long, text string"))
+    assert {(r.left_id, r.right_id) for r in got.collect()} == set(combinations(range(300), 2))
+    pairs = kept["pairs"].collect()
+    assert len(pairs) == 44850
+    assert len({(r.one, r.two, h) for r in pairs for h in (r.ha, r.hb)}) <= 300 * 3
+
+
+@pytest.mark.parametrize("rows, top", [(1, 300), (90, 300), (700, 1270), (700, 9000)])
+def test_tiles_of_sketches_lose_no_pair(rows, top):
+    import numpy as np
+
+    from loomwright.operators import sketches
+
+    rng, words = np.random.default_rng(rows + top), max(4, -(-top // 128))
+    first = sketches._telling(top, words, 0.85)
+    assert first <= words and (top < 1000 or first < words)
+
+    def side():
+        bits = rng.integers(0, 1 << 63, (rows, words), np.uint64)
+        half = rows // 2
+        bits[1 : 2 * half : 2] = bits[: 2 * half : 2] ^ (rng.integers(0, 1 << 63, (half, words), np.uint64) * (rng.random((half, words)) < rng.random((half, 1))))
+        return {"n": np.sort(rng.integers(int(0.8 * top), int(1.2 * top), rows)), "bits": bits}
+
+    a, b = side(), side()
+    b["bits"][: rows // 3] = a["bits"][: rows // 3]
+    for x, y, same in ((a, a, True), (a, b, False)):
+        differ = np.array([np.bitwise_count(y["bits"] ^ one).sum(axis=1) for one in x["bits"]])
+        n, m = x["n"][:, None], y["n"][None]
+        want = (differ <= 0.15 / 1.85 * (n + m)) & (np.minimum(n, m) >= 0.85 * np.maximum(n, m)) & (np.triu(np.ones_like(differ, bool), 1) if same else True)
+        i, j = sketches._near(x, y, same, 0.85, first)
+        assert len(i) == want.sum() and want[i, j].all() and (rows < 9 or want.any())
